@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import components, materialize
 
-#: N-grams known to be frequent, ordered last; a bound on what is sent to all tasks (12 bytes each). It never changes a
+#: N-grams known to be frequent, ordered last; a bound on what is sent to all tasks (9 bytes each). It never changes a
 #: result, only how large buckets get. A task reports an n-gram that NOTED of its documents hold; FREQUENT in all are needed.
-KNOWN, NOTED, FREQUENT = 200_000, 8, 32
+KNOWN, NOTED, FREQUENT = 1_000_000, 2, 4
 #: Rows of one block of a bucket, n-grams counted at a time, rows of a side that may be broadcast, members of a hub's part.
 BLOCK, CHUNK, SIDE, PART = 4096, 4_000_000, 400_000, 500
 
@@ -273,10 +273,16 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     look = materialize(_first_look(docs, size), "look")
     often = look.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= FREQUENT)
-    often = often.orderBy(F.desc("df"), "gram").limit(KNOWN).toPandas()  # at most KNOWN rows of 16 bytes
-    gram, df = often["gram"].to_numpy(np.int64).view(np.uint64), often["df"].to_numpy(np.int64)
+    often = materialize(often.select("gram", F.floor(F.log2("df")).cast("int").alias("rank")), "often")
+    room, least = KNOWN, 127
+    for r in sorted(often.groupBy("rank").count().collect(), reverse=True):  # at most 63 classes
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["rank"]
+    often = often.where(F.col("rank") >= least).toPandas()  # at most KNOWN rows
+    gram = often["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(gram)
-    known, rank = gram[order], np.log2(np.maximum(df[order], 1)).astype(np.int8)
+    known, rank = gram[order], often["rank"].to_numpy(np.int8)[order]
     all_docs = look.where("fp IS NOT NULL").select("doc_id", "n", "fp")
     sketch = _sketch(docs, size, percent, known, rank).dropDuplicates(["fp"]).withColumn("sid", F.monotonically_increasing_id())
     sets = materialize(sketch, "sets")
@@ -289,17 +295,24 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     side = F.broadcast(buckets) if buckets.count() <= SIDE else buckets
     members = materialize(grams.join(side, "gram"), "members")
 
-    light = sets.select("sid", "n", "bits")
+    # bitmaps are joined last, to the few pairs whose sizes are near enough
+    def with_bits(pairs: DataFrame) -> DataFrame:
+        for s in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("sid").alias(s), F.col("bits").alias(f"b{s}")), s)
+        return _may_link(pairs, percent)
+
     stars = members.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    side = lambda s: light.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}"))
-    near = materialize(_may_link(stars.join(side("a"), "a").join(side("b"), "b"), percent), "stars")
+    for s in ("a", "b"):
+        stars = stars.join(sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}")), s)
+    stars = stars.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
+    near = materialize(with_bits(materialize(stars, "stars")), "near")
     first = materialize(_verify(near, docs, sets, size, percent, "stars"), "links")
 
     comps = components(first).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
     comps = materialize(comps, "classes")
     placed = members.join(comps, "sid", "left").select("gram", "sid", F.coalesce("comp", "sid").alias("comp"))
     mixed = placed.groupBy("gram").agg(F.min("comp").alias("g0"), F.max("comp").alias("g1")).where("g0 <> g1").select("gram")
-    placed = placed.join(mixed, "gram").join(light, "sid")
+    placed = placed.join(mixed, "gram").join(sets.select("sid", "n"), "sid")
     # sizes within the threshold differ by one band at most: a set stands in its own band and the next
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     units = placed.withColumn("band", F.explode(F.array(band, band + 1)))
@@ -309,11 +322,15 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb").cast("long") - 1)))
     units = units.select(
         F.col("gram").alias("u1"), F.col("band").cast("long").alias("u2"), F.least("blk", "other").alias("u3"),
-        F.greatest("blk", "other").alias("u4"), "sid", "n", "comp", "blk", "bits",
+        F.greatest("blk", "other").alias("u4"), "sid", "n", "comp", "blk",
     )
+    units = materialize(units, "units").join(sets.select("sid", "bits"), "sid")
     keys = ["u1", "u2", "u3", "u4"]
+    units = units.select(*keys, "sid", "n", "comp", "blk", "bits")
     found = _tree_search(units.repartition(*keys).sortWithinPartitions(*keys), percent).distinct()
-    found = materialize(_may_link(found.join(side("a"), "a").join(side("b"), "b"), percent), "candidates")
+    for s in ("a", "b"):
+        found = found.join(sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}")), s)
+    found = materialize(with_bits(found), "candidates")
     second = _verify(found, docs, sets, size, percent, "candidates")
     links = first.unionByName(second)
 
