@@ -3,7 +3,7 @@
 1. Documents with one set are one: what follows sees each distinct set once.
 2. Two sets that link share one of their first (1 - t) n + 1 n-grams in a common order, frequent n-grams last. Sets meet in
    the buckets of these n-grams; buckets with the same members are one bucket.
-3. A bucket's members are first held against its smallest member. What this links is connected, and that is all a class
+3. A bucket's members are first held against one of them, its hub. What this links is connected, and that is all a class
    needs: nothing between members of one class is looked at again.
 4. Buckets that still hold several classes are searched with a signature tree: nodes hold OR-combined bitmaps of n-grams
    and ranges of sizes, and a dual traversal drops pairs of nodes whose largest possible overlap is too small.
@@ -61,8 +61,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """About two bits for each n-gram: 64 at least, a power of two."""
-    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """Four to eight bits for each n-gram: 64 at least, a power of two."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -184,6 +184,9 @@ def tree_pairs(n: np.ndarray, group: np.ndarray, bits: np.ndarray, block: np.nda
             p, q = p[ok], q[ok]
             shared = np.bitwise_count(x["bits"][p] & x["bits"][q]).sum(axis=1).astype(np.int64)
             ok = (100 * (x["few"][p] - shared) <= (100 - percent) * x["hi"][p]) & (100 * (x["few"][q] - shared) <= (100 - percent) * x["hi"][q])
+            if depth == 0:  # both leaves are known: what they don't share can't outnumber what an overlap large enough leaves
+                need = -(-percent * (n[p] + n[q]) // (100 + percent))
+                ok &= ones[p] + ones[q] - 2 * shared <= n[p] + n[q] - 2 * need
             kept_a.append(p[ok])
             kept_b.append(q[ok])
         a, b = np.concatenate(kept_a), np.concatenate(kept_b)
@@ -289,9 +292,11 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     grams = sets.select(F.explode("prefix").alias("gram"), "sid")
     mix = F.xxhash64("sid")
-    buckets = grams.groupBy("gram").agg(F.count("*").alias("c"), F.bit_xor(mix).alias("x"), F.sum(F.shiftright(mix, 24)).alias("y"), F.min("sid").alias("hub"))
-    buckets = buckets.where("c > 1").groupBy("c", "x", "y").agg(F.min("gram").alias("gram"), F.min("hub").alias("hub"))
-    buckets = materialize(buckets.select("gram", "hub"), "buckets")
+    # the hub is another member in each bucket, by a hash: whoever isn't like one hub is like that of another bucket
+    turn = F.struct(F.xxhash64("gram", "sid").alias("h"), "sid")
+    buckets = grams.groupBy("gram").agg(F.count("*").alias("c"), F.bit_xor(mix).alias("x"), F.sum(F.shiftright(mix, 24)).alias("y"), F.min(turn).alias("hub"))
+    buckets = buckets.where("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("gram", "hub.sid")).alias("b"))
+    buckets = materialize(buckets.select("b.gram", F.col("b.sid").alias("hub")), "buckets")
     side = F.broadcast(buckets) if buckets.count() <= SIDE else buckets
     members = materialize(grams.join(side, "gram"), "members")
 
@@ -301,7 +306,7 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
             pairs = pairs.join(sets.select(F.col("sid").alias(s), F.col("bits").alias(f"b{s}")), s)
         return _may_link(pairs, percent)
 
-    stars = members.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
+    stars = members.where("sid <> hub").select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct()
     for s in ("a", "b"):
         stars = stars.join(sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}")), s)
     stars = stars.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
