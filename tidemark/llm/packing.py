@@ -6,6 +6,9 @@ the rests of a group are packed by first-fit decreasing.
 
 from __future__ import annotations
 
+import functools
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 from .common import blocks
 
 LENGTH, EOT, GROUP = 2048, 1, 4096
-#: Words whose ids a task remembers; beyond that it starts anew, so its memory is bounded.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers (about 200 bytes each), so its memory is bounded; others are encoded again.
+REMEMBERED = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -24,6 +27,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The tokenizer's own pattern in terms of the standard library, which is faster: the same but for the characters below.
+_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+
+
+def _odd(c: str) -> bool:
+    """Numbers that aren't decimal digits count as letters there, and four control characters as white space."""
+    return (c.isnumeric() and not c.isdecimal()) or "\x1c" <= c <= "\x1f"
+
+
 class _Encoder:
     """Ids by the tokenizer, which sees each distinct word once; a byte-level BPE never merges across its words."""
 
@@ -34,22 +46,37 @@ class _Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.exact = regex.compile(public_tokenizers.PATTERN).findall
         self.ids: dict[str, bytes] = {}
 
+    def _encode(self, words: list[str]) -> list[bytes]:
+        e = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids, word = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
+        cuts = np.searchsorted(word, np.arange(len(words) + 1))
+        return [ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(words))]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        new = list(set().union(*split) - self.ids.keys())
-        if new:
-            if len(self.ids) + len(new) > REMEMBERED:
-                self.ids.clear()
-                new = list(set().union(*split))
-            e = self.tok.encode(new, is_pretokenized=True, add_special_tokens=False)
-            ids, word = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-            cuts = np.searchsorted(word, np.arange(len(new) + 1))
-            for i, w in enumerate(new):
-                self.ids[w] = ids[cuts[i] : cuts[i + 1]].tobytes()
-        return [b"".join(map(self.ids.__getitem__, s)) for s in split]
+        split = [_WORDS.findall(t) for t in texts]
+        new = set().union(*split) - self.ids.keys()
+        odd = {c for w in new for c in w if _odd(c)}
+        if odd:  # words with such characters are never remembered, so they are new wherever they occur
+            split = [self.exact(t) if odd.intersection(t) else s for t, s in zip(texts, split)]
+            new = set().union(*split) - self.ids.keys()
+        words = list(new)
+        found = dict(zip(words, self._encode(words))) if words else {}
+        keep = {w: i for w, i in found.items() if not (odd and odd.intersection(w))}
+        if len(self.ids) + len(keep) <= REMEMBERED:
+            self.ids.update(keep)
+        if len(keep) < len(found) or keep.keys() - self.ids.keys():
+            look = lambda w: found[w] if w in found else self.ids[w]
+            return [b"".join(map(look, s)) for s in split]
+        return [b"".join([self.ids[w] for w in s]) for s in split]
+
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    """One for each Python worker, which Spark uses for many tasks."""
+    return _Encoder(path)
 
 
 def tokenize(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -60,7 +87,7 @@ def tokenize(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
     def run(batches):
-        encode = _Encoder(path)
+        encode = _encoder(path)
         end = np.array([EOT], dtype="<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
