@@ -57,20 +57,22 @@ class _Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [_WORDS.findall(t) for t in texts]
-        new = set().union(*split) - self.ids.keys()
-        odd = {c for w in new for c in w if _odd(c)}
+        ids = [list(map(self.ids.get, s)) for s in split]
+        new = {w for s, x in zip(split, ids) if None in x for w, i in zip(s, x) if i is None}
+        odd = {c for c in set("".join(new)) if _odd(c)}
         if odd:  # words with such characters are never remembered, so they are new wherever they occur
             split = [self.exact(t) if odd.intersection(t) else s for t, s in zip(texts, split)]
-            new = set().union(*split) - self.ids.keys()
-        words = list(new)
-        found = dict(zip(words, self._encode(words))) if words else {}
-        keep = {w: i for w, i in found.items() if not (odd and odd.intersection(w))}
-        if len(self.ids) + len(keep) <= REMEMBERED:
-            self.ids.update(keep)
-        if len(keep) < len(found) or keep.keys() - self.ids.keys():
-            look = lambda w: found[w] if w in found else self.ids[w]
-            return [b"".join(map(look, s)) for s in split]
-        return [b"".join([self.ids[w] for w in s]) for s in split]
+            ids = [list(map(self.ids.get, s)) for s in split]
+            new = {w for s, x in zip(split, ids) for w, i in zip(s, x) if i is None}
+        if new:
+            words = list(new)
+            found = dict(zip(words, self._encode(words)))
+            for s, x in zip(split, ids):
+                if None in x:
+                    x[:] = [found[w] if i is None else i for w, i in zip(s, x)]
+            if len(self.ids) + len(found) <= REMEMBERED:
+                self.ids.update({w: i for w, i in found.items() if not odd.intersection(w)} if odd else found)
+        return list(map(b"".join, ids))
 
 
 @functools.lru_cache(maxsize=2)
