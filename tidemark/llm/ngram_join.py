@@ -1,8 +1,9 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are nearly equal, and their connected classes.
 
 1. Documents with one set are one: what follows sees each distinct set once.
-2. Two sets that link share one of their first (1 - t) n + 1 n-grams in a common order, frequent n-grams last. Sets meet in
-   the buckets of these n-grams; buckets with the same members are one bucket.
+2. Two sets that link share k of their first (1 - t) n + k n-grams in a common order, frequent n-grams last. Sets meet in
+   the buckets of these n-grams; buckets with the same members are one bucket; a set with fewer than k n-grams in buckets
+   links with none.
 3. A bucket's members are first held against one of them, its hub. What this links is connected, and that is all a class
    needs: nothing between members of one class is looked at again.
 4. Buckets that still hold several classes are searched with a signature tree: nodes hold OR-combined bitmaps of n-grams
@@ -60,9 +61,17 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def shared_grams(n: int) -> int:
+    """How many of their first (1 - t) n + this n-grams two different sets that link must share, the smaller one having n.
+
+    Different sets that link share this many at all: with 80 % or more, sets of under 5 n-grams only link if equal.
+    """
+    return 2 + n // 50
+
+
 def bitmap(s: np.ndarray) -> bytes:
-    """Four to eight bits for each n-gram: 64 at least, a power of two."""
-    width = max(64, 1 << (4 * len(s) - 1).bit_length())
+    """Eight to sixteen bits for each n-gram, a power of two, 4096 at least: short texts are told apart best."""
+    width = max(4096, 1 << (8 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -118,7 +127,7 @@ def _sketch(docs: DataFrame, size: int, percent: int, known: np.ndarray, rank: n
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(fp)
-                take = len(s) - -(-percent * len(s) // 100) + 1
+                take = len(s) - -(-percent * len(s) // 100) + shared_grams(len(s))
                 at = np.searchsorted(known, s)
                 often = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
                 if often.any():
@@ -295,10 +304,14 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     # the hub is another member in each bucket, by a hash: whoever isn't like one hub is like that of another bucket
     turn = F.struct(F.xxhash64("gram", "sid").alias("h"), "sid")
     buckets = grams.groupBy("gram").agg(F.count("*").alias("c"), F.bit_xor(mix).alias("x"), F.sum(F.shiftright(mix, 24)).alias("y"), F.min(turn).alias("hub"))
-    buckets = buckets.where("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("gram", "hub.sid")).alias("b"))
-    buckets = materialize(buckets.select("b.gram", F.col("b.sid").alias("hub")), "buckets")
+    buckets = buckets.where("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("gram", "hub.sid")).alias("b"), F.count("*").alias("m"))
+    buckets = materialize(buckets.select("b.gram", F.col("b.sid").alias("hub"), "m"), "buckets")
     side = F.broadcast(buckets) if buckets.count() <= SIDE else buckets
-    members = materialize(grams.join(side, "gram"), "members")
+    # a partner has at least percent % of a set's n-grams; m n-grams stand behind a bucket
+    least = 2 + F.floor(F.ceil(F.col("n") * percent / 100) / 50)
+    met = grams.join(side, "gram").groupBy("sid").agg(F.sum("m").alias("met"), F.collect_list(F.struct("gram", "hub")).alias("b"))
+    met = met.join(sets.select("sid", "n"), "sid").where(F.col("met") >= least)
+    members = materialize(met.select("sid", F.explode("b").alias("b")).select("sid", "b.gram", "b.hub"), "members")
 
     # bitmaps are joined last, to the few pairs whose sizes are near enough
     def with_bits(pairs: DataFrame) -> DataFrame:
