@@ -70,8 +70,8 @@ def shared_grams(n: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Eight to sixteen bits for each n-gram, a power of two, 4096 at least: short texts are told apart best."""
-    width = max(4096, 1 << (8 * len(s) - 1).bit_length())
+    """Eight to sixteen bits for each n-gram, a power of two, 8192 at least: short texts are told apart best."""
+    width = max(8192, 1 << (8 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -306,10 +306,9 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     buckets = grams.groupBy("gram").agg(F.count("*").alias("c"), F.bit_xor(mix).alias("x"), F.sum(F.shiftright(mix, 24)).alias("y"), F.min(turn).alias("hub"))
     buckets = buckets.where("c > 1").groupBy("c", "x", "y").agg(F.min(F.struct("gram", "hub.sid")).alias("b"), F.count("*").alias("m"))
     buckets = materialize(buckets.select("b.gram", F.col("b.sid").alias("hub"), "m"), "buckets")
-    side = F.broadcast(buckets) if buckets.count() <= SIDE else buckets
     # a partner has at least percent % of a set's n-grams; m n-grams stand behind a bucket
     least = 2 + F.floor(F.ceil(F.col("n") * percent / 100) / 50)
-    met = grams.join(side, "gram").groupBy("sid").agg(F.sum("m").alias("met"), F.collect_list(F.struct("gram", "hub")).alias("b"))
+    met = grams.join(buckets.hint("merge"), "gram").groupBy("sid").agg(F.sum("m").alias("met"), F.collect_list(F.struct("gram", "hub")).alias("b"))
     met = met.join(sets.select("sid", "n"), "sid").where(F.col("met") >= least)
     members = materialize(met.select("sid", F.explode("b").alias("b")).select("sid", "b.gram", "b.hub"), "members")
 
