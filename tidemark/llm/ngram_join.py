@@ -129,12 +129,12 @@ def _sketch(docs: DataFrame, size: int, percent: int, known: np.ndarray, rank: n
                     seen.add(fp)
                 take = len(s) - -(-percent * len(s) // 100) + shared_grams(len(s))
                 at = np.searchsorted(known, s)
-                often = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
-                if often.any():
-                    order = np.lexsort((s, np.where(often, rank[np.minimum(at, len(known) - 1)], 0)))
-                    first = s[order[:take]]
-                else:
-                    first = s[:take]
+                often = np.zeros(len(s), np.uint64)
+                if len(known):
+                    at = np.minimum(at, len(known) - 1)
+                    often = np.where(known[at] == s, rank[at], 0).astype(np.uint64)
+                # the common order is that of numbers: rank first, then 56 bits of the hash
+                first = np.sort((often << np.uint64(56)) | (s >> np.uint64(8)))[:take]
                 out.append((fp, len(s), first.view(np.int64), bitmap(s), t1, t2))
             cols = list(zip(*out)) if out else [()] * 6
             kinds = [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64()]
@@ -299,7 +299,7 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     sketch = _sketch(docs, size, percent, known, rank).dropDuplicates(["fp"]).withColumn("sid", F.monotonically_increasing_id())
     sets = materialize(sketch, "sets")
 
-    grams = sets.select(F.explode("prefix").alias("gram"), "sid")
+    grams = sets.select(F.posexplode("prefix").alias("pos", "gram"), "sid")
     mix = F.xxhash64("sid")
     # the hub is another member in each bucket, by a hash: whoever isn't like one hub is like that of another bucket
     turn = F.struct(F.xxhash64("gram", "sid").alias("h"), "sid")
@@ -308,9 +308,12 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     buckets = materialize(buckets.select("b.gram", F.col("b.sid").alias("hub"), "m"), "buckets")
     # a partner has at least percent % of a set's n-grams; m n-grams stand behind a bucket
     least = 2 + F.floor(F.ceil(F.col("n") * percent / 100) / 50)
-    met = grams.join(buckets.hint("merge"), "gram").groupBy("sid").agg(F.sum("m").alias("met"), F.collect_list(F.struct("gram", "hub")).alias("b"))
+    met = grams.join(buckets.hint("merge"), "gram").groupBy("sid").agg(F.sum("m").alias("met"), F.collect_list(F.struct("gram", "hub", "pos")).alias("b"))
     met = met.join(sets.select("sid", "n"), "sid").where(F.col("met") >= least)
-    members = materialize(met.select("sid", F.explode("b").alias("b")).select("sid", "b.gram", "b.hub"), "members")
+    # one shared n-gram stands among the first (1 - t) n + 1 of both; buckets go by their earliest n-gram, so it counts here
+    early = F.col("b.pos") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    members = met.select("sid", "n", F.explode("b").alias("b")).where(early).select("sid", "b.gram", "b.hub")
+    members = materialize(members, "members")
 
     # bitmaps are joined last, to the few pairs whose sizes are near enough
     def with_bits(pairs: DataFrame) -> DataFrame:
