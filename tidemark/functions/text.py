@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark has no expression for."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")

@@ -108,7 +108,7 @@ def exact_groups(spark, d):
 def entity_build(spark, d):
     lst = _listings(spark, d)
     cat = _t(spark, d, "part").select(F.col("p_partkey").alias("catalog_product_id"), F.when(F.col("p_size") > 25, "verified").otherwise("pending").alias("verification_status"))
-    ids = lst.where("entity_id % 3 = 0").select("listing_id", F.lit("matched").alias("status"), F.col("entity_id").alias("catalog_product_id"))
+    ids = lst.where("entity_id % 3 = 0").select("listing_id", F.lit("matched").alias("status"), F.col("entity_id").alias("catalog_product_id")).distinct()
     out = entities.build(lst, ids, cat)
     return out.groupBy("entity_key").agg(F.count("*").alias("listings"))
 
@@ -172,7 +172,7 @@ def evidence_sample(spark, d):
 
 def quality_snapshot(spark, d):
     lst = _listings(spark, d)
-    ids = lst.where("entity_id % 3 = 0").select("listing_id", F.lit("matched").alias("status"))
+    ids = lst.where("entity_id % 3 = 0").select("listing_id", F.lit("matched").alias("status")).distinct()
     s = quality.snapshot(lst, ids)
     r = quality.rate(F.col("inventory_unknown"), F.col("total_items"))
     return s.withColumns({"unknown_level": quality.level(r, 0.3, 0.36), "matched_level": quality.level(quality.rate(F.col("identity_matched"), F.col("total_items")), 0.32, 0.28, False)}).withColumn("overall", quality.worst(F.col("unknown_level"), F.col("matched_level")))
