@@ -18,7 +18,7 @@ from .common import blocks
 
 LENGTH, EOT, GROUP = 2048, 1, 4096
 #: Words whose ids a worker remembers (about 200 bytes each), so its memory is bounded; others are encoded again.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def tokenizer_path() -> str:
