@@ -73,3 +73,44 @@ def test_csv_and_html(spark, tmp_path):
     page = '<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"A &amp; B","sku":"1","offers":{"price":"1,200","availability":"http://schema.org/InStock"}}]}</script>'
     rows = html.products(spark.createDataFrame([("u", page), ("v", '<a href="/x">Amp</a> ¥3,000 SOLD OUT'), ("w", None)], "url string, html string")).collect()
     assert {(r.title, r.price_yen, r.stock_status) for r in rows} == {("A & B", 1200, "in_stock"), ("Amp", 3000, "sold_out")}
+
+
+def test_links_stay_on_their_host(spark):
+    page = '<a href="/a">A</a><a href="/a">A longer</a><a href="//h.test/b">B</a><a href="https://h.test.evil/c">C</a><a href="//other.test/d">D</a>'
+    rows = html.links(spark.createDataFrame([("https://h.test/list?x=1", page), ("https://h.test/n", None), ("no address", page)], "url string, html string")).collect()
+    assert {(r.url, r.link, r.text) for r in rows} == {("https://h.test/list?x=1", "https://h.test/a", "A longer"), ("https://h.test/list?x=1", "https://h.test/b", "B")}
+
+
+def test_best_rows(spark):
+    rows = [("u", 0, "1", "", None, "unknown"), ("u", 1, "1", "Amp", 5, "in_stock"), ("v", 0, "1", "Amp", 5, "in_stock"), ("u", 2, "2", "", 7, "unknown")]
+    out = html.best_rows(spark.createDataFrame(rows, html.SCHEMA)).collect()
+    assert {(r.source_id, r.url, r.position) for r in out} == {("1", "u", 1), ("2", "u", 2)}
+
+
+def test_stock_and_short_texts(spark):
+    rows = [(True, False), (False, True), (True, True), (False, False)]
+    got = spark.createDataFrame(rows, "s boolean, i boolean").select("s", "i", text.availability(F.col("s"), F.col("i")).alias("x")).collect()
+    assert {(r.s, r.i): r.x for r in got} == {(True, False): "sold_out", (False, True): "in_stock", (True, True): "unknown", (False, False): "unknown"}
+    assert one(spark, lambda c: text.truncated(c, 4), "abcdef") == "abc…"
+    assert one(spark, lambda c: text.truncated(c, 4), "abcd") == "abcd"
+    assert one(spark, lambda c: text.truncated(c, 4), None) is None
+    assert one(spark, text.safe_url, "https://a.test/x") == "https://a.test/x" and one(spark, text.safe_url, None) == ""
+    assert (one(spark, text.model_stem, "D1000MK2"), one(spark, text.model_variant, "D1000MK2")) == ("D1000", "MK2")
+    assert (one(spark, text.model_stem, "LS50"), one(spark, text.model_variant, "LS50")) == ("LS50", "")
+
+
+def test_settle_and_retain(spark):
+    work = "id long, status string, attempt_count int, max_attempts int, available_at timestamp, lease_expires_at timestamp, ok boolean"
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, "processing", 0, 3, t, t, True), (2, "processing", 0, 3, t, t, False), (3, "processing", 2, 3, t, t, False)]
+    q = spark.createDataFrame(rows, work)
+    out = {r.id: r for r in queue.settle(q, F.col("ok"), "2024-01-02 00:00:00").collect()}
+    assert [out[i].status for i in (1, 2, 3)] == ["resolved", "pending", "failed"]
+    assert all(out[i].lease_expires_at is None for i in (1, 2, 3))
+    wait = queue.settle(q, F.col("ok"), "2024-01-02 00:00:00").where("id = 2").select((F.unix_timestamp("available_at") - F.unix_timestamp(F.lit("2024-01-02 00:00:00"))).alias("x"))
+    assert wait.first().x == 900
+    kept = spark.createDataFrame([(i, t + dt.timedelta(days=i % 3)) for i in range(6)], "id long, at timestamp")
+    assert [r.id for r in queue.retain(kept, "at", "2024-01-02 12:00:00", 3, "id").collect()][:2] == [0, 3]
+    assert queue.retain(kept, "at", "2024-01-02 12:00:00", 10, "id").count() == queue.retain(kept, "at", "2024-01-02 12:00:00", 4, "id").count()

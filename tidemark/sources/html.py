@@ -84,7 +84,8 @@ def links(pages: DataFrame) -> DataFrame:
     rows = pages.select("url", F.explode(found).alias("a"))
     link = F.regexp_extract("a", r"(?is)href\s*=\s*[\"']([^\"']+)", 1)
     origin = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
-    link = F.when(link.startswith("/"), F.concat(origin, link)).otherwise(link)
+    scheme = F.regexp_extract(origin, r"^(https?:)", 1)
+    link = F.when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(origin, link)).otherwise(link)
     text = F.trim(F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]*>", " "), r"\s+", " "))
-    rows = rows.select("url", link.alias("link"), text.alias("text"), origin.alias("o")).where("startswith(link, o)")
+    rows = rows.select("url", link.alias("link"), text.alias("text"), origin.alias("o")).where(F.col("o") == F.regexp_extract("link", r"^(https?://[^/?#]+)", 1)).where("o <> ''")
     return rows.groupBy("url", "link").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
