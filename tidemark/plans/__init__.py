@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import catalog
 from .listings import ALL
-from .oracles import ORACLES
+from .oracles import ORACLES as _LISTINGS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL} | catalog.QUERIES
+ORACLES: dict[str, str] = _LISTINGS | catalog.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
