@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import catalog, classification, manufacturers, remediation
+from tidemark.operators import catalog, classification, manufacturers, models, remediation
 from tidemark.sources import robots
 
 TIERS = ["verified", "authoritative", "strong"]
@@ -260,12 +260,31 @@ def inventory_recheck(spark, d):
 _RECHECK = """WITH c AS (SELECT event_id AS listing_id, CASE WHEN event_type = 'click' THEN 0 WHEN event_id % 5 = 0 OR event_id % 2 = 0 THEN 1 ELSE user_id % 3 + 1 END AS failures, event_type = 'click' AS ok FROM events)
   SELECT listing_id, failures, CASE WHEN ok THEN 'available' WHEN failures >= 2 THEN 'deactivated' ELSE 'retry' END AS outcome FROM c"""
 
+def model_resolution(spark, d):
+    """Parts as listings whose model carries one of eight notes, behind the brand in half of them."""
+    notes = F.array(*(F.lit(x) for x in ("", " 中古美品", " SOLD OUT", " 元箱付", " [ABC-12345]", " / シルバー", " MK2 USED", " 説明文")))
+    p = _t(spark, d, "part")
+    name = F.concat(F.lit("D-"), F.col("p_partkey").cast("string"), F.element_at(notes, (F.col("p_partkey") % 8 + 1).cast("int")))
+    rows = p.select(
+        F.col("p_partkey").alias("listing_id"), F.lower("p_brand").alias("manufacturer_id"), F.when(F.col("p_size") > 10, F.concat(F.when(F.col("p_size") % 2 == 0, F.concat("p_brand", F.lit(" "))).otherwise(""), name)).alias("raw_model"),
+        F.concat_ws(" ", F.upper("p_brand"), name).alias("title"),
+    )
+    aliases = p.select(F.lower("p_brand").alias("manufacturer_id"), F.col("p_brand").alias("alias")).distinct()
+    return models.resolve(rows, aliases).select("listing_id", "model", "status", "method", F.array_join("removed", ",").alias("removed"), F.array_join("residue", ",").alias("residue"))
+
+
+_MODELS = """WITH p AS (SELECT p_partkey AS id, p_partkey % 8 AS k, p_size > 10 AS own FROM part)
+  SELECT id AS listing_id, 'D-' || id || CASE k WHEN 6 THEN ' MK2' WHEN 7 THEN ' 説明文' ELSE '' END AS model, CASE WHEN k = 7 THEN 'candidate' ELSE 'resolved' END AS status,
+    CASE WHEN k = 7 THEN 'unsafe_annotation' WHEN NOT own THEN 'title_after_manufacturer' WHEN k = 0 THEN 'seller_model' ELSE 'seller_model_annotated' END AS method,
+    CASE k WHEN 1 THEN 'condition' WHEN 2 THEN 'listing_state' WHEN 3 THEN 'packaging' WHEN 4 THEN 'seller_sku' WHEN 5 THEN 'presentation_color' WHEN 6 THEN 'condition' ELSE '' END AS removed,
+    CASE WHEN k = 7 THEN 'unclassified_text' ELSE '' END AS residue FROM p"""
+
 QUERIES = {f.__name__: f for f in (
     manufacturer_resolution, category_classification, feature_facts, robots_allowed, catalog_candidates, candidate_refresh, pending_candidates, remediation_slo,
-    provenance_events, unresolved_groups, identity_methods, superseded_work, inventory_recheck,
+    provenance_events, unresolved_groups, identity_methods, superseded_work, inventory_recheck, model_resolution,
 )}
 ORACLES = {
     "manufacturer_resolution": _MANUFACTURERS, "category_classification": _CATEGORIES, "feature_facts": _FEATURES, "robots_allowed": _ROBOTS, "catalog_candidates": _CANDIDATES,
     "candidate_refresh": _REFRESH, "pending_candidates": _PENDING, "remediation_slo": _slo_sql(), "provenance_events": _PROVENANCE, "unresolved_groups": _UNRESOLVED,
-    "identity_methods": _METHODS, "superseded_work": _SUPERSEDED, "inventory_recheck": _RECHECK,
+    "identity_methods": _METHODS, "superseded_work": _SUPERSEDED, "inventory_recheck": _RECHECK, "model_resolution": _MODELS,
 }
