@@ -95,3 +95,11 @@ def test_robots(spark):
     assert out == dict(zip(urls, [False, True, True, True, True, False, True, True, True, True, True]))
     assert {r.host: r.delay_ms for r in robots.crawl_delay_ms(pol, "ExampleBot").collect()} == {"h": 3000.0, "e": 0.0, "n": 0.0, "s": 0.0}
     assert {r.host: r.delay_ms for r in robots.crawl_delay_ms(pol, "Zed").collect()}["h"] == 9000.0
+
+
+def test_coverage_and_candidate_stats(spark):
+    df = spark.createDataFrame([(True, False, True, False), (True, False, False, True), (True, False, False, False), (True, True, True, True), (False, False, True, True), (None, False, True, True)], "a boolean, b boolean, c boolean, d boolean")
+    assert [r[0] for r in df.select(robots.deactivates_missing(*(F.col(x) for x in "abcd"))).collect()] == [True, True, False, False, False, False]
+    rows = spark.createDataFrame([(1, "pending"), (2, "matched"), (0, "pending"), (3, "ignored"), (1, "pending")], "listings long, review_status string")
+    assert catalog.stats(rows).first().asDict() == {"candidates": 4, "pending": 2, "matched": 1, "ignored": 1}
+    assert catalog.stats(rows.limit(0)).first().candidates == 0
