@@ -145,6 +145,19 @@ def test_html(spark):
     assert [(n[0], n[1], n[2]) for n in html_extract.merge(a, b)[3]] == [("p", 0, 1), ("ul", 1, 0)]
 
 
+def test_html_template_without_telling_names(spark):
+    """Menu, notice and advert in plain and hashed divs: only what the host's pages tell of them can leave them out."""
+    page = "<body><div><a>Home</a></div><div class=x{}>We use cookies</div><div><p>Own {} text</p><p>More of {}</p></div>{}<div>Imprint</div>"
+    rows = [(i, f"http://h.x/{i}", page.format(7, i, i, f"<section>Buy {i % 4}</section>" if i % 3 else "")) for i in range(40)]
+    rows += [(50 + i, f"http://two.x/{i}", page.format(7, i, i, "")) for i in range(2)] + [(60 + i, f"http://copy.x/{i}", page.format(7, 1, 1, "")) for i in range(9)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_extract.extract_pages(table).collect()}
+    assert all(out[i] == f"Own {i} text\nMore of {i}" for i in range(40))
+    whole = "Home\nWe use cookies\nOwn {0} text\nMore of {0}\nImprint"  # two pages, or copies of one, tell nothing
+    assert [out[50], out[51], out[68]] == [whole.format(0), whole.format(1), whole.format(1)]
+    assert html_extract.extract(rows[0][2], html_extract.Wrapper(["", 0, 0, []])) != out[0]
+
+
 @pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
 def test_ngram_classes_equal_brute_force(spark, size, percent):
     rng = np.random.default_rng(size)
