@@ -158,6 +158,17 @@ def test_html_template_without_telling_names(spark):
     assert html_extract.extract(rows[0][2], html_extract.Wrapper(["", 0, 0, []])) != out[0]
 
 
+def test_html_drops_nothing_else():
+    read = lambda page: html_extract.extract(page, html_extract.Wrapper(["", 0, 0, []]))
+    assert read(f"<div class='{'u-pad ' * 20}sidebar'>no</div><p>yes") == "yes"
+    assert read(f"<div>no</div><div class='{'u-pad ' * 20}article-body'>yes</div>") == "yes"
+    assert read("<article>" + "<b>" * 300 + "a<script>no</script><div class=comments>no</div><nav>no</nav></b> c</article>d") == "a\nc"
+    assert read("<div>" * 5000 + "deep") == "deep" and html_extract.page_wrapper("<div>" * 5000 + "deep")
+    assert read("<p>no</p><main><h1>Title</h1><article><p>Body</article></main><p>no</p>") == "Title\nBody"
+    assert read("<div class=content><p>Body<article>Teaser</article><p>more</div><div>no</div>") == "Body\nTeaser\nmore"
+    assert read("<div class=post>no</div><article>a</article><article>b</article>") == "a\nb"
+
+
 @pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
 def test_ngram_classes_equal_brute_force(spark, size, percent):
     rng = np.random.default_rng(size)
