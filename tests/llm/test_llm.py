@@ -46,6 +46,41 @@ def test_licenses(spark):
     assert len(license_scan.Scanner().rules) > 200
 
 
+def alternatives(parsed):
+    """Texts of a parsed pattern: each branch, what is optional there or not."""
+    out = [""]
+    for op, av in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            found = [chr(av)]
+        elif op == "SUBPATTERN":
+            found = alternatives(av[3])
+        elif op == "BRANCH":
+            found = [x for b in av[1] for x in alternatives(b)]
+        elif op == "MAX_REPEAT":
+            found = [""] * (av[0] == 0) + (alternatives(av[2]) if av[1] == 1 else [" w"])
+        else:
+            found = [chr(v) if str(o) == "LITERAL" else "3" for o, v in av] if op == "IN" else [""]
+        out = [a + b for a in out for b in found]
+    return out
+
+
+def test_license_keywords_let_every_alternative_through():
+    import re._parser
+
+    for r in license_scan.Scanner().rules:
+        texts = [f" {' '.join(a.split())} " for a in alternatives(re._parser.parse(r.pattern.pattern))]
+        texts = [t for t in texts if r.pattern.search(t)]
+        assert texts and (r.label == "ms-pl" or all(any(k in t for k in r.keywords) for t in texts)), (r.label, r.keywords)
+    for text, label in {
+        "released into the public domain": "public-domain", "dedicated to the public domain": "public-domain", "Apache Software License": "apache",
+        "Apache Software License, Version 1.1": "apache-1.1", "GNU Library General Public License": "lgpl", "Creative Commons Attribution Share Alike": "cc-by-sa",
+        "Creative Commons Attribution Non Commercial": "cc-by-nc", "the zlib/libpng license": "zlib", "a proprietary licence": "proprietary", "MIT licence": "mit",
+        "Licensed under the EUPL, Version 1.2 or – as soon they will be approved by the European Commission - subsequent versions of the EUPL": "eupl-1.2",
+    }.items():
+        assert label in license_scan.Scanner().scan(text)[5].split(","), text
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

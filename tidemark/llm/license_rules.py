@@ -1,6 +1,7 @@
 """Signature rules for licences, written by hand.
 
-A rule is a line `label | keyword | pattern`; it is tried only where the keyword occurs. Patterns see a text's words,
+A rule is a line `label | keyword / keyword | pattern`; it is tried only where one of the keywords occurs. Every alternative
+of a pattern holds one, but for ms-pl, whose sentence ms-rl has as well. Patterns see a text's words,
 lower-cased and joined by single spaces, so `version 2.0` reads `version 2 0`. Rules of an earlier tier win over those of
 a later one. Gaps are bounded, so a pattern takes time in proportion to the text.
 """
@@ -59,11 +60,11 @@ unlicense | free and unencumbered software | this is free and unencumbered softw
 unlicense | anyone is free to copy modify | anyone is free to copy modify publish use compile sell or distribute this software
 wtfpl | everyone is permitted to copy and distribute | everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed
 zlib | without any express or implied | this software is provided as is without any express or implied warranty in no event will the authors be held liable
-bsl-1.0 | boost software license | permission is hereby granted free of charge to any person or organization obtaining a copy of the software
+bsl-1.0 | to any person or organization obtaining | permission is hereby granted free of charge to any person or organization obtaining a copy of the software
 bsl-1.0 | to any person or organization obtaining | free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
 artistic-2.0 | everyone is permitted to copy | the artistic license 2 0(?: \S+){0,20} everyone is permitted to copy and distribute verbatim copies
 artistic-1.0 | artistic control over the development | the copyright holder maintains some semblance of artistic control over the development of the package
-psf-2.0 | python software foundation license | this license agreement is between the python software foundation
+psf-2.0 | between the python software foundation | this license agreement is between the python software foundation
 ofl-1.1 | sil open font license | this font software is licensed under the sil open font license version 1 1
 ncsa | university of illinois | developed by(?: \S+){1,20} university of illinois
 openssl | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
@@ -71,8 +72,8 @@ ssleay | cryptographic software written by eric young | this product includes cr
 php-3.01 | php software freely available | this product includes php software freely available from
 afl-3.0 | academic free license | licensed under the academic free license version 3 0
 osl-3.0 | open software license | licensed under the open software license version 3 0
-eupl-1.2 | european union public | licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions
-upl-1.0 | larger works | any person obtaining a copy of this software associated documentation and or data collectively the software
+eupl-1.2 | licensed under the eupl | licensed under the eupl version 1 2 or(?: [–—])? as soon they will be approved by the european commission(?: [–—])? subsequent versions
+upl-1.0 | associated documentation and or data | any person obtaining a copy of this software associated documentation and or data collectively the software
 ms-pl | microsoft public license | this license governs use of the accompanying software if you use the software you accept this license
 odbl-1.0 | open database license | made available under the open database license
 odc-by | open data commons attribution | made available under the open data commons attribution license
@@ -166,8 +167,8 @@ fdl-1.3 | free documentation license | gnu free documentation license (?:v|versi
 fdl-1.2 | free documentation license | gnu free documentation license (?:v|version )?1 2\b
 fdl-1.1 | free documentation license | gnu free documentation license (?:v|version )?1 1\b
 apache-2.0 | apache license | apache license (?:v|version )?2(?: 0)?\b
-apache-1.1 | apache license | apache (?:software )?license (?:v|version )?1 1\b
-apache-1.0 | apache license | apache (?:software )?license (?:v|version )?1 0\b
+apache-1.1 | apache license / apache software license | apache (?:software )?license (?:v|version )?1 1\b
+apache-1.0 | apache license / apache software license | apache (?:software )?license (?:v|version )?1 0\b
 apache-2.0 | apache software license | apache software license (?:v|version )?2(?: 0)?\b
 apache-2.0 | apache 2 0 license | apache 2 0 licensed?\b
 apache-2.0 | licenses license 2 0 | apache org licenses license 2 0
@@ -181,10 +182,10 @@ bsd-2-clause | simplified bsd | simplified bsd license
 bsd-3-clause | new bsd license | (?:the )?new bsd license
 bsd-3-clause | modified bsd | modified bsd license
 bsd-2-clause | freebsd license | freebsd license
-mit | licenses mit | opensource org licenses? mit\b
-isc | licenses isc | opensource org licenses? isc\b
-bsd-3-clause | licenses bsd 3 | opensource org licenses? bsd 3 clause
-bsd-2-clause | licenses bsd 2 | opensource org licenses? bsd 2 clause
+mit | licenses mit / license mit | opensource org licenses? mit\b
+isc | licenses isc / license isc | opensource org licenses? isc\b
+bsd-3-clause | licenses bsd 3 / license bsd 3 | opensource org licenses? bsd 3 clause
+bsd-2-clause | licenses bsd 2 / license bsd 2 | opensource org licenses? bsd 2 clause
 mpl-1.0 | mozilla public license | mozilla public license (?:mpl )?(?:v ?|version )?1 0\b
 mpl-1.1 | mozilla public license | mozilla public license (?:mpl )?(?:v ?|version )?1 1\b
 mpl-2.0 | mozilla public license | mozilla public license (?:mpl )?(?:v ?|version )?2(?: 0)?\b
@@ -274,23 +275,23 @@ NAME = r"""
 gpl | general public license | (?:gnu )?general public license
 gpl | gnu gpl | gnu gpl\b
 gpl | under the gpl | under the gpl\b
-lgpl | lesser general public | (?:gnu )?(?:lesser|library) general public license
+lgpl | lesser general public / library general public | (?:gnu )?(?:lesser|library) general public license
 lgpl | under the lgpl | under the lgpl\b
 agpl | affero general public | (?:gnu )?affero general public license
 agpl | under the agpl | under the agpl\b
 fdl | free documentation license | (?:gnu )?free documentation license
-apache | apache license | apache (?:software )?license
+apache | apache license / apache software license | apache (?:software )?license
 apache | apache licensed | \bapache licensed\b
 mit | mit license | \bmit license\b
 mit | mit licensed | \bmit licensed\b
-mit | the mit licence | \bmit licence\b
+mit | mit licence | \bmit licence\b
 mit | expat license | \bexpat license\b
 x11 | x11 license | \bx11 license\b
 bsd | bsd license | \bbsd license\b
 bsd | bsd style license | \bbsd style license\b
 bsd | berkeley software distribution | berkeley software distribution license
 isc | isc license | \bisc license\b
-zlib | zlib license | \bzlib(?: libpng)? license\b
+zlib | zlib license / zlib libpng license | \bzlib(?: libpng)? license\b
 mpl | mozilla public license | mozilla public license
 epl | eclipse public license | eclipse public license
 cddl | development and distribution license | common development and distribution license
@@ -310,7 +311,7 @@ php | php license | \bphp license\b
 ms-pl | microsoft public license | microsoft public license
 ms-rl | microsoft reciprocal license | microsoft reciprocal license
 upl | universal permissive license | universal permissive license
-wtfpl | what the fuck public license | do what the fuck you want to public license
+wtfpl | what the fuck you want | do what the fuck you want to public license
 unlicense | unlicense org | \bunlicense org\b
 unlicense | the unlicense | \bthe unlicense\b
 beerware | beerware | \bbeerware license\b
@@ -323,11 +324,11 @@ cc-by-nd | cc by nd | \bcc by nd\b
 cc-by-nc-sa | cc by nc sa | \bcc by nc sa\b
 cc-by-nc-nd | cc by nc nd | \bcc by nc nd\b
 cc-by | creative commons attribution | creative commons attribution (?:licen[cs]e|international|unported)
-cc-by-sa | attribution sharealike | creative commons attribution share ?alike
-cc-by-nc | attribution noncommercial | creative commons attribution non ?commercial
+cc-by-sa | attribution sharealike / attribution share alike | creative commons attribution share ?alike
+cc-by-nc | attribution noncommercial / attribution non commercial | creative commons attribution non ?commercial
 creative-commons | creative commons licen | creative commons licen[cs]e
 cc0-1.0 | cc0 | \bcc0\b
-public-domain | in the public domain | (?:is|are|been placed|released|dedicated|placed) (?:in|into|to) the public domain
+public-domain | the public domain | (?:is|are|been placed|released|dedicated|placed) (?:in|into|to) the public domain
 public-domain | public domain mark | public domain mark
 odbl | open database license | open database license
 odc-by | open data commons attribution | open data commons attribution
@@ -335,7 +336,7 @@ pddl | public domain dedication | public domain dedication and license
 ogl | open government licen | open government licen[cs]e
 openrail | openrail | \bopenrail\b
 proprietary | all rights reserved | all rights reserved
-proprietary | proprietary license | \bproprietary licen[cs]e\b
+proprietary | proprietary license / proprietary licence | \bproprietary licen[cs]e\b
 proprietary | not for redistribution | not for redistribution
 """
 
@@ -345,7 +346,7 @@ class Rule:
     label: str
     tier: int
     confidence: float
-    keyword: str
+    keywords: tuple[str, ...]
     pattern: re.Pattern
 
 
@@ -354,6 +355,6 @@ def rules() -> list[Rule]:
     out = []
     for tier, (name, lines) in enumerate((("text", TEXT), ("tag", TAG), ("version", VERSION), ("name", NAME))):
         for line in lines.strip().splitlines():
-            label, keyword, pattern = (x.strip() for x in line.split(" | ", 2))
-            out.append(Rule(label, tier, CONFIDENCE[name], keyword, re.compile(rf"(?<= )(?:{pattern})(?= )")))
+            label, keywords, pattern = (x.strip() for x in line.split(" | ", 2))
+            out.append(Rule(label, tier, CONFIDENCE[name], tuple(keywords.split(" / ")), re.compile(rf"(?<= )(?:{pattern})(?= )")))
     return out

@@ -31,7 +31,8 @@ class Scanner:
         self.rules = rules() if rule_list is None else rule_list
         self.by_keyword: dict[str, list[int]] = defaultdict(list)
         for i, r in enumerate(self.rules):
-            self.by_keyword[r.keyword].append(i)
+            for k in r.keywords:
+                self.by_keyword[k].append(i)
         self.keywords = ahocorasick.Automaton()
         for k in self.by_keyword:
             self.keywords.add_word(k, k)
@@ -41,7 +42,7 @@ class Scanner:
         """joined: words with one space before, between and after. Spans are places in it."""
         near = {k for _, k in self.keywords.iter(joined)}
         tiers: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for i in sorted(i for k in near for i in self.by_keyword[k]):
+        for i in sorted({i for k in near for i in self.by_keyword[k]}):
             r = self.rules[i]
             tiers[r.tier] += [(m.start(), m.end(), i) for m in r.pattern.finditer(joined)]
         kept: list[tuple[int, int, int]] = []
