@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import ingest, quality, queue, resolution, search
+from tidemark.plans import QUERIES
 from tidemark.sources import csv_sink, html
 
 
@@ -114,3 +115,19 @@ def test_settle_and_retain(spark):
     kept = spark.createDataFrame([(i, t + dt.timedelta(days=i % 3)) for i in range(6)], "id long, at timestamp")
     assert [r.id for r in queue.retain(kept, "at", "2024-01-02 12:00:00", 3, "id").collect()][:2] == [0, 3]
     assert queue.retain(kept, "at", "2024-01-02 12:00:00", 10, "id").count() == queue.retain(kept, "at", "2024-01-02 12:00:00", 4, "id").count()
+
+
+def test_similar_asks_for_all_and_meets_few(spark, sf):
+    names = [f"Customer#{i:09d}" for i in range(130)] + ["Customer#00000001", "Custmer#000000001", "Xustomer#000000001", "Cüstomer#000000001", "short"]
+    t = spark.createDataFrame([(1, x) for x in names], "g int, n string")
+    a, b = (t.select("g", F.col("n").alias(x)) for x in "ab")
+
+    def near(x, y):
+        x, y = sorted((x, y), key=len)
+        i = next((i for i in range(len(x)) if x[i] != y[i]), len(x))
+        return x != y and len(x) >= 8 and (x[i:] == y[i + 1 :] or (len(x) == len(y) and x[i + 1 :] == y[i + 1 :]))
+
+    got = {(r.a, r.b) for r in resolution.similar(a, b, "g", "a", "b").collect()}
+    assert got == {(x, y) for x in names for y in names if near(x, y)}
+    asked, every = QUERIES["similar_customers"](spark, sf), QUERIES["similar_customers_all"](spark, sf)
+    assert every.count() > asked.count() and asked.exceptAll(every).count() == 0

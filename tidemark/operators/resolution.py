@@ -16,20 +16,17 @@ def unambiguous(keys: DataFrame, key: list[str], value: str) -> DataFrame:
 def similar(left: DataFrame, right: DataFrame, group: str, a: str, b: str, most: int = 1, least_length: int = 8) -> DataFrame:
     """Pairs of one group whose texts are within `most` edits, both at least `least_length` long and not equal.
 
-    They meet by equality on one of most + 1 segments' neighbourhoods: texts within one edit share their first or their
-    last half, so no pair of a group is built that shares neither.
+    They meet by equality of what is left without one character, or of that and the whole other text: texts within one edit
+    share such a rest, and names that differ in a number only don't all share one, as they would share a half.
     """
-    def halves(df: DataFrame, c: str) -> DataFrame:
-        half = F.floor(F.length(c) / 2).cast("int")
-        cuts = F.array(
-            *(F.concat(F.lit("a"), F.substr(F.col(c), F.lit(1), half - d)) for d in (0, 1)),
-            *(F.concat(F.lit("z"), F.substr(F.col(c), F.length(c) - half + 1 + d, half)) for d in (0, 1)),
-        )
-        return df.where(F.length(c) >= least_length).withColumn("_key", F.explode(F.array_distinct(cuts)))
+    def rests(df: DataFrame, c: str) -> DataFrame:
+        without = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
+        keys = F.transform(F.array_append(without, F.col(c)), lambda x: F.xxhash64(x))
+        return df.where(F.length(c) >= least_length).withColumn("_key", F.explode(F.array_distinct(keys)))
 
     if most != 1:
-        raise ValueError("one edit is the threshold that halves suffice for")
-    pairs = halves(left, a).join(halves(right, b), [group, "_key"]).drop("_key").distinct()
+        raise ValueError("one edit is the threshold that one character less suffices for")
+    pairs = rests(left, a).join(rests(right, b), [group, "_key"]).drop("_key").distinct()
     return pairs.where((F.col(a) != F.col(b)) & (F.levenshtein(a, b, most) >= 0))
 
 

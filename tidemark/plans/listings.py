@@ -135,6 +135,13 @@ def similar_customers(spark, d):
     return resolution.similar(a, b, "c_nationkey", "a", "b").groupBy("b").agg(F.count("*").alias("n"))
 
 
+def similar_customers_all(spark, d):
+    """Every customer asks, not a tenth of them as in similar_customers."""
+    c = _t(spark, d, "customer")
+    a, b = (c.select("c_nationkey", F.col("c_name").alias(x)) for x in "ab")
+    return resolution.similar(a, b, "c_nationkey", "a", "b").groupBy("b").agg(F.count("*").alias("n"))
+
+
 def _observations(spark, d):
     e = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("shop_key"), F.col("event_type").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id"), F.floor("value").cast("long").alias("price_yen"))
     return e.withColumns({"title": F.col("source_id"), "stock_status": F.lit("in_stock")})
@@ -261,7 +268,8 @@ def gap_listings(spark, d):
 
 ALL = [
     entity_search, entity_aggregates, same_offer_filter, representative_offers, cursor_page, request_scoped_sort, brand_facet, category_closure,
-    text_search, bm25_search, trigram_index, exact_groups, entity_build, first_terms, split_groups, unambiguous_names, similar_customers, crawl_fold,
+    text_search, bm25_search, trigram_index, exact_groups, entity_build, first_terms, split_groups, unambiguous_names, similar_customers,
+    similar_customers_all, crawl_fold,
     price_drops, evidence_burst, evidence_sample, quality_snapshot, latest_runs, daily_trend, shop_health, queue_claim, queue_settle, queue_metrics,
     retention, export_lines, export_page, json_metadata, page_links, latest_turn, admin_search, gap_listings,
 ]

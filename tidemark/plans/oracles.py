@@ -75,6 +75,8 @@ ORACLES = {
     "unambiguous_names": "SELECT p_brand, p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_partkey) = 1",
     "similar_customers": """SELECT y.c_name AS b, count(DISTINCT x.c_name) AS n FROM customer AS x JOIN customer AS y ON x.c_nationkey = y.c_nationkey
       WHERE y.c_custkey % 10 = 0 AND x.c_name <> y.c_name AND levenshtein(x.c_name, y.c_name) <= 1 GROUP BY 1""",
+    "similar_customers_all": """SELECT y.c_name AS b, count(DISTINCT x.c_name) AS n FROM customer AS x JOIN customer AS y ON x.c_nationkey = y.c_nationkey
+      WHERE x.c_name <> y.c_name AND levenshtein(x.c_name, y.c_name) <= 1 GROUP BY 1""",
     "crawl_fold": """WITH o AS (
       SELECT CAST(user_id AS VARCHAR) AS shop, event_type AS src, ts, event_id, CAST(floor(value) AS BIGINT) AS price FROM events
     ), s AS (SELECT *, row_number() OVER (PARTITION BY shop, src ORDER BY ts DESC, event_id DESC) AS n FROM o WHERE ts < '2024-01-15'
