@@ -123,4 +123,20 @@ ORACLES = {
     "gap_listings": f"""WITH {_OFFERS} SELECT listing_id FROM offers WHERE price_yen < 15000 AND (
       NOT EXISTS (SELECT 1 FROM offers AS o WHERE o.entity_id = offers.entity_id AND o.stock_status = 'in_stock' AND o.price_yen < 8000)
       OR NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = offers.entity_id AND p_size > 10))""",
+    "request_scoped_sort_all": f"""WITH {_OFFERS} SELECT entity_id, min(price_yen) AS lowest_matching FROM offers WHERE stock_status = 'in_stock' AND price_yen >= 5000
+      GROUP BY entity_id ORDER BY lowest_matching NULLS LAST, entity_id""",
+    "crawl_fold_all": """WITH o AS (
+      SELECT CAST(user_id AS VARCHAR) AS shop, event_type AS src, ts, event_id, CAST(floor(value) AS BIGINT) AS price FROM events
+    ), s AS (SELECT *, row_number() OVER (PARTITION BY shop, src ORDER BY ts DESC, event_id DESC) AS n FROM o WHERE ts < '2024-01-15'
+    ), b AS (SELECT *, row_number() OVER (PARTITION BY shop, src ORDER BY ts DESC, event_id DESC) AS n FROM o WHERE ts >= '2024-01-15'
+    ), j AS (
+      SELECT s.price AS old, b.price AS new, s.shop IS NOT NULL AS known, b.shop IS NOT NULL AS seen, s.ts AS last
+      FROM (SELECT * FROM s WHERE n = 1) AS s FULL JOIN (SELECT * FROM b WHERE n = 1) AS b ON s.shop = b.shop AND s.src = b.src
+    ), a AS (
+      SELECT *, CASE WHEN NOT known THEN 'insert' WHEN seen AND old <> new THEN 'update' WHEN seen AND last <= TIMESTAMP '2024-02-01' - INTERVAL 360 MINUTES THEN 'touch' WHEN NOT seen THEN 'deactivate' ELSE 'none' END AS action FROM j
+    ) SELECT action, count(*) AS n, CAST(sum(CASE WHEN action IN ('insert', 'update') THEN new ELSE old END) AS BIGINT) AS price_sum,
+      count(*) FILTER (WHERE action = 'update') AS with_previous, count(*) FILTER (WHERE action <> 'deactivate') AS active FROM a GROUP BY action""",
+    "gap_listings_all": f"""WITH {_OFFERS} SELECT listing_id FROM offers WHERE
+      NOT EXISTS (SELECT 1 FROM offers AS o WHERE o.entity_id = offers.entity_id AND o.stock_status = 'in_stock')
+      OR NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = offers.entity_id AND p_size > 10)""",
 }
