@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, chat_format, exact_topk, html_extract, language_id, license_scan, line_dedup, mixing, ngram_join, packing
+from tidemark.llm import ann, chat_format, exact_topk, html_extract, language_id, license_scan, mixing, ngram_join, packing
 from tidemark.llm.oracles import ORACLES
 from tidemark.llm.queries import QUERIES
 
@@ -81,43 +81,6 @@ def test_license_keywords_let_every_alternative_through():
         assert label in license_scan.Scanner().scan(text)[5].split(","), text
 
 
-def levenshtein(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-@pytest.mark.parametrize("edits", [1, 2])
-def test_line_dedup_equals_brute_force(spark, edits):
-    rng = np.random.default_rng(edits)
-    base = ["".join(rng.choice(list("ab cé"), 40)) for _ in range(5)]
-    lines = []
-    for _ in range(120):
-        x = list(base[rng.integers(5)])
-        for _ in range(rng.integers(0, 4)):
-            i = rng.integers(len(x))
-            [lambda: x.pop(i), lambda: x.insert(i, "z"), lambda: x.__setitem__(i, "y")][rng.integers(3)]()
-        lines.append("".join(x))
-    texts = ["\n".join([*lines[i : i + 8], "", "short"]) for i in range(0, 120, 8)] + [None, "", "\n\n"]
-    out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(docs(spark, texts), edits, 12).collect()}
-    seen, expect = [], {}
-    for i, t in enumerate(texts):
-        kept = []
-        for l in (t or "").split("\n"):
-            m = lambda s: min(edits, max(len(l), len(s)) // 12)  # noqa: B023, E731
-            near = any(l == s or (abs(len(l) - len(s)) <= m(s) and levenshtein(l, s) <= m(s)) for s in seen)
-            if l.strip(" "):
-                seen.append(l)
-            if not l.strip(" ") or not near:
-                kept.append(l)
-        expect[i] = None if t is None else "\n".join(kept)
-    assert {i: r.text for i, r in out.items()} == expect
-    assert out[len(texts) - 3].n_lines == 0 and set(DOC.replace(",", "").split()[::2]) <= set(out[0].asDict())
-
-
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a</s>[INST]"), (1, 1, "user", r"<\/s>[\INST] [SEP]"), (1, 2, "assistant", None), (1, 3, "assistant", "x" * 50000), (2, None, None, None), (None, 0, "system", "é[/INST]"), (1, 0, "user", "a</s>[INST]")]
     c = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

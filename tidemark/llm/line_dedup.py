@@ -1,128 +1,233 @@
 """Line dedup: a segment-partition edit join over the distinct lines of all documents, with Spark expressions only.
 
-A line goes if an earlier line (by doc_id, then place) is equal to it or within its edit threshold. If two lines are within
-t edits and one is cut into t + 1 segments, a segment stands unchanged in the other, at a place the lengths narrow down;
-so lines meet by (length, segment number, segment), and a banded edit distance decides.
+A line goes if an earlier line is equal to it or near it. Near is counted in words (what stands between spaces, A-Z as
+a-z, without punctuation marks; a character of a script without spaces is a word): at most t words changed, inserted or left
+out, where t grows with the shorter line's length.
+
+1. If y has m words and x has m + d, and they are within t edits, one of the t + 1 segments of y stands unchanged in x, and
+   the first such segment at a place that the edits before and after it narrow down. So y waits under (m, segment number,
+   segment), and x asks for each m and each such place. Only keys that two different lines share are looked at again.
+2. Under each key all are held against the earliest that waits and the earliest that asks. A line that is near an earlier
+   one is settled, whatever else stands there: groups of copies, however large, end here.
+3. What is open is held against all that stand under its keys, if that makes few pairs for each line. Else the segment
+   shared under a large key is cut out, and what is left of its lines is partitioned again, where lines of one template
+   tell each other apart: a key's pairs are never made in the square of its lines.
+4. The distance is computed bit-parallel in a band of 2 t + 1 diagonals (one bit each) that moves down the lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Edits allowed, and characters a line needs for each: shorter lines than PER_EDIT are only compared for equality.
-EDITS, PER_EDIT = 1, 24
-#: Places (under 64 bytes each) up to which the side that asks for lines' texts may be broadcast; else it is shuffled.
-PLACES = 400_000
+#: Words of the shorter line for each edit that is allowed, and the most edits (8 at most: a line's keys grow
+#: with their square). Lines of fewer words than PER_EDIT are only compared for equality.
+EDITS, PER_EDIT = 2, 10
+#: Pairs for each line up to which open lines are held against all that stand under their keys; beyond it keys are divided.
+FEW = 16
+#: Keys (under 32 bytes each) that may be broadcast; more are joined by a shuffle.
+KEYS = 1_000_000
+#: Marks that don't count.
+MARKS = ".,;:!?\"()"
+#: Scripts that are written without spaces.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) for every line that isn't blank. A null text has no lines."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.trim("line") != "")
-
-
-def _segment(i: int, n: Column, parts: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of n characters: the first ones are shorter by one."""
-    base, longer = F.floor(n / parts).cast("int"), (n % parts)
-    short = parts - longer
-    start = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short)
-    return start, base + F.when(F.lit(i) >= short, 1).otherwise(0)
-
-
-def _sub(start: Column, size: Column) -> Column:
-    return F.substring("line", (start + 1).cast("int"), size.cast("int"))
-
-
-def index_keys(edits: int) -> list[Column]:
-    """Keys under which a line waits: its own length and each of its segments."""
-    n, parts = F.col("n"), edits + 1
-    return [F.xxhash64(n, F.lit(i), _sub(*_segment(i, n, parts))) for i in range(parts)]
-
-
-def probe_keys(edits: int) -> list[Column]:
-    """Keys under which a line asks for lines no longer than itself: for each length down to n - edits and each segment,
-    the substrings whose place both counts, from the left and from the right, allow."""
-    parts, out = edits + 1, []
-    for shorter in range(edits + 1):
-        m = F.col("n") - shorter
-        for i in range(parts):
-            start, size = _segment(i, m, parts)
-            for shift in range(-edits, edits + 1):
-                if abs(shift) <= i and abs(shift - shorter) <= edits - i:
-                    out.append(F.xxhash64(m, F.lit(i), _sub(start + shift, size)))
-    return out
-
-
-def near_lines(docs: DataFrame, distinct: DataFrame, edits: int, per_edit: int) -> DataFrame:
-    """Places (doc_id, line_no) of distinct lines that have an earlier line within the threshold but not equal."""
-    long = distinct.where(F.col("n") >= per_edit)
-    names = lambda kind: F.array_distinct(F.array(*(c for c in distinct.columns if c.startswith(kind))))
-    waits = long.select(F.explode(names("own_")).alias("key"), F.col("at").alias("y"), F.col("n").alias("m"))
-    asks = long.select(F.explode(names("ask_")).alias("key"), F.col("at").alias("x"), "n")
-    # of two lines of one length each asks for the other: one of the two will do
-    pairs = waits.join(asks, "key").where(F.expr("m < n AND x <> y OR m = n AND y < x"))
-    pairs = pairs.select(F.greatest("x", "y").alias("later"), F.least("x", "y").alias("earlier")).distinct()
-    pairs = materialize(pairs, "line-pairs")
-    places = pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct().select("at.*")
-    places = materialize(places, "places")
-    # a null doc_id has no place to be joined by: -1 stands for null in a column of its own
-    keyed = lambda df: df.withColumns({"_null": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(-1))})
-    wanted = keyed(places).select("_null", "_id", "line_no")
-    wanted = F.broadcast(wanted) if places.count() <= PLACES else wanted
-    texts = keyed(split_lines(docs)).join(wanted, ["_null", "_id", "line_no"], "left_semi")
-    texts = texts.groupBy(F.struct("doc_id", "line_no").alias("at")).agg(F.min("line").alias("line"))
-    texts = materialize(texts.withColumn("h", F.xxhash64("at")), "line-texts")
-    side = lambda name: texts.select(F.col("h").alias(f"h_{name}"), F.col("at").alias(name), F.col("line").alias(f"{name}_line"))
-    for name in ("later", "earlier"):
-        found = side(name).withColumnRenamed(name, "_at")
-        pairs = pairs.withColumn(f"h_{name}", F.xxhash64(name)).join(found, f"h_{name}").where(F.col("_at").eqNullSafe(F.col(name))).drop("_at", f"h_{name}")
-    n = F.greatest(F.length("later_line"), F.length("earlier_line"))
-    most = F.least(F.lit(edits), F.floor(n / per_edit).cast("int"))
-    distance = F.levenshtein("later_line", "earlier_line", edits)  # banded: -1 beyond the threshold
-    return pairs.where((distance >= 0) & (distance <= most)).select("later.*").distinct()
-
-
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """(at, line) for every line that isn't blank (white space only). at is its place: (doc_id is known, doc_id, hash of the
+    text, number of the line), which sorts null ids first and tells apart the texts of a repeated id. A null text has none."""
+    lines = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    at = F.struct(F.col("d").isNotNull().alias("known"), F.coalesce("d", F.lit(0)).cast("long").alias("d"), "th", "i")
+    return lines.where(F.col("line").rlike(r"\S")).select(at.alias("at"), "line")
+
+
+def words(line: Column) -> Column:
+    spaced = F.when(F.octet_length(line) > 2 * F.length(line), F.regexp_replace(line, _UNSPACED, " $1 ")).otherwise(line)
+    return F.split(F.trim(F.translate(spaced, ascii_uppercase + "\t\r" + MARKS, ascii_lowercase + "  ")), " ")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def distance(a: Column, b: Column, edits: int) -> Column:
+    """Edit distance of arrays a and b, b not the shorter one, exact up to `edits`, more than that beyond.
+
+    In the column of b's word j, bit k stands for row j - edits + k of a. vp and vn say where the distance rises or falls by
+    one from a row to the next, d0 where it stays the same along the diagonal; after each word the band moves by a row.
+    """
+    one = lambda v: F.lit(v).cast("long")
+    mask, more = one((1 << (2 * edits + 1)) - 1), F.size(b) - F.size(a)
+    match = F.transform(b, lambda y, j: reduce(lambda x, z: x.bitwiseOR(z), (F.when(F.get(a, j - edits + k) == y, one(1 << k)).otherwise(one(0)) for k in range(2 * edits + 1))))
+
+    def step(s: Column, m: Column) -> Column:
+        def after(d0: Column) -> Column:
+            def moved(hp: Column) -> Column:
+                down = F.shiftright(d0, 1)
+                vp = d0.bitwiseAND(s.vp).bitwiseOR(F.bitwise_not(down.bitwiseOR(hp))).bitwiseAND(mask)
+                stays = F.expr("1L") - F.call_function("shiftright", d0, edits - more).bitwiseAND(one(1))
+                return F.struct(vp.alias("vp"), down.bitwiseAND(hp).alias("vn"), (s.j + 1).alias("j"), F.when(s.j >= more, s.sum + stays).otherwise(s.sum).alias("sum"))
+
+            return _let(s.vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(s.vp))).bitwiseAND(mask), moved)
+
+        x = m.bitwiseOR(s.vn)
+        return _let((x.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp).bitwiseOR(x).bitwiseAND(mask), after)
+
+    start = F.struct(one(((1 << (edits + 1)) - 1) << edits).alias("vp"), one(0).alias("vn"), F.lit(0).alias("j"), more.cast("long").alias("sum"))
+    return F.aggregate(match, start, step, lambda s: s.sum)
+
+
+def near(a: Column, b: Column, most: Column, edits: int) -> Column:
+    """Whether a and b are within `most` edits: first by the words that one has and the other lacks, then by the distance."""
+    short, long = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
+    few = (F.size(F.array_except(a, b)) <= most) & (F.size(F.array_except(b, a)) <= most)
+    return F.when(few, _let(F.struct(short.alias("s"), long.alias("l")), lambda p: distance(p.s, p.l, edits) <= most)).otherwise(False)
+
+
+def places(edits: int, more: int) -> list[tuple[int, int]]:
+    """(segment, shift): where a line asks for segments of one that is `more` words shorter. The first unchanged segment i has
+    an edit at least in each one before it (a word put in before a segment counts for it), so the first isn't shifted."""
+    return [(i, a) for i in range(edits + 1) for a in range(-edits, edits + 1) if (i or not a) and max(i, abs(a)) + abs(more - a) <= edits]
+
+
+def cuts(edits: int, rest: bool) -> Column:
+    """All ways to take part, as a constant array: t, the number of parts, role (0 waits, 1 asks), how many words shorter the
+    line asked for is, the segment, its shift, and whether there is a key of the segment before without another shift. What
+    is left of a line (rest) may have t words or less: then each word is a segment, and any word of the other may be it; and
+    for pairs that share no more words (segment -1) the shift says by its bits which gaps between cut words they share."""
+    rows = []
+    for t in range(1, edits + 1):
+        rows += [(t, t + 1, 0, 0, i, 0, i > 0) for i in range(t + 1)]
+        rows += [(t, t + 1, 1, more, i, a, (i - 1, a) in places(t, more)) for more in range(t + 1) for i, a in places(t, more)]
+        for parts in range(t + 1 if rest else 0):
+            rows += [(t, parts, 0, 0, i, 0, False) for i in range(parts)]
+            rows += [(t, parts, 1, 0, i, j - i, False) for i in range(parts) for j in range(parts + t)]
+            rows += [(t, parts, role, 0, -1, bits, False) for role in (0, 1) for bits in range(1 << t)]
+    names = ("t", "parts", "role", "more", "i", "shift", "before")
+    return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, row))) for row in rows))
+
+
+def keyed(lines: DataFrame, keep: list[str], edits: int, per_edit: int | None = None) -> DataFrame:
+    """lines with role, key, q, start, size, t and more for each place where they wait or ask: of whole lines (words w), or,
+    without per_edit, of what is left of them (words r, each with the number g of cut words before it) under their key.
+
+    A key is (number of words m of the line that waits, segment, its words). The first segments are shorter by one. q is the
+    segment before, read without another shift: two lines that agree on it as well are left to its own key, if there is one,
+    for what stands equal before an equal segment can be cut out with it, and the distance stays the same. Where no such
+    key is, q is 0 for a line that waits and 1 for one that asks.
+    """
+    rest = per_edit is None
+    out = lines.withColumn("c", F.explode(cuts(edits, rest))).withColumn("n", F.size("r" if rest else "w"))
+    if rest:
+        out = out.where("c.t = t AND c.role = role").withColumn("m", F.expr("n - IF(role = 0, 0, more)"))
+        out = out.where("IF(c.parts > t, m > t AND (role = 0 OR c.more = more), m = c.parts)")
+        # gaps: lines of m and n words that share b gaps and no words are m + n - b edits apart
+        out = out.where("c.i >= 0 OR n <= t AND c.shift < shiftleft(1, n) AND (role = 0 OR bit_count(c.shift) >= m + n - t)")
+    else:
+        out = out.withColumn("m", F.expr("n - c.more")).where(f"least({edits}, m div {per_edit}) = c.t")
+    out = out.withColumns({"base": F.expr("IF(c.i < 0, 0, cast(m div greatest(c.parts, 1) AS int))"), "short": F.expr("IF(c.i < 0, 0, c.parts - m % greatest(c.parts, 1))")})
+    out = out.withColumns({"a": F.expr("IF(c.i < 0, 0, c.i * base + greatest(0, c.i - short) + c.shift)"), "z": F.expr("IF(c.i < 0, 0, base + IF(c.i >= short, 1, 0))")})
+    out = out.where("a >= 0 AND a + z <= n")
+    # the segment before ends where this one starts, and is as long, or shorter by one
+    out = out.withColumn("y", F.expr("IF(c.i - 1 >= short, base + 1, base)"))
+    part = lambda s, z: f"slice(r, {s}, {z}), slice(g, {s}, {z})" if rest else f"slice(w, {s}, {z})"
+    key = f"xxhash64(m, c.i, {part('a + 1', 'z')})"
+    if rest:
+        key = f"IF(c.i < 0, xxhash64(key, c.i, filter(g, (x, k) -> getbit(c.shift, k) = 1)), xxhash64(key, m, c.i, {part('a + 1', 'z')}))"
+    return out.select(
+        *keep, F.expr(key).alias("key"), F.expr(f"IF(c.before AND a >= y, xxhash64({part('greatest(a - y, 0) + 1', 'y')}), cast(c.role AS long))").alias("q"),
+        F.col("c.role").alias("role"), F.col("a").alias("start"), F.col("z").alias("size"), F.col("c.t").alias("t"), F.col("more" if rest else "c.more").alias("more"),
+    )
+
+
+def near_lines(docs: DataFrame, edits: int, per_edit: int, few: int = FEW) -> DataFrame:
+    """(at) of the distinct lines that have an earlier line near them but not equal."""
+    lines = split_lines(docs).select("at", F.xxhash64("line").alias("h"), words(F.col("line")).alias("w"))
+    # equal lines are one: those of a task before the shuffle, and a key counts only if two different ones have it
+    own, ask = (F.when(F.col("role") == r, F.col("h")) for r in (0, 1))
+    keys = keyed(lines, ["h"], edits, per_edit).groupBy("key").agg(F.min(own).alias("o0"), F.max(own).alias("o1"), F.min(ask).alias("a0"), F.max(ask).alias("a1"))
+    keys = materialize(keys.where("o0 <> a0 OR o0 <> a1 OR o1 <> a0").select("key"), "keys")
+    side = F.broadcast(keys) if keys.count() <= KEYS else keys
+    level = keyed(lines, ["at", "h", "w"], edits, per_edit).join(side, "key")
+    level = level.groupBy("key", "role", "h", "start", "size", "t", "more", "q").agg(F.min("at").alias("at"), F.first("w").alias("w")).drop("h")
+    own, ask = F.col("role") == 0, F.col("role") == 1
+    settled, limit = None, 0
+    while True:
+        level = materialize(level, "lines-by-key")
+        # partners of a row: those that stand on the other side under its key, without those of its own class
+        by_class = level.groupBy("key", "q").agg(F.count_if(own).alias("own_q"), F.count_if(ask).alias("ask_q"))
+        by_key = by_class.groupBy("key").agg(F.sum("own_q").alias("n_own"), F.sum("ask_q").alias("n_ask"))
+        n = F.when(own, F.col("n_ask") - F.col("ask_q")).otherwise(F.col("n_own") - F.col("own_q"))
+        met = materialize(level.join(by_class.join(by_key, "key"), ["key", "q"]).withColumn("n", n).where("n > 0").drop("own_q", "ask_q", "n_own", "n_ask"), "lines-that-meet")
+        first = F.struct("at", "w", "q")
+        hubs = met.groupBy("key").agg(F.min(F.when(own, first)).alias("own"), F.min(F.when(ask, first)).alias("ask"), F.count("*").alias("members"))
+        beside = met.join(hubs, "key").withColumn("hub", F.when(own, F.col("ask")).otherwise(F.col("own"))).where("hub.at < at")
+        tried = beside.select("key", "q", "role", "at", "w", "t", "n", "members", ((F.col("hub.q") != F.col("q")) & near(F.col("w"), F.col("hub.w"), F.col("t"), edits)).alias("near"))
+        tried = materialize(tried, "beside-hubs")
+        now = tried.where("near").select("at")
+        settled = materialize((now if settled is None else settled.unionByName(now)).distinct(), "settled")
+        todo = materialize(tried.where("NOT near").join(settled, "at", "left_anti"), "open")
+        # all that is open is held against all it stands beside, as long as that is in proportion to the lines: few for each
+        work = todo.groupBy("key").agg(F.sum("n").alias("pairs"), F.first("members").alias("members"))
+        limit = limit or few * level.count()
+        hot = work.where(F.col("pairs") > few * F.col("members")).select("key", "pairs")
+        hot = hot.select("key") if (hot.agg(F.sum("pairs")).first()[0] or 0) > limit else None
+        some = (todo if hot is None else todo.join(hot, "key", "left_anti")).select("key", (1 - F.col("role")).alias("role"), "q", "at", "w", "t")
+        other = met.select("key", "role", F.col("q").alias("q_2"), F.col("at").alias("at_2"), F.col("w").alias("w_2"))
+        pairs = some.join(other, ["key", "role"]).where("at_2 < at AND q <> q_2").where(near(F.col("w"), F.col("w_2"), F.col("t"), edits))
+        settled = materialize(settled.unionByName(pairs.select("at")).distinct(), "settled")
+        if hot is None:
+            return settled
+        if "r" not in met.columns:
+            met = met.withColumns({"r": F.col("w"), "g": F.array_repeat(F.lit(0), F.size("w"))})
+        head = lambda c: F.slice(c, F.lit(1), F.col("start"))
+        tail = lambda c: F.slice(c, F.col("start") + F.col("size") + 1, F.size(c))
+        cut = {"r": F.concat(head("r"), tail("r")), "g": F.concat(head("g"), F.transform(tail("g"), lambda x: x + F.col("size")))}
+        level = keyed(met.join(hot, "key").withColumns(cut), ["at", "w", "r", "g"], edits).distinct()
+
+
+def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, few: int = FEW) -> DataFrame:
     """docs with text without its repeated lines, n_lines, n_equal and n_near (lines gone by equality, by edits).
 
-    A line goes if an earlier one is equal, or has an edit distance of at most min(edits, n // per_edit) for the longer
-    line's length n; whether that earlier line itself stays doesn't matter. Blank lines stay. A null text stays null; a
-    text all of whose lines go becomes '' (or its blank lines). A null doc_id comes first in the order. Rows that repeat a
-    doc_id are told apart by nothing: the same place in them counts as one line's place, and what stays at it stays in
-    each. Columns n_lines, n_equal and n_near of docs, if any, are replaced. An empty table gives no rows.
+    A line goes if an earlier one is equal, or is at most min(edits, m // per_edit) words away, where m is the number of
+    words of the shorter line; whether that earlier line itself stays doesn't matter. Earlier is by doc_id, then by place.
+    Blank lines (white space only) stay. A null text stays null; a text all of whose lines go becomes '' (or its blank
+    lines). A null doc_id comes first in the order. Texts of a repeated doc_id are told apart by their hash; rows that
+    repeat both are one document, and what stays of it stays in each of them. Other columns, whatever their names, are
+    carried along; columns n_lines, n_equal and n_near of docs are replaced. An empty table gives no rows.
     """
+    if not 1 <= edits <= 8 or per_edit < edits + 1:
+        raise ValueError("edits must be from 1 to 8, and per_edit more than edits")
     docs = docs.drop("n_lines", "n_equal", "n_near")
-    lines = split_lines(docs).withColumn("n", F.length("line"))
-    keys = {f"own_{i}": k for i, k in enumerate(index_keys(edits))} | {f"ask_{i}": k for i, k in enumerate(probe_keys(edits))}
-    long = F.col("n") >= per_edit
-    hashed = lines.select(
-        F.struct("doc_id", "line_no").alias("at"), "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
-        *(F.when(long, k).alias(name) for name, k in keys.items()),
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # equal lines meet by 128 bits of hash; map-side minimums keep a line that is everywhere from filling one task
-    distinct = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ["n", *keys]))
-    distinct = materialize(distinct.drop("h1", "h2"), "lines")
-    near = materialize(near_lines(docs, distinct, edits, per_edit), "near")
-    # flag the near ones by aggregation: null ids meet in groupBy, as they would not in a join
-    flags = distinct.select("at.*", F.lit(False).alias("near")).unionByName(near.withColumn("near", F.lit(True)))
-    flags = flags.groupBy("doc_id", "line_no").agg(F.max("near").alias("near"))
-    kept = flags.groupBy(F.col("doc_id").alias("_id")).agg(
-        F.array_sort(F.collect_list(F.when(~F.col("near"), F.col("line_no")))).alias("_keep"), F.count_if("near").alias("n_near")
+    firsts = split_lines(texts).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.min("at").alias("at"))
+    flags = firsts.select("at", F.lit(False).alias("near")).unionByName(near_lines(texts, edits, per_edit, few).withColumn("near", F.lit(True)))
+    flags = flags.groupBy("at").agg(F.max("near").alias("near"))
+    kept = flags.groupBy("at.known", "at.d", "at.th").agg(
+        F.array_sort(F.collect_list(F.when(~F.col("near"), F.col("at.i")))).alias("keep"), F.count_if("near").alias("near")
     )
     # split before the join and joined as lines: an expression inside a lambda would be evaluated for each line anew
-    others = [c for c in docs.columns if c != "text"]
-    parts = docs.select(*others, F.split("text", "\n").alias("_parts"))
-    out = parts.join(kept, parts["doc_id"].eqNullSafe(kept["_id"]), "left")
-    blank = F.filter(F.transform("_parts", lambda x, i: F.when(F.trim(x) == "", i)), lambda i: i.isNotNull())
-    keep = F.filter(F.coalesce("_keep", F.array().cast("array<int>")), lambda i: i < F.size("_parts"))
-    out = out.select(*others, "_parts", "n_near", blank.alias("_blank"), keep.alias("_keep"))
-    text = F.array_join(F.transform(F.array_sort(F.concat("_keep", "_blank")), lambda i: F.get("_parts", i)), "\n")
-    lines_of = F.when(F.col("_parts").isNull(), 0).otherwise(F.size("_parts") - F.size("_blank")).cast("long")
-    n_near = F.when(F.col("_parts").isNull(), 0).otherwise(F.coalesce("n_near", F.lit(0))).cast("long")
-    n_equal = F.when(F.col("_parts").isNull(), 0).otherwise(F.greatest(F.lit(0), lines_of - F.size("_keep") - n_near)).cast("long")
+    of = lambda c: F.col(f"`{c}`")
+    others = F.struct(*(of(c) for c in docs.columns if c != "text"), F.lit(0).alias("\0"))
+    rows = docs.select(
+        others.alias("row"), F.split(of("text").cast("string"), "\n").alias("parts"), of("doc_id").isNotNull().alias("known"),
+        F.coalesce(of("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(of("text").cast("string")).alias("th"),
+    )
+    out = rows.join(kept, ["known", "d", "th"], "left")
+    blank = F.array_compact(F.transform("parts", lambda x, i: F.when(~x.rlike(r"\S"), i)))
+    out = out.select("row", "parts", "near", blank.alias("blank"), F.coalesce("keep", F.array().cast("array<int>")).alias("keep"))
+    text = F.array_join(F.transform(F.array_sort(F.concat("keep", "blank")), lambda i: F.get("parts", i)), "\n")
+    count = lambda c: F.when(F.col("parts").isNull(), 0).otherwise(c).cast("long")
+    n_lines, n_near = F.size("parts") - F.size("blank"), F.coalesce("near", F.lit(0))
     return out.select(
-        *(text.alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        lines_of.alias("n_lines"), n_equal.alias("n_equal"), n_near.alias("n_near"),
+        *(F.when(F.col("parts").isNotNull(), text).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns),
+        count(n_lines).alias("n_lines"), count(n_lines - F.size("keep") - n_near).alias("n_equal"), count(n_near).alias("n_near"),
     )
