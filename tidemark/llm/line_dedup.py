@@ -1,8 +1,8 @@
 """Line dedup: a segment-partition edit join over the distinct lines of all documents, with Spark expressions only.
 
-A line goes if an earlier line is equal to it or near it. Near is counted in words (what stands between spaces, A-Z as
-a-z, without punctuation marks; a character of a script without spaces is a word): at most t words changed, inserted or left
-out, where t grows with the shorter line's length.
+A line goes if an earlier line is equal to it or near it. Near is counted in words (what stands between spaces; a character
+of a script without spaces is a word): at most t words changed, inserted or left out, where t grows with the shorter
+line's length.
 
 1. If y has m words and x has m + d, and they are within t edits, one of the t + 1 segments of y stands unchanged in x, and
    the first such segment at a place that the edits before and after it narrow down. So y waits under (m, segment number,
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +32,6 @@ EDITS, PER_EDIT = 2, 10
 FEW = 16
 #: Keys (under 32 bytes each) that may be broadcast; more are joined by a shuffle.
 KEYS = 1_000_000
-#: Marks that don't count.
-MARKS = ".,;:!?\"()"
 #: Scripts that are written without spaces.
 _UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
@@ -48,8 +45,7 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def words(line: Column) -> Column:
-    spaced = F.when(F.octet_length(line) > 2 * F.length(line), F.regexp_replace(line, _UNSPACED, " $1 ")).otherwise(line)
-    return F.split(F.trim(F.translate(spaced, ascii_uppercase + "\t\r" + MARKS, ascii_lowercase + "  ")), " ")
+    return F.split(F.when(F.octet_length(line) > 2 * F.length(line), F.regexp_replace(line, _UNSPACED, " $1 ")).otherwise(line), " ")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -156,7 +152,7 @@ def near_lines(docs: DataFrame, edits: int, per_edit: int, few: int = FEW) -> Da
     keys = materialize(keys.where("o0 <> a0 OR o0 <> a1 OR o1 <> a0").select("key"), "keys")
     side = F.broadcast(keys) if keys.count() <= KEYS else keys
     level = keyed(lines, ["at", "h", "w"], edits, per_edit).join(side, "key")
-    level = level.groupBy("key", "role", "h", "start", "size", "t", "more", "q").agg(F.min("at").alias("at"), F.first("w").alias("w")).drop("h")
+    level = level.groupBy("key", "role", "h", "start", "size", "t", "more", "q").agg(F.min("at").alias("at"), F.first(F.transform("w", lambda x: F.xxhash64(x))).alias("w")).drop("h")
     own, ask = F.col("role") == 0, F.col("role") == 1
     settled, limit = None, 0
     while True:
