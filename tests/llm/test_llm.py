@@ -28,8 +28,12 @@ def test_topk_ties_nulls_and_empty(spark):
     assert [(r.vec_id, r.score) for r in out] == [(1, 65536), (2, 65536), (2, 65536)]
     assert exact_topk.exact_topk(e, e.where("vec_id = 6"), 9).orderBy(F.desc("rank")).first().score == -256
     assert exact_topk.exact_topk(e.limit(0), e, 3).count() == 0
-    huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<double>")
-    assert exact_topk.exact_topk(huge, huge, 1).count() == 2
+    # sums up to what a long holds are ranked rightly; beyond it the operator fails
+    huge = spark.createDataFrame([(0, [1e7], 1), (1, [3e7], 1), (2, [4e7], 1), (3, [35000000.5], 1), (4, [-3e6], 1)], "vec_id long, embedding array<double>, score int")
+    got = exact_topk.exact_topk(huge, huge.where("vec_id = 4"), 4).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, -int(3e6 * 256) * int(v * 256)) for i, v in ((0, 1e7), (1, 3e7), (3, 35000000.5), (2, 4e7))]
+    with pytest.raises(Exception, match="fit a long"):
+        exact_topk.exact_topk(huge, spark.createDataFrame([(9, [1e30])], "vec_id long, embedding array<double>"), 1).collect()
 
 
 def test_licenses(spark):
@@ -94,7 +98,6 @@ def test_packing(spark):
 
     texts = ["hello world", None, "", "it's ²½ x\x1c  \n\n  y <|endoftext|>", "word " * 9000] + [f"n {i} " * (i % 97) for i in range(200)]
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     rows = packing.pack(docs(spark, texts), group=50).collect()
     for i, t in enumerate(texts):
         ids = np.frombuffer(b"".join(r.ids for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)), "<u4")
@@ -105,6 +108,8 @@ def test_packing(spark):
         used[r.sequence_id] = r.offset + r.length
     assert max(used.values()) <= 2048 and sum(used.values()) > 0.9 * 2048 * len(used) - 4 * 2048
     assert packing.pack(docs(spark, texts).limit(0)).count() == 0
+    twice = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b")], "doc_id long, text string")
+    assert [r.doc_id for r in packing.pack(twice).orderBy("doc_id").collect()] == [None, None, 1]
 
 
 def test_first_fit_decreasing_equals_brute_force():
@@ -131,6 +136,10 @@ def test_ann_recall_and_copies(spark):
         s[[q, 800, 801]] = -1e9
         best = sorted(range(802), key=lambda i: (-round(s[i], 9), i))[:10]
         hit += len(set(best) & set(out[out.query_id == q].vec_id))
+    odd = spark.createDataFrame([(0, [1.0], 1), (1, [2.0, 1.0], 1), (2, [1.0, 3.0, 1.0, 1.0], 1), (3, [3.0, 0.0], 1), (4, [5.0], 1)], "vec_id long, embedding array<float>, score int")
+    got = {(r.query_id, r.vec_id, r.score) for r in ann.nearest(odd, odd, 5).collect()}  # only vectors of one length meet
+    assert got == {(0, 4, 5.0), (4, 0, 5.0), (1, 3, 6.0), (3, 1, 6.0)}
+    assert ann.nearest(odd.limit(0), odd, 5).count() == 0 and ann.nearest(odd, odd.limit(0), 5).count() == 0
     assert hit / 400 > 0.9 and set(out.groupby("query_id").size()) == {10}
 
 

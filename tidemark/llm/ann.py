@@ -138,10 +138,10 @@ _INDEX = "shard int, vids binary, starts binary, vectors binary, dim int, nodes
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, m: int = M) -> DataFrame:
-    """One row per shard: distinct vectors, the ids of each (starts: where they begin), and the layers of the graph."""
+    """One row per shard and length of vectors: distinct vectors, the ids of each (starts: where they begin), and the layers of the graph."""
     held = vectors.select(F.col(id_col).cast("long").alias("vid"), F.col(vec_col).cast("array<double>").alias("vec")).where("vid IS NOT NULL")
     held = held.where(usable("vec"))
-    rows = held.withColumn("shard", spread(blocks(held.count(), shard)))
+    rows = held.withColumn("shard", spread(blocks(held.count(), shard))).withColumn("dim", F.size("vec"))
 
     def run(key, t):
         vid, x = t.column("vid").to_numpy(), _floats(t.column("vec"))
@@ -155,7 +155,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
         }
         return pa.table(row, schema=pa.schema([("shard", pa.int32()), ("vids", pa.binary()), ("starts", pa.binary()), ("vectors", pa.binary()), ("dim", pa.int32()), ("nodes", pa.list_(pa.binary())), ("links", pa.list_(pa.binary()))]))
 
-    return rows.groupBy("shard").applyInArrow(run, _INDEX)
+    return rows.groupBy("shard", "dim").applyInArrow(run, _INDEX)
 
 
 def usable(name: str):
@@ -167,11 +167,10 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     """(query_id, rank, vec_id, score) over all shards of an index that has been written."""
     asked = queries.select(F.col(id_col).cast("long").alias("vid"), F.col(vec_col).cast("array<double>").alias("vec")).where("vid IS NOT NULL")
     asked = materialize(asked.where(usable("vec")).withColumn("qkey", F.monotonically_increasing_id()), "queries")
-    shards, nq = index.count(), blocks(asked.count(), block)
-    right = asked.withColumn("qb", F.pmod(F.xxhash64("qkey"), F.lit(nq)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("qkey", "vid", "vec")).alias("rows"))
-    numbers = index.select("shard").toPandas()["shard"].astype(int).tolist() if shards else []  # one number a shard
+    shards, nq = (index.agg(F.max("shard")).first()[0] or 0) + 1, blocks(asked.count(), block)
+    right = asked.withColumn("qb", F.pmod(F.xxhash64("qkey"), F.lit(nq)).cast("int")).groupBy("qb", F.size("vec").alias("dim")).agg(F.collect_list(F.struct("qkey", "vid", "vec")).alias("rows"))
     left = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    right = right.withColumn("shard", F.explode(F.array(*(F.lit(i) for i in numbers)).cast("array<int>")))
+    right = right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(key, a, b):
         out = {"qkey": [], "query_id": [], "vec_id": [], "score": []}
@@ -183,21 +182,20 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
             g = Graph(_augmented(x), [(np.frombuffer(n, np.int32), l) for n, l in zip(row["nodes"], links)])
             s = b.column("rows").combine_chunks().flatten()
             qkey, qid, q = np.asarray(s.field(0)), np.asarray(s.field(1)), _floats(s.field(2))
-            if q.shape[1] == x.shape[1]:
-                found = g.search(q, max(ef, k + 1))
-                for i in range(len(q)):
-                    f = found[i][found[i] >= 0]
-                    score = (x[f] * q[i]).sum(axis=1)  # in double, the same way for every row: equal vectors tie exactly
-                    f, score = f[np.argsort(-score, kind="stable")][: k + 1], np.sort(-score, kind="stable")[: k + 1] * -1
-                    for j, v in zip(f, score):
-                        ids = vids[starts[j] : starts[j + 1]]
-                        ids = ids[ids != qid[i]][:k]  # by id: of equal vectors no more than k can count
-                        for name, c in (("qkey", np.full(len(ids), qkey[i])), ("query_id", np.full(len(ids), qid[i])), ("vec_id", ids), ("score", np.full(len(ids), v))):
-                            out[name].append(c)
+            found = g.search(q, max(ef, k + 1))
+            for i in range(len(q)):
+                f = found[i][found[i] >= 0]
+                score = (x[f] * q[i]).sum(axis=1)  # in double, the same way for every row: equal vectors tie exactly
+                f, score = f[np.argsort(-score, kind="stable")][: k + 1], np.sort(-score, kind="stable")[: k + 1] * -1
+                for j, v in zip(f, score):
+                    ids = vids[starts[j] : starts[j + 1]]
+                    ids = ids[ids != qid[i]][:k]  # by id: of equal vectors no more than k can count
+                    for name, c in (("qkey", np.full(len(ids), qkey[i])), ("query_id", np.full(len(ids), qid[i])), ("vec_id", ids), ("score", np.full(len(ids), v))):
+                        out[name].append(c)
         kinds = {"qkey": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         return pa.table({n: pa.array(np.concatenate(v) if v else [], kinds[n]) for n, v in out.items()})
 
-    found = left.groupBy("shard", "qb").cogroup(right.groupBy("shard", "qb")).applyInArrow(run, "qkey long, query_id long, vec_id long, score double")
+    found = left.groupBy("shard", "dim", "qb").cogroup(right.groupBy("shard", "dim", "qb")).applyInArrow(run, "qkey long, query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("qkey").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -206,8 +204,8 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     """Each query's k nearest found by largest inner product, ties to smaller id; rows with the query's id are left out.
 
     Rows whose id is null, or whose vector is null, zero or holds a null or non-finite component, take no part. Repeated
-    candidate rows count as often as they occur, repeated query rows are answered each time. Vectors of one table have one
-    length; a query of another length than a shard's finds nothing there. Empty tables give no rows. Every row is indexed;
+    candidate rows count as often as they occur, repeated query rows are answered each time. A query only
+    finds vectors of its own length. Empty tables give no rows. Every row is indexed;
     equal vectors of a shard are one node, so copies, however many, neither crowd the graph nor hide others.
     """
     index = materialize(build_index(candidates, id_col, vec_col), "shards")

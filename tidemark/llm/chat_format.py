@@ -36,9 +36,10 @@ def format_chats(conversations: DataFrame, trained_role: str = "assistant") -> D
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(
-        "conv_id", F.struct(F.col("turn"), escape(empty("role")).alias("role"), escape(empty("text")).alias("text")).alias("t")
+        "conv_id", F.struct(F.col("turn"), empty("role").alias("role"), empty("text").alias("text")).alias("t")
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    chats = chats.select("conv_id", F.transform("t", lambda x: F.struct(escape(x.role).alias("role"), escape(x.text).alias("text"))).alias("t"))
     n = F.size("t")
     same = lambda i: F.element_at("t", i).role == F.element_at("t", i - 1).role
     begins = F.filter(F.sequence(F.lit(1), n), lambda i: F.when(i == 1, F.lit(True)).otherwise(~same(i)))
@@ -58,14 +59,19 @@ def format_chats(conversations: DataFrame, trained_role: str = "assistant") -> D
         ))),
     )))
     chats = chats.select("conv_id", pieces.alias("pieces"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    walk = F.aggregate("pieces", zero, lambda acc, p: F.struct(
-        (acc.at + F.length(p.s)).alias("at"),
-        F.when(p.loss, F.array_append(acc.spans, F.struct(acc.at.alias("start"), F.length(p.s).cast("long").alias("length")))).otherwise(acc.spans).alias("spans"),
-    ))
-    return chats.select(
-        "conv_id", F.array_join(F.transform("pieces", lambda p: p.s), "").alias("formatted"), walk.spans.alias("loss_mask")
-    )
+    ends = running_sums(F.transform("pieces", lambda p: F.length(p.s).cast("long")))
+    spans = F.zip_with("pieces", ends, lambda p, e: F.when(p.loss, F.struct((e - F.length(p.s)).alias("start"), F.length(p.s).cast("long").alias("length"))))
+    return chats.select("conv_id", F.array_join(F.transform("pieces", lambda p: p.s), "").alias("formatted"), F.array_compact(spans).alias("loss_mask"))
+
+
+def running_sums(sizes: Column) -> Column:
+    """Sums of an array up to each place: every pass adds what stands 1, 2, 4, ... places before, as long as there is any."""
+    def added(by: int):
+        return lambda c: F.when(F.size(c) > by, F.transform(c, lambda x, i: x + F.coalesce(F.get(c, i - by), F.lit(0)))).otherwise(c)
+
+    for k in range(31):
+        sizes = F.get(F.transform(F.array(sizes), added(1 << k)), F.lit(0))
+    return sizes
 
 
 def read_turns(formatted: Column) -> Column:

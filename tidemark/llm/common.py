@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, which returns a task's memory to the system at its end: Python workers live on and serve other tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def blocks(count: int, size: int) -> int:
     return max(1, -(-count // size))
 
@@ -60,8 +78,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     cur = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
+    digest = [F.count("*"), F.sum(F.hash("u", "v").cast("long"))]
+    total = cur.agg(*digest).first()
     while True:
-        total = cur.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if not total[0]:
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -74,7 +93,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = materialize(small, "edges")
-        again = small.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        cur = small
-        if tuple(again) == tuple(total):
+        before, total, cur = total, small.agg(*digest).first(), small
+        if tuple(before) == tuple(total):
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import releasing
+
 ORDER = 3
 #: Documented bound of the training sample: whole texts of so many rows of each language, those of smallest hash.
 TRAIN_ROWS = 400
-#: Documented bound on the number of languages: those with most rows (ties by name). Their models are sent to all tasks.
-LANGUAGES = 256
 
 
 @dataclass
@@ -51,7 +51,7 @@ def fit_counts(rows: DataFrame) -> DataFrame:
                 g, n = np.unique(grams(text.encode(), ORDER), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
+    counted = rows.select("lang", "text").mapInArrow(releasing(run), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -107,14 +107,13 @@ def code_lengths(model: Model, text: str) -> np.ndarray:
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on the bounded sample. Rows with null text, null lang or empty text teach nothing. None without any such row."""
     ids = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    top = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    languages = sorted(r.lang for r in top.collect())
+    languages = sorted(r.lang for r in ids.select("lang").distinct().collect())  # one name a language
     if not languages:
         return None
     ids = ids.select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    some = ids.select("lang", "h").withColumn("place", place).where((F.col("place") <= rows) & F.col("lang").isin(languages))
-    # at most rows x LANGUAGES hashes, so this side may be broadcast
+    some = ids.select("lang", "h").withColumn("place", place).where(F.col("place") <= rows)
+    # at most `rows` hashes a language, so this side may be broadcast
     sample = ids.join(F.broadcast(some.select("lang", "h").distinct()), ["lang", "h"], "left_semi")
     sample = sample.dropDuplicates(["lang", "h"])
     counts = fit_counts(sample).toPandas()
@@ -148,7 +147,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 score.append(float(1.0 / np.exp2(np.maximum(bits[i] - bits, -1000)).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(releasing(run), schema)
 
 
 def identify(docs: DataFrame, held_out=None, rows: int = TRAIN_ROWS) -> DataFrame:

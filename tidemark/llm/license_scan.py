@@ -89,7 +89,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id with the counts of base phrases, all labels, a score and the detections; one row for each row of docs.
 
     A null or empty text has 0 words, no labels and score 0. Whole texts are scanned where they are read; nothing is
-    shuffled. first_word and last_word are null without a base phrase. score is the confidence of the best detection.
+    shuffled. Other columns of docs are ignored, repeated rows are each answered, an empty table gives no rows. first_word and last_word are null without a base phrase. score is the confidence of the best detection.
     """
     names = [c.split()[0] for c in COLUMNS.split(", detections")[0].split(", ")] + ["detections"]
 

@@ -84,14 +84,16 @@ def mix(docs: DataFrame, total: int | None = None, epochs: int = EPOCHS, seed: s
 
     Epoch e orders a leaf's rows by md5(seed, e, doc_id); a row is taken while the tokens before it are below what the
     budget leaves for that epoch. A null lang or source is a leaf of its own, named ''. A null text has 0 tokens and goes
-    with its place in the order. Rows that share a doc_id share a place and are taken together. An empty table gives no
+    with its place in the order. Other columns are carried along, whatever their names; columns _domain, _epoch and
+    _tokens of docs are replaced. Rows that share a doc_id share a place and are taken together. An empty table gives no
     rows; a leaf without tokens gives only rows whose place comes before its (empty) budget is used up: none.
     """
-    keyed = docs.withColumns({
-        "_domain": F.coalesce(source_domain() if domain is None else domain, F.lit("")),
-        "_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit("")),
-        "_tokens": text_tokens() if tokens is None else tokens,
-    })
+    docs = docs.drop("_domain", "_epoch", "_tokens")
+    # the columns of docs stand in one struct, so that no name of theirs meets one from here
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", F.coalesce(source_domain() if domain is None else domain, F.lit("")).alias("_domain"),
+        F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"), (text_tokens() if tokens is None else tokens).alias("_tokens"),
+    )
     leaf = ["_domain", "_lang", "_source"]
     key = lambda e: F.md5(F.concat_ws(":", F.lit(seed), e.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     each = F.explode(F.sequence(F.lit(1), F.lit(epochs)))
@@ -118,4 +120,4 @@ def mix(docs: DataFrame, total: int | None = None, epochs: int = EPOCHS, seed: s
     cut = materialize(last.groupBy(*leaf, "_epoch").agg(F.max("_key").alias("_cut")), "cuts")
     cut_side = F.broadcast(cut) if small else cut
     out = keyed.withColumn("_epoch", each).join(cut_side, [*leaf, "_epoch"]).where(key(F.col("_epoch")) <= F.col("_cut"))
-    return out.select(*docs.columns, "_domain", "_epoch", "_tokens")
+    return out.select(*(F.col("_row")[c].alias(c) for c in docs.columns), "_domain", "_epoch", "_tokens")

@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import components, materialize, releasing
 
 #: N-grams known to be frequent, ordered last; a bound on what is sent to all tasks (9 bytes each). It never changes a
 #: result, only how large buckets get. A task reports an n-gram that NOTED of its documents hold; FREQUENT in all are needed.
 KNOWN, NOTED, FREQUENT = 1_000_000, 2, 4
 #: Rows of one block of a bucket, n-grams counted at a time, rows of a side that may be broadcast, members of a hub's part.
-BLOCK, CHUNK, SIDE, PART = 4096, 4_000_000, 400_000, 500
+BLOCK, CHUNK, SIDE, PART = 4096, 1_000_000, 400_000, 500
+#: Places of a task's memory of sets it has seen, each by its fingerprint; a set that is forgotten is sketched again.
+SEEN = 1 << 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FAN = 4
@@ -110,23 +112,23 @@ def _first_look(docs: DataFrame, size: int) -> DataFrame:
             yield often()
 
     names = ["doc_id", "n", "fp", "gram", "df"]
-    return docs.mapInArrow(run, "doc_id long, n long, fp binary, gram long, df long")
+    return docs.mapInArrow(releasing(run), "doc_id long, n long, fp binary, gram long, df long")
 
 
 def _sketch(docs: DataFrame, size: int, percent: int, known: np.ndarray, rank: np.ndarray) -> DataFrame:
     """(fp, n, prefix, bits, t1, t2): once for each document that has n-grams and whose set the task hasn't seen before."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        seen: set[bytes] = set()
+        seen: list[bytes | None] = [None] * SEEN
         for batch in batches:
             out = []
             for text, t1, t2 in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 s = shingles(text.as_py(), size)
                 fp = fingerprint(s)
-                if not len(s) or fp in seen:
+                place = int.from_bytes(fp[:4], "little") % SEEN
+                if not len(s) or seen[place] == fp:
                     continue
-                if len(seen) < 1_000_000:
-                    seen.add(fp)
+                seen[place] = fp
                 take = len(s) - -(-percent * len(s) // 100) + shared_grams(len(s))
                 at = np.searchsorted(known, s)
                 often = np.zeros(len(s), np.uint64)
@@ -141,7 +143,7 @@ def _sketch(docs: DataFrame, size: int, percent: int, known: np.ndarray, rank: n
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["fp", "n", "prefix", "bits", "t1", "t2"])
 
     texts = docs.select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
-    return texts.mapInArrow(run, "fp binary, n long, prefix array<long>, bits binary, t1 long, t2 long")
+    return texts.mapInArrow(releasing(run), "fp binary, n long, prefix array<long>, bits binary, t1 long, t2 long")
 
 
 def _may_link(bits: DataFrame, percent: int) -> DataFrame:
@@ -159,7 +161,7 @@ def _may_link(bits: DataFrame, percent: int) -> DataFrame:
                 keep.append(ok)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return bits.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(run, "a long, b long")
+    return bits.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(releasing(run), "a long, b long")
 
 
 def tree_pairs(n: np.ndarray, group: np.ndarray, bits: np.ndarray, block: np.ndarray, percent: int) -> np.ndarray:
@@ -243,7 +245,7 @@ def _tree_search(members: DataFrame, percent: int) -> DataFrame:
         if held and (out := unit(held)) is not None:
             yield out
 
-    return members.mapInArrow(run, "a long, b long")
+    return members.mapInArrow(releasing(run), "a long, b long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int, name: str) -> DataFrame:
@@ -271,7 +273,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, perce
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     # hash partitioning by (a, s), then sorted: a part's hub comes first
-    return rows.repartition("a", "s").sortWithinPartitions("a", "s", "role").mapInArrow(run, "a long, b long")
+    return rows.repartition("a", "s").sortWithinPartitions("a", "s", "role").mapInArrow(releasing(run), "a long, b long")
 
 
 def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -280,8 +282,10 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     component_id is the smallest doc_id reachable by links, itself included. A null or empty text, or one of white space
     only, has no n-grams and links with nothing. Equal texts are linked whatever their number; no pair of different texts
     is lost. A row with a null doc_id takes part in links but is never a component's name, unless all its ids are null.
-    Other columns are ignored. An empty table gives no rows.
+    Other columns are ignored. An empty table gives no rows. percent is at least 67.
     """
+    if not 67 <= percent <= 100 or size < 1:
+        raise ValueError("percent must be from 67 to 100 and size positive: below, sets of few n-grams could link unseen")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     look = materialize(_first_look(docs, size), "look")
     often = look.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("df").alias("df")).where(F.col("df") >= FREQUENT)
@@ -352,9 +356,13 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         found = found.join(sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}")), s)
     found = materialize(with_bits(found), "candidates")
     second = _verify(found, docs, sets, size, percent, "candidates")
-    links = first.unionByName(second)
-
-    final = components(links).select(F.col("node").alias("sid"), F.col("component").alias("comp"))
+    # the classes found by the hubs are nodes now: only what the tree has linked is left to connect
+    for s in ("a", "b"):
+        of = comps.select(F.col("sid").alias(s), F.col("comp").alias(f"c{s}"))
+        second = second.join(of, s, "left").withColumn(s, F.coalesce(f"c{s}", s)).drop(f"c{s}")
+    joined = components(second).select(F.col("node").alias("comp"), "component")
+    final = comps.join(joined, "comp", "left").select("sid", F.coalesce("component", "comp").alias("comp"))
+    final = final.unionByName(joined.select(F.col("comp").alias("sid"), F.col("component").alias("comp")))
     classes = sets.select("sid", "fp").join(final, "sid", "left").select("fp", F.coalesce("comp", "sid").alias("comp"))
     smallest = all_docs.groupBy("fp").agg(F.min("doc_id").alias("d")).join(classes, "fp")
     named = smallest.groupBy("comp").agg(F.min("d").alias("component_id")).join(classes, "comp").select("fp", "component_id")

@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, releasing
 
 LENGTH, EOT, GROUP = 2048, 1, 4096
-#: Words whose ids a worker remembers (about 200 bytes each), so its memory is bounded; others are encoded again.
-REMEMBERED = 500_000
+#: Bytes of words and ids that a task remembers (WORD for each beside its letters and ids); others are encoded again. Characters
+#: that are encoded at a time, if no single text is longer.
+REMEMBERED, WORD, AT_ONCE = 48 << 20, 200, 500_000
 
 
 def tokenizer_path() -> str:
@@ -45,9 +46,11 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: Texts that hold one of these are left to the tokenizer as a whole.
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.exact = regex.compile(public_tokenizers.PATTERN).findall
         self.ids: dict[str, bytes] = {}
+        self.held = 0
 
     def _encode(self, words: list[str]) -> list[bytes]:
         e = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
@@ -55,7 +58,16 @@ class _Encoder:
         cuts = np.searchsorted(word, np.arange(len(words) + 1))
         return [ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(words))]
 
+    def forget(self) -> None:
+        self.ids, self.held = {}, 0
+
     def __call__(self, texts: list[str]) -> list[bytes]:
+        special = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
+        if special:
+            out = self([("" if i in special else t) for i, t in enumerate(texts)])
+            for i in special:
+                out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return out
         split = [_WORDS.findall(t) for t in texts]
         ids = [list(map(self.ids.get, s)) for s in split]
         new = {w for s, x in zip(split, ids) if None in x for w, i in zip(s, x) if i is None}
@@ -70,7 +82,9 @@ class _Encoder:
             for s, x in zip(split, ids):
                 if None in x:
                     x[:] = [found[w] if i is None else i for w, i in zip(s, x)]
-            if len(self.ids) + len(found) <= REMEMBERED:
+            size = sum(WORD + 4 * len(w) + len(i) for w, i in found.items())
+            if self.held + size <= REMEMBERED:
+                self.held += size
                 self.ids.update({w: i for w, i in found.items() if not odd.intersection(w)} if odd else found)
         return list(map(b"".join, ids))
 
@@ -84,7 +98,7 @@ def _encoder(path: str) -> _Encoder:
 def tokenize(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens): pieces of at most length tokens; ids are little-endian unsigned 32-bit.
 
-    A null text counts as empty: it is the end token alone. Very long texts are cut into many pieces; nothing is dropped.
+    A null text counts as empty: it is the end token alone. Special tokens in texts become their ids, as the tokenizer has it. Very long texts are cut into many pieces; nothing is dropped.
     """
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
@@ -96,7 +110,7 @@ def tokenize(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
             at = 0
             while at < len(ids):  # some MB of text at a time, whatever the batch holds
                 to, size = at, 0
-                while to < len(ids) and (to == at or size < 2_000_000):
+                while to < len(ids) and (to == at or size < AT_ONCE):
                     size += len(texts[to] or "")
                     to += 1
                 out = []
@@ -110,8 +124,9 @@ def tokenize(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                     names=["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
                 at = to
+        encode.forget()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), schema)
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -28,8 +28,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    says = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    more = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     out = chat_format.format_chats(c.unionByName(more))
     turns, loss = chat_format.read_turns(F.col("formatted")), chat_format.masked_text(F.col("formatted"), F.col("loss_mask"))
     out = out.withColumns({"turns": turns, "loss": loss})
