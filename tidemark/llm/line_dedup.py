@@ -94,7 +94,7 @@ def places(edits: int, more: int) -> list[tuple[int, int]]:
 
 
 def cuts(edits: int, rest: bool) -> Column:
-    """All ways to take part, as a constant array: t, the number of parts, role (0 waits, 1 asks), how many words shorter the
+    """The ways to take part, as a constant array (for what is left of a line, one of several, by its columns): t, the number of parts, role (0 waits, 1 asks), how many words shorter the
     line asked for is, the segment, its shift, and whether there is a key of the segment before without another shift. What
     is left of a line (rest) may have t words or less: then each word is a segment, and any word of the other may be it; and
     for pairs that share no more words (segment -1) the shift says by its bits which gaps between cut words they share."""
@@ -107,7 +107,17 @@ def cuts(edits: int, rest: bool) -> Column:
             rows += [(t, parts, 1, 0, i, j - i, False) for i in range(parts) for j in range(parts + t)]
             rows += [(t, parts, role, 0, -1, bits, False) for role in (0, 1) for bits in range(1 << t)]
     names = ("t", "parts", "role", "more", "i", "shift", "before")
-    return F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, row))) for row in rows))
+    array = lambda rows: F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(names, row))) for row in rows))
+    if not rest:
+        return array(rows)
+    out = F.when(F.lit(False), array(rows))
+    for t, role, more in ((t, role, more) for t in range(1, edits + 1) for role in (0, 1) for more in range(t * role + 1)):
+        own = [r for r in rows if r[0] == t and r[2] == role]
+        some = F.expr(f"t = {t} AND role = {role}" + f" AND more = {more}" * role)
+        out = out.when(some & (F.col("m") > t), array([r for r in own if r[1] > t and r[3] == more]))
+        for parts in range(t + 1):
+            out = out.when(some & (F.col("m") == parts), array([r for r in own if r[1] == parts]))
+    return out
 
 
 def keyed(lines: DataFrame, keep: list[str], edits: int, per_edit: int | None = None) -> DataFrame:
@@ -120,14 +130,13 @@ def keyed(lines: DataFrame, keep: list[str], edits: int, per_edit: int | None =
     key is, q is 0 for a line that waits and 1 for one that asks.
     """
     rest = per_edit is None
-    out = lines.withColumn("c", F.explode(cuts(edits, rest))).withColumn("n", F.size("r" if rest else "w"))
+    out = lines.withColumn("n", F.size("r" if rest else "w"))
     if rest:
-        out = out.where("c.t = t AND c.role = role").withColumn("m", F.expr("n - IF(role = 0, 0, more)"))
-        out = out.where("IF(c.parts > t, m > t AND (role = 0 OR c.more = more), m = c.parts)")
+        out = out.withColumn("m", F.expr("n - IF(role = 0, 0, more)")).withColumn("c", F.explode(cuts(edits, rest)))
         # gaps: lines of m and n words that share b gaps and no words are m + n - b edits apart
         out = out.where("c.i >= 0 OR n <= t AND c.shift < shiftleft(1, n) AND (role = 0 OR bit_count(c.shift) >= m + n - t)")
     else:
-        out = out.withColumn("m", F.expr("n - c.more")).where(f"least({edits}, m div {per_edit}) = c.t")
+        out = out.withColumn("c", F.explode(cuts(edits, rest))).withColumn("m", F.expr("n - c.more")).where(f"least({edits}, m div {per_edit}) = c.t")
     out = out.withColumns({"base": F.expr("IF(c.i < 0, 0, cast(m div greatest(c.parts, 1) AS int))"), "short": F.expr("IF(c.i < 0, 0, c.parts - m % greatest(c.parts, 1))")})
     out = out.withColumns({"a": F.expr("IF(c.i < 0, 0, c.i * base + greatest(0, c.i - short) + c.shift)"), "z": F.expr("IF(c.i < 0, 0, base + IF(c.i >= short, 1, 0))")})
     out = out.where("a >= 0 AND a + z <= n")
