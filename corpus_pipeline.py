@@ -1,4 +1,8 @@
-"""From documents to packed training sequences: five stages, each written and read again before the next."""
+"""From documents to packed training sequences: five stages, each written and read again before the next.
+
+All stages but the last return COLUMNS; other columns of docs, whatever their names, go with the first. Every stage takes null
+ids and texts, repeated rows and empty tables: what becomes of them is said at each, and in the operator it calls.
+"""
 
 from __future__ import annotations
 
@@ -17,32 +21,36 @@ LEAST_SCORE = 0.5
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: no letters, or no language clearly the likeliest. A missing lang is filled in."""
+    """Rejected documents go: no letters (so null and empty texts too), or no language clearly the likeliest. A missing lang is
+    filled in. Repeated rows are judged alike; where nothing is labelled, nothing can be told, and all go."""
     out = language_id.identify(docs)
     out = out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, wherever they first stood; n_chars follows the text. All documents stay."""
+    """Repeated lines go, wherever they first stood; n_chars follows the text. All documents stay, those with
+    a null text or id and rows that repeat both as well."""
     out = line_dedup.drop_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five words, 0.8) the document of smallest id stays."""
+    """Of each class of near copies (five words, 0.8) the document of smallest id stays. Texts without words, and rows
+    with a null id, stay; of rows that repeat an id all stay or go."""
     classes = ngram_join.ngram_classes(docs, 5, 80)
     gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, as many tokens as came in; a document may come in two epochs."""
+    """Sources at their target weights, as many tokens as came in; a document may come in two epochs. A null
+    lang or source is a leaf of its own."""
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their ids and places in sequences."""
+    """Pieces with their ids and places in sequences. A null text is the end token alone; repeated rows are packed each time."""
     return packing.pack(docs)
 
 
