@@ -148,6 +148,24 @@ def trigrams(docs: DataFrame, id_col: str, column: str) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(grams)).alias("gram"), id_col).where(F.length("gram") == 3)
 
 
+def indexed(index: DataFrame, id_col: str, terms: list[str]) -> DataFrame:
+    """(id) of what may hold all terms of three or more characters, from the index alone: ids under every gram of the terms.
+
+    Shorter terms narrow nothing down here. The grams asked for are few and stand as a pushed filter; counts are combined
+    map-side. What is found is checked with matches(). Without a long term every id of the index may hold them.
+    """
+    grams = sorted({t[i : i + 3] for t in terms for i in range(len(t) - 2)})
+    if not grams:
+        return index.select(id_col).distinct()
+    return index.where(F.col("gram").isin(grams)).groupBy(id_col).agg(F.count_distinct("gram").alias("_n")).where(F.col("_n") == len(grams)).select(id_col)
+
+
+def relevance(manufacturer_id: str, model: str) -> Column:
+    """Tier of an entity for a query: maker and model (0), model (1), model whatever the case (2), else 3."""
+    same = F.col("model") == F.lit(model)
+    return F.when((F.col("manufacturer_id") == F.lit(manufacturer_id)) & same, 0).when(same, 1).when(F.lower("model") == F.lower(F.lit(model)), 2).otherwise(3)
+
+
 def facet(entities: DataFrame, key: str, name: str) -> DataFrame:
     """One row a key: its smallest name and the number of distinct entities."""
     return entities.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(name).alias("name"), F.count_distinct("entity_id").alias("entities"))
