@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import blocks, releasing
 
 LENGTH, EOT, GROUP = 2048, 1, 4096
-#: Bytes of words and ids that a task remembers (WORD for each beside its letters and ids); others are encoded again. Characters
+#: Bytes of words and ids that a worker remembers (WORD for each beside its letters and ids); others are encoded again. Characters
 #: that are encoded at a time, if no single text is longer.
-REMEMBERED, WORD, AT_ONCE = 48 << 20, 200, 500_000
+REMEMBERED, WORD, AT_ONCE = 80 << 20, 200, 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -58,9 +58,6 @@ class _Encoder:
         cuts = np.searchsorted(word, np.arange(len(words) + 1))
         return [ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(words))]
 
-    def forget(self) -> None:
-        self.ids, self.held = {}, 0
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         special = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
         if special:
@@ -124,7 +121,6 @@ def tokenize(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
                     names=["doc_id", "start", "length", "ids", "doc_tokens"],
                 )
                 at = to
-        encode.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(releasing(run), schema)
 
