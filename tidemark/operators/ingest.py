@@ -73,9 +73,14 @@ def quotas(objects: DataFrame, per_day: int, per_shop_day: int, burst: int, burs
     first = Window.partitionBy("content_hash").orderBy("at", "shop_key")
     rows = objects.withColumn("_dup", F.row_number().over(first) > 1).withColumn("_day", F.to_date("at")).withColumn("_t", F.col("at").cast("timestamp").cast("long"))
     new = F.when(~F.col("_dup"), 1).otherwise(0)
-    day = Window.partitionBy("_day").orderBy("at", "content_hash", "shop_key").rowsBetween(Window.unboundedPreceding, -1)
+    # a day is counted by minutes: sums of those before, and an order only within a minute, so no task holds a whole day
+    rows = rows.withColumn("_minute", F.floor(F.col("_t") / 60))
+    minutes = rows.groupBy("_day", "_minute").agg(F.sum(new).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(minutes.select("_day", "_minute", before.alias("_before")), ["_day", "_minute"], "left")
+    day = Window.partitionBy("_day", "_minute").orderBy("at", "content_hash", "shop_key").rowsBetween(Window.unboundedPreceding, -1)
     shop = Window.partitionBy("shop_key", "_day").orderBy("at", "content_hash").rowsBetween(Window.unboundedPreceding, -1)
     near = Window.partitionBy("shop_key").orderBy("_t").rangeBetween(-burst_seconds, 0)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    ok = ~F.col("_dup") & (zero(F.sum(new).over(day)) < per_day) & (zero(F.sum(new).over(shop)) < per_shop_day) & (F.sum(new).over(near) <= burst)
-    return rows.withColumn("accepted", ok).drop("_dup", "_day", "_t")
+    ok = ~F.col("_dup") & (zero("_before") + zero(F.sum(new).over(day)) < per_day) & (zero(F.sum(new).over(shop)) < per_shop_day) & (F.sum(new).over(near) <= burst)
+    return rows.withColumn("accepted", ok).select(*objects.columns, "accepted")

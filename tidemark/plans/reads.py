@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import entities, reads, resolution, search
+from tidemark.operators import entities, ingest, reads, resolution, search
 
 from .listings import _t, offers
 from .oracles import _ENTITIES, _OFFERS
@@ -111,21 +111,29 @@ def identity_resolution(spark, d):
 def indexed_search(spark, d):
     """Parts whose type holds all terms, through the trigram index; what is read of the texts is what the index lets through."""
     p = _t(spark, d, "part").select("p_partkey", "p_type", "p_brand")
-    found = search.indexed(search.trigrams(p, "p_partkey", "p_type"), "p_partkey", search.plan_terms("Polished  TIN"))
-    return p.join(found, "p_partkey", "left_semi").where(search.matches(["p_type"], search.plan_terms("Polished  TIN"))).select("p_partkey", "p_type")
+    found = search.indexed(search.trigrams(p, "p_partkey", "p_type"), "p_partkey", search.plan_terms("Econ  OMY"))
+    return p.join(found, "p_partkey", "left_semi").where(search.matches(["p_type"], search.plan_terms("Econ  OMY"))).select("p_partkey", "p_type")
 
 
 def relevance_order(spark, d):
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_brand").alias("manufacturer_id"), F.lower("p_type").alias("model"), F.col("p_size").alias("score"))
-    rank = search.relevance("Brand#12", "promo burnished tin")
+    rank = search.relevance("Brand#8", "promo")
     return p.withColumn("tier", rank).orderBy("tier", F.desc("score"), F.desc("entity_id")).limit(100).select("entity_id", "tier")
 
 
+def evidence_quotas(spark, d):
+    """Objects of shops within quotas of the day, of the shop's day and of a quarter of an hour; a repeated object only once."""
+    e = _t(spark, d, "events").where("ts IS NOT NULL").select(
+        "event_id", F.col("user_id").cast("string").alias("shop_key"), F.col("ts").cast("timestamp").alias("at"), F.concat_ws("-", F.col("event_id") % 800, F.col("user_id") % 7).alias("content_hash")
+    )
+    return ingest.quotas(e, 40, 3, 2).where("accepted").select("event_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         keyset_scan, export_horizon, search_totals, capped_total, entity_samples, offer_details, previous_orders, customer_history, category_tree, either_key,
-        prefix_titles, due_shops, replay_due, row_checks, shop_thresholds, identity_resolution, indexed_search, relevance_order,
+        prefix_titles, due_shops, replay_due, row_checks, shop_thresholds, identity_resolution, indexed_search, relevance_order, evidence_quotas,
     )
 }
 
@@ -174,7 +182,13 @@ r AS (SELECT CASE WHEN key = '' THEN 'missing_fields' WHEN open THEN 'unresolved
 SELECT CASE WHEN method LIKE 'manufacturer%' THEN 'matched' ELSE 'unresolved' END AS status, method, count(*) AS n,
   CAST(sum(CASE method WHEN 'manufacturer_model_exact' THEN exact WHEN 'manufacturer_alias' THEN alias END) AS BIGINT) AS products,
   CAST(sum(CASE WHEN method = 'vetoed' THEN veto WHEN method LIKE 'fuzzy%' THEN fuzzy END) AS BIGINT) AS candidates FROM r GROUP BY 1, 2""",
-    "indexed_search": "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'polished') AND contains(lower(p_type), 'tin')",
-    "relevance_order": """SELECT p_partkey AS entity_id, CAST(CASE WHEN p_brand = 'Brand#12' AND lower(p_type) = 'promo burnished tin' THEN 0 WHEN lower(p_type) = 'promo burnished tin' THEN 1 ELSE 3 END AS INTEGER) AS tier
+    "indexed_search": "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'econ') AND contains(lower(p_type), 'omy')",
+    "evidence_quotas": """WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS shop_key, ts AS t, (event_id % 800) || '-' || (user_id % 7) AS h FROM events WHERE ts IS NOT NULL),
+f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY h ORDER BY t, shop_key) = 1 THEN 1 ELSE 0 END AS new, CAST(floor(epoch(t)) AS BIGINT) AS s FROM e),
+c AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY CAST(t AS DATE) ORDER BY t, h, shop_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS day,
+  coalesce(sum(new) OVER (PARTITION BY shop_key, CAST(t AS DATE) ORDER BY t, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shop,
+  sum(new) OVER (PARTITION BY shop_key ORDER BY s RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) AS near FROM f)
+SELECT event_id FROM c WHERE new = 1 AND day < 40 AND shop < 3 AND near <= 2""",
+    "relevance_order": """SELECT p_partkey AS entity_id, CAST(CASE WHEN p_brand = 'Brand#8' AND lower(p_type) = 'promo' THEN 0 WHEN lower(p_type) = 'promo' THEN 1 ELSE 3 END AS INTEGER) AS tier
 FROM part ORDER BY tier, p_size DESC, p_partkey DESC LIMIT 100""",
 }

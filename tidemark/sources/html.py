@@ -32,12 +32,17 @@ def _products(node):
             yield from _products(x)
 
 
+def _yen(digits: str) -> int | None:
+    """None for no digits, and for numbers that a long doesn't hold."""
+    return int(digits) if 0 < len(digits) <= 18 else None
+
+
 def parse(page: str) -> list[tuple]:
     out = []
     for block in _SCRIPT.findall(page):
         try:
             nodes = list(_products(json.loads(block)))
-        except ValueError:
+        except (ValueError, RecursionError):  # not JSON, or nested deeper than any product is
             continue
         for p in nodes:
             offer = p.get("offers") or {}
@@ -46,7 +51,7 @@ def parse(page: str) -> list[tuple]:
             price = re.sub(r"[^0-9]", "", str(offer.get("price", "")).split(".")[0])
             stock = str(offer.get("availability", ""))
             status = "in_stock" if stock.endswith("InStock") else "sold_out" if stock.endswith(("OutOfStock", "SoldOut")) else "unknown"
-            out.append((str(p.get("url") or offer.get("url") or p.get("sku") or ""), _plain(str(p.get("name", "")))[:220], int(price) if price else None, status))
+            out.append((str(p.get("url") or offer.get("url") or p.get("sku") or ""), _plain(str(p.get("name", "")))[:220], _yen(price), status))
     if out:
         return out
     for m in _ANCHOR.finditer(page):
@@ -54,7 +59,7 @@ def parse(page: str) -> list[tuple]:
         price = _PRICE.search(near)
         if price:
             status = "sold_out" if re.search(r"sold ?out|売り切れ|売約済", near, re.I) else "unknown"
-            out.append((m[1], _plain(m[2])[:220], int((price[1] or price[2]).replace(",", "")), status))
+            out.append((m[1], _plain(m[2])[:220], _yen((price[1] or price[2]).replace(",", "")), status))
     return out
 
 
