@@ -19,7 +19,7 @@ from .common import blocks, releasing
 LENGTH, EOT, GROUP = 2048, 1, 4096
 #: Bytes of words and ids that a worker remembers (WORD for each beside its letters and ids); others are encoded again. Characters
 #: that are encoded at a time, if no single text is longer.
-REMEMBERED, WORD, AT_ONCE = 80 << 20, 200, 1_000_000
+REMEMBERED, WORD, AT_ONCE = 112 << 20, 200, 1_000_000
 
 
 def tokenizer_path() -> str:
