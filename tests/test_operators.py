@@ -129,20 +129,14 @@ def test_similar_asks_for_all_and_meets_few(spark, sf):
 
     got = {(r.a, r.b) for r in resolution.similar(a, b, "g", "a", "b").collect()}
     assert got == {(x, y) for x in names for y in names if near(x, y)}
-    asked, every = QUERIES["similar_customers"](spark, sf), QUERIES["similar_customers_all"](spark, sf)
-    assert every.count() > asked.count() and asked.exceptAll(every).count() == 0
+    assert any(not r.b.endswith("0") for r in QUERIES["similar_customers"](spark, sf).collect())
 
 
 def test_whole_tables_are_asked(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert events.where("ts >= '2024-02-01'").count() == 0  # the fold's batch reaches to the end
-    for name in ("gap_listings", "request_scoped_sort"):
-        part, whole = QUERIES[name](spark, sf), QUERIES[f"{name}_all"](spark, sf)
-        assert name == "request_scoped_sort" or whole.count() > part.count()
-        assert part.join(whole, part.columns[0], "left_anti").count() == 0 or name == "gap_listings"
-    seen = {r.action: r.n for r in QUERIES["crawl_fold_all"](spark, sf).collect()}
-    part = {r.action: r.n for r in QUERIES["crawl_fold"](spark, sf).collect()}
-    assert seen.get("deactivate", 0) < part["deactivate"]
+    folded = QUERIES["crawl_fold"](spark, sf).agg(F.sum("n").alias("n")).first().n
+    assert folded == events.select("user_id", "event_type").distinct().count()
 
 
 def test_request_parameters():

@@ -57,13 +57,7 @@ def cursor_page(spark, d):
 
 
 def request_scoped_sort(spark, d):
-    """Lowest price over the matching offers only."""
-    o = offers(spark, d).where(search.OfferFilter(in_stock=True, min_price=5000).condition())
-    return o.groupBy("entity_id").agg(F.min("price_yen").alias("lowest_matching")).orderBy(F.asc_nulls_last("lowest_matching"), "entity_id").limit(200)
-
-
-def request_scoped_sort_all(spark, d):
-    """request_scoped_sort over all matches."""
+    """Lowest price over the matching offers only; all matches, in order."""
     o = offers(spark, d).where(search.OfferFilter(in_stock=True, min_price=5000).condition())
     return o.groupBy("entity_id").agg(F.min("price_yen").alias("lowest_matching")).orderBy(F.asc_nulls_last("lowest_matching"), "entity_id")
 
@@ -135,14 +129,6 @@ def unambiguous_names(spark, d):
 
 
 def similar_customers(spark, d):
-    c = _t(spark, d, "customer")
-    a = c.select("c_nationkey", F.col("c_name").alias("a"))
-    b = c.where("c_custkey % 10 = 0").select("c_nationkey", F.col("c_name").alias("b"))
-    return resolution.similar(a, b, "c_nationkey", "a", "b").groupBy("b").agg(F.count("*").alias("n"))
-
-
-def similar_customers_all(spark, d):
-    """Every customer asks, not a tenth of them as in similar_customers."""
     c = _t(spark, d, "customer")
     a, b = (c.select("c_nationkey", F.col("c_name").alias(x)) for x in "ab")
     return resolution.similar(a, b, "c_nationkey", "a", "b").groupBy("b").agg(F.count("*").alias("n"))
@@ -153,26 +139,17 @@ def _observations(spark, d):
     return e.withColumns({"title": F.col("source_id"), "stock_status": F.lit("in_stock")})
 
 
-def _crawl_fold(spark, d, until, now):
+def crawl_fold(spark, d):
+    """State as of mid month (last observation before), folded with all later observations."""
     o = _observations(spark, d)
     last = Window.partitionBy(*ingest.KEY).orderBy(F.desc("ts"), F.desc("event_id"))
     old = o.where("ts < '2024-01-15'").withColumn("n", F.row_number().over(last)).where("n = 1")
     state = old.select(*ingest.KEY, "title", "price_yen", "stock_status", F.lit(None).cast("long").alias("previous_price_yen"), F.col("ts").alias("first_seen_at"), F.col("ts").alias("last_seen_at"), F.lit(True).alias("is_active"))
-    new = o.where("ts >= '2024-01-15'").where(until).withColumn("n", F.row_number().over(last)).where("n = 1")
-    out = ingest.fold(state, new.select(*ingest.KEY, "title", "price_yen", "stock_status"), now, True)
+    new = o.where("ts >= '2024-01-15'").withColumn("n", F.row_number().over(last)).where("n = 1")
+    out = ingest.fold(state, new.select(*ingest.KEY, "title", "price_yen", "stock_status"), "2024-02-01 00:00:00", True)
     return out.groupBy("action").agg(F.count("*").alias("n"), F.sum("price_yen").alias("price_sum"), F.count("previous_price_yen").alias("with_previous"), F.count_if("is_active").alias("active"))
 
 
-def crawl_fold(spark, d):
-    """State as of mid month (last observation before), folded with the next two days' observations."""
-    return _crawl_fold(spark, d, "ts < '2024-01-17'", "2024-01-17 00:00:00")
-
-
-def crawl_fold_all(spark, d):
-    """State as of mid month, folded with all later observations."""
-    return _crawl_fold(spark, d, "true", "2024-02-01 00:00:00")
-
-
 def price_drops(spark, d):
     o = offers(spark, d)
     w = Window.partitionBy("entity_id").orderBy("last_activity_at", "listing_id")
@@ -274,18 +251,9 @@ def admin_search(spark, d):
 
 
 def gap_listings(spark, d):
-    """Listings under a price without any in-stock sibling under a lower one, or whose entity is no verified product."""
-    return _gap_listings(spark, d, "price_yen < 15000", "price_yen < 8000")
-
-
-def gap_listings_all(spark, d):
     """Listings without any in-stock sibling, or whose entity is no verified product: two anti joins, either suffices."""
-    return _gap_listings(spark, d, "true", "true")
-
-
-def _gap_listings(spark, d, asked, counts):
-    o = offers(spark, d).where(asked)
-    live = offers(spark, d).where("stock_status = 'in_stock'").where(counts).select("entity_id").distinct()
+    o = offers(spark, d)
+    live = o.where("stock_status = 'in_stock'").select("entity_id").distinct()
     known = _t(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("entity_id"))
     return o.join(live.withColumn("a", F.lit(1)), "entity_id", "left").join(known.withColumn("b", F.lit(1)), "entity_id", "left").where("a IS NULL OR b IS NULL").select("listing_id")
 
@@ -293,7 +261,6 @@ def _gap_listings(spark, d, asked, counts):
 ALL = [
     entity_search, entity_aggregates, same_offer_filter, representative_offers, cursor_page, request_scoped_sort, brand_facet, category_closure,
     text_search, bm25_search, trigram_index, exact_groups, entity_build, first_terms, split_groups, unambiguous_names, similar_customers,
-    similar_customers_all, request_scoped_sort_all, crawl_fold_all, gap_listings_all, crawl_fold,
-    price_drops, evidence_burst, evidence_sample, quality_snapshot, latest_runs, daily_trend, shop_health, queue_claim, queue_settle, queue_metrics,
+    crawl_fold, price_drops, evidence_burst, evidence_sample, quality_snapshot, latest_runs, daily_trend, shop_health, queue_claim, queue_settle, queue_metrics,
     retention, export_lines, export_page, json_metadata, page_links, latest_turn, admin_search, gap_listings,
 ]
