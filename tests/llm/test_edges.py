@@ -109,3 +109,27 @@ def test_ann_recall_on_its_table(spark):
         best = [j for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:20]
         hit, n = hit + len(out[ids[i]] & set(ids[best])), n + len(best)
     assert hit >= 0.9 * n
+
+
+def test_ann_graph_is_built_by_insertion():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 40, 3000):
+        x = rng.normal(size=(n, 24))
+        g = ann.Graph.build(x, 8)
+        assert len(g.layers[-1][0]) == n and all(set(a) <= set(b) for (a, _), (b, _) in zip(g.layers, g.layers[1:]))
+        for nodes, links in g.layers:
+            held = {int(a): {int(b) for b in row if b >= 0} for a, row in zip(nodes, links)}
+            assert links.shape[1] == 16 and all(a not in b and b <= set(held) for a, b in held.items())
+            assert all((row >= 0).sum() == len(held[int(a)]) for a, row in zip(nodes, links))  # no link twice
+            seen, todo = set(), [int(a) for a in nodes[:1]]
+            while todo:
+                a = todo.pop()
+                if a not in seen:
+                    seen.add(a)
+                    todo += held[a] - seen
+            assert len(seen) >= 0.99 * len(nodes)
+        if n == 3000:
+            q = x[::20]
+            true = np.argsort(-(q @ x.T), axis=1)[:, :10]
+            found = g.search(q, 96)[:, :10]
+            assert np.mean([len(set(a) & set(b)) for a, b in zip(found, true)]) >= 9

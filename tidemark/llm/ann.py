@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import blocks, finite_vector, materialize, spread
 
-#: Vectors of a shard and queries of a block; links of a node in upper layers (twice as many in the lowest); neighbours
-#: looked at when links are chosen; candidates kept while searching.
-SHARD, QUERIES, M, BUILD, SEARCH = 4096, 512, 16, 96, 96
+#: Vectors of a shard and queries of a block; links that a node makes (it may hold twice as many); nodes
+#: looked at when links are chosen; candidates kept while searching; nodes that come in together.
+SHARD, QUERIES, M, BUILD, SEARCH, GROUP = 8192, 512, 16, 64, 128, 256
 _STEP = 4
 
 
@@ -24,46 +24,50 @@ def _augmented(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(sq.max(initial=0.0) - sq, 0.0))[:, None]], axis=1).astype(np.float32)
 
 
-def _links(x: np.ndarray, m: int) -> np.ndarray:
-    """Links among the nodes x: of each node's nearest, those nearer to it than to any link chosen before; both ways."""
-    n = len(x)
-    k = min(BUILD, n - 1)
-    out = np.full((n, 2 * m), -1, np.int32)
-    if not k:
-        return out
-    sq = (x * x).sum(axis=1)
-    chosen = []
-    for at in range(0, n, 512):
-        part = x[at : at + 512]
-        d = sq[None, :] - 2 * part @ x.T + sq[at : at + 512, None]
-        d[np.arange(len(part)), np.arange(at, at + len(part))] = np.inf
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        dist = np.take_along_axis(d, near, axis=1)
-        order = np.argsort(dist, axis=1, kind="stable")
-        near, dist = np.take_along_axis(near, order, axis=1), np.take_along_axis(dist, order, axis=1)
-        v = x[near]
-        between = sq[near][:, :, None] + sq[near][:, None, :] - 2 * v @ v.transpose(0, 2, 1)
-        keep = np.zeros(near.shape, bool)
-        for i in range(k):
-            blocked = (keep[:, :i] & (between[:, i, :i] < dist[:, i, None])).any(axis=1)
-            keep[:, i] = ~blocked & (keep.sum(axis=1) < m)
-        # places left over go to the nearest ones passed by
-        spare = (~keep).cumsum(axis=1) <= (m - keep.sum(axis=1))[:, None]
-        keep |= ~keep & spare
-        r, c = np.nonzero(keep)
-        chosen.append(np.stack([r + at, near[r, c], dist[r, c]]))
-    a, b, d = np.concatenate(chosen, axis=1)
-    # a node's own links first, then those that point at it, nearest first, as far as there is room
-    src, dst = np.concatenate([a, b]).astype(np.int64), np.concatenate([b, a]).astype(np.int64)
-    back, d = np.repeat([0, 1], len(a)), np.concatenate([d, d])
-    _, first = np.unique(src * n + dst, return_index=True)
-    src, dst, back, d = src[first], dst[first], back[first], d[first]
-    order = np.lexsort((d, back, src))
-    src, dst = src[order], dst[order]
-    rank = np.arange(len(src)) - np.searchsorted(src, src)
-    ok = rank < 2 * m
-    out[src[ok], rank[ok]] = dst[ok]
-    return out
+def _spread(near: np.ndarray, d: np.ndarray, x: np.ndarray, m: int) -> np.ndarray:
+    """Of each row's nodes (places in x, nearest first, -1 at the end), at most m: those nearer to the row's own node than to any
+    kept before, then the nearest ones passed by. The same shape, -1 where there is none."""
+    there = near >= 0
+    v = x[near]
+    between = -(v @ v.transpose(0, 2, 1))
+    keep = np.zeros(near.shape, bool)
+    for i in range(near.shape[1]):
+        blocked = (keep[:, :i] & (between[:, i, :i] < d[:, i, None])).any(axis=1)
+        keep[:, i] = there[:, i] & ~blocked & (keep.sum(axis=1) < m)
+    passed = there & ~keep
+    keep |= passed & (passed.cumsum(axis=1) <= (m - keep.sum(axis=1))[:, None])
+    return np.where(keep, near, -1)
+
+
+def _left(rows: np.ndarray, width: int) -> np.ndarray:
+    """Each row's nodes moved to the left, in their order, and the row cut or filled up to a width."""
+    out = np.take_along_axis(rows, np.argsort(rows < 0, axis=1, kind="stable"), axis=1)[:, :width]
+    return np.pad(out, ((0, 0), (0, width - out.shape[1])), constant_values=-1)
+
+
+def _link(links: np.ndarray, x: np.ndarray, new: np.ndarray, near: np.ndarray, d: np.ndarray, m: int) -> None:
+    """Link new nodes with m of those found for them, both ways; a node with more than 2 m links keeps those that point apart."""
+    chosen = _spread(near, d, x, m)
+    links[new] = _left(chosen, links.shape[1])
+    r, c = np.nonzero(chosen >= 0)
+    src, dst, far = chosen[r, c], new[r], d[r, c]
+    order = np.lexsort((far, src))
+    src, dst, far = src[order], dst[order], far[order]
+    ends, first = np.unique(src, return_index=True)
+    rank = np.arange(len(src)) - first[np.searchsorted(ends, src)]
+    ok = rank < links.shape[1]  # no more than these could stay
+    back = np.full((len(ends), links.shape[1]), -1, np.int32)
+    back[np.searchsorted(ends, src[ok]), rank[ok]] = dst[ok]
+    all_ = np.concatenate([links[ends], back], axis=1)
+    all_.sort(axis=1)
+    all_[:, 1:][all_[:, 1:] == all_[:, :-1]] = -1  # two new nodes may have chosen each other
+    many = (all_ >= 0).sum(axis=1) > links.shape[1]
+    links[ends[~many]] = _left(all_[~many], links.shape[1])
+    e, rows = ends[many], all_[many]
+    dist = np.where(rows >= 0, -np.einsum("rcd,rd->rc", x[rows], x[e]), np.inf)
+    near_ = np.argsort(dist, axis=1, kind="stable")
+    rows, dist = np.take_along_axis(rows, near_, axis=1), np.take_along_axis(dist, near_, axis=1)
+    links[e] = _left(_spread(rows, dist, x, links.shape[1]), links.shape[1])
 
 
 class Graph:
@@ -74,14 +78,33 @@ class Graph:
 
     @classmethod
     def build(cls, x: np.ndarray, m: int = M, seed: int = 0) -> Graph:
+        """Nodes come in by searching the graph of those before them, the highest ones first, in groups that grow with the graph;
+        the members of a group are held against each other directly."""
         x = _augmented(x)
         level = np.floor(-np.log(np.random.default_rng(seed).random(len(x))) / np.log(m)).astype(int)
-        layers = []
-        for l in range(int(level.max(initial=0)), -1, -1):
-            nodes = np.flatnonzero(level >= l)
-            links = _links(x[nodes], m)
-            layers.append((nodes.astype(np.int32), np.where(links >= 0, nodes[links], -1).astype(np.int32)))
-        return cls(x, layers)
+        order = np.argsort(-level, kind="stable")
+        x_, level = x[order], level[order]
+        top = int(level[0]) if len(x) else 0
+        sizes = [int((level >= l).sum()) for l in range(top, -1, -1)]
+        g = cls(x_, [(np.arange(n, dtype=np.int32), np.full((n, 2 * m), -1, np.int32)) for n in sizes])
+        at = 1
+        while at < len(x):
+            end = min(at + min(at, GROUP), next(n for n in sizes if n > at))
+            new = np.arange(at, end)
+            q, entry = x_[new], np.zeros((len(new), 1), np.int32)
+            own = -(q @ q.T)
+            own[np.arange(len(new)), np.arange(len(new))] = np.inf
+            for (nodes, links), n in zip(g.layers, sizes):
+                met = g._layer(q, entry, nodes, links, 1 if n <= at else BUILD)
+                entry = met[:, :1]
+                if n > at:
+                    d = np.where(met >= 0, -np.einsum("qnd,qd->qn", x_[met], q), np.inf)
+                    near, d = np.concatenate([met, np.broadcast_to(new, own.shape)], axis=1), np.concatenate([d, own], axis=1)
+                    best = np.argsort(d, axis=1, kind="stable")[:, :BUILD]
+                    near, d = np.take_along_axis(near, best, axis=1), np.take_along_axis(d, best, axis=1)
+                    _link(links, x_, new, np.where(np.isfinite(d), near, -1).astype(np.int32), d, m)
+            at = end
+        return cls(x, [(order[n].astype(np.int32), np.where(l >= 0, order[l], -1).astype(np.int32)) for n, l in g.layers])
 
     def search(self, q: np.ndarray, ef: int) -> np.ndarray:
         """Places of about the ef nearest nodes of each query (columns; -1 where fewer were met), nearest first."""
@@ -124,7 +147,7 @@ class Graph:
             d[next_ < 0] = np.inf
             d_all, n_all = np.concatenate([far[live], d], axis=1), np.concatenate([best[live], next_], axis=1)
             o_all = np.concatenate([opened[live], next_ < 0], axis=1)
-            keep = np.argsort(d_all, axis=1, kind="stable")[:, :ef]
+            keep = np.argsort(d_all, axis=1)[:, :ef]
             far[live], best[live], opened[live] = (np.take_along_axis(v, keep, axis=1) for v in (d_all, n_all, o_all))
         return np.where(np.isfinite(far), best, -1)
 
