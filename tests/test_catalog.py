@@ -29,12 +29,15 @@ def test_models(spark):
     cases = {
         "D-1000 中古美品": "condition", "D-1000 USED": "condition", "D-1000 【売約済】": "listing_state", "D-1000 SOLD OUT": "listing_state", "D-1000 元箱付": "packaging", "D-1000 リモコン付": "packaging",
         "D-1000 [ABC-12345]": "seller_sku", "D-1000 管理番号:AB1234": "seller_sku", "D-1000 / シルバー": "presentation_color", "D-1000 (BK)": "presentation_color",
+        "D-1000 サテン・ホワイト": "presentation_color", "D-1000 カラー: HIGH  GLOSS BLACK": "presentation_color", "D-1000(TITANIUM GREY) ペア": "presentation_color", "D-1000 未使用開封品": "condition",
+        "D-1000 パワーアンプ": "product_type_suffix", "D-1000 CDデッキ アキュフェーズ": "seller_title_suffix", "D-1000 ※送料無料": "shipping", "D-1000 《店頭展示》": "seller_sku",
     }
-    rows = [(i, "tad", x, None) for i, x in enumerate(cases)] + [(90, "tad", "TAD D-1000 MK2 中古美品", None), (91, "tad", None, "TAD D-1000"), (92, None, None, "TAD D-1000"), (93, "tad", "FS-700S3/B", None), (94, None, None, None), (95, "tad", "中古", None)]
+    rows = [(i, "tad", x, None) for i, x in enumerate(cases)] + [(90, "tad", "TAD D-1000 MK2 中古美品", None), (91, "tad", None, "TAD D-1000"), (92, None, None, "TAD D-1000"), (93, "tad", "FS-700S3/B", None), (94, None, None, None), (95, "tad", "中古", None), (96, "tad", "D-1000 SATIN GOLD", None)]
     listings = spark.createDataFrame(rows, "listing_id long, manufacturer_id string, raw_model string, title string")
     out = {r.listing_id: r for r in models.resolve(listings, spark.createDataFrame([("tad", "TAD")], "manufacturer_id string, alias string")).collect()}
     for i, (text, note) in enumerate(cases.items()):
         assert (out[i].model, out[i].status, out[i].removed) == ("D-1000", "resolved", [note]), text
+    assert (out[96].model, out[96].removed) == ("D-1000 SATIN", ["presentation_color"])  # no shade of gold: the finish alone goes
     assert (out[90].model, out[90].normalized_model) == ("D-1000 MK2", "D1000MK2")
     assert (out[91].method, out[92].status, out[93].model, out[94].status) == ("title_after_manufacturer", "unresolved", "FS-700S3/B", "unresolved")
 
