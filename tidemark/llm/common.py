@@ -38,6 +38,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Materialized tables of one computation, whose folders go once nothing will read them."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.folders.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, spark: SparkSession) -> None:
+        for path in self.folders:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        self.folders = []
+
+
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """run, which returns a task's memory to the system at its end: Python workers live on and serve other tasks."""
 

@@ -111,4 +111,51 @@ e AS (
 SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, d AS domain, lang, source, tokens AS n_tokens FROM p WHERE before < room
 """
 
-ORACLES = {"op1_exact_topk": OP1, "op4_chat_format": OP4, "op7_html_extract": OP7, "op8_ngram_join": OP8, "op10_mixing": OP10}
+OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, lang, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+    (list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) % 2) = 1 AS hit
+  FROM documents
+), f AS (
+  SELECT *, CASE WHEN hit THEN replace(text, chr(10), '') ELSE text END AS t,
+    list_reduce(list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda x: coalesce(strlen(x) || ':' || x, '-')), lambda a, b: a || b) AS head
+  FROM d
+), l AS (
+  SELECT doc_id, source, i, n, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(t) || ':' || t, '-')) AS tampered FROM f
+), low AS (
+  SELECT source, 0 AS level, i, n, leaf AS h FROM l
+  UNION ALL
+  SELECT source, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY source, level, i // 3, (n + 2) // 3
+), s AS (
+  SELECT source, level AS depth, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM low WHERE n = 1
+), up AS (
+  SELECT 0 AS level, i, n, subroot AS h FROM s
+  UNION ALL
+  SELECT level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY level, i // 3, (n + 2) // 3
+), low_sides AS (
+  SELECT source, level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM low WHERE n > 1 WINDOW w AS (PARTITION BY source, level, i // 3 ORDER BY i)
+), up_sides AS (
+  SELECT level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+    coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+  FROM up WHERE n > 1 WINDOW w AS (PARTITION BY level, i // 3 ORDER BY i)
+), steps AS (
+  SELECT l.source, l.i, x.level AS k, x.a, x.b FROM l JOIN low_sides AS x ON x.source IS NOT DISTINCT FROM l.source AND x.i = l.i // CAST(pow(3, x.level) AS BIGINT)
+  UNION ALL
+  SELECT l.source, l.i, s.depth + x.level, x.a, x.b FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN up_sides AS x ON x.i = s.i // CAST(pow(3, x.level) AS BIGINT)
+), p AS (
+  SELECT source, i, sha256(string_agg(a || b, '' ORDER BY k)) AS proof_sha256, count(*) AS m FROM steps GROUP BY source, i
+), fold AS (
+  SELECT source, i, 0 AS k, tampered AS h FROM l
+  UNION ALL
+  SELECT f.source, f.i, f.k + 1, sha256(x.a || f.h || x.b) FROM fold AS f JOIN steps AS x ON x.source IS NOT DISTINCT FROM f.source AND x.i = f.i AND x.k = f.k
+)
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, fold.h AS folded_root, fold.h = r.h AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source CROSS JOIN (SELECT h FROM up WHERE n = 1) AS r
+LEFT JOIN p ON p.source IS NOT DISTINCT FROM l.source AND p.i = l.i
+JOIN fold ON fold.source IS NOT DISTINCT FROM l.source AND fold.i = l.i AND fold.k = coalesce(p.m, 0)
+"""
+
+ORACLES = {"op1_exact_topk": OP1, "op4_chat_format": OP4, "op7_html_extract": OP7, "op8_ngram_join": OP8, "op10_mixing": OP10, "op12_merkle_manifest": OP12}
