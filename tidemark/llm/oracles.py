@@ -111,6 +111,24 @@ e AS (
 SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, d AS domain, lang, source, tokens AS n_tokens FROM p WHERE before < room
 """
 
+OP11 = """
+WITH ok AS (
+  SELECT vec_id, embedding, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c AS (
+  SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS v FROM ok
+), s AS (
+  SELECT q.vec_id AS a, c.vec_id AS b, q.label = c.label AS alike, CAST(sum(q.v * c.v) AS BIGINT) AS score
+  FROM c AS q JOIN c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2, 3
+), p AS (
+  SELECT a, b, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank,
+  s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
 OP12 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, text, lang, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
@@ -158,4 +176,4 @@ LEFT JOIN p ON p.source IS NOT DISTINCT FROM l.source AND p.i = l.i
 JOIN fold ON fold.source IS NOT DISTINCT FROM l.source AND fold.i = l.i AND fold.k = coalesce(p.m, 0)
 """
 
-ORACLES = {"op1_exact_topk": OP1, "op4_chat_format": OP4, "op7_html_extract": OP7, "op8_ngram_join": OP8, "op10_mixing": OP10, "op12_merkle_manifest": OP12}
+ORACLES = {"op1_exact_topk": OP1, "op4_chat_format": OP4, "op7_html_extract": OP7, "op8_ngram_join": OP8, "op10_mixing": OP10, "op11_hard_negatives": OP11, "op12_merkle_manifest": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, exact_topk, html_extract, language_id, license_scan, line_dedup, merkle, mixing, ngram_join, packing, token_counts
+from . import ann, chat_format, exact_topk, hard_negatives, html_extract, language_id, license_scan, line_dedup, merkle, mixing, ngram_join, packing, token_counts
 from .common import table
 
 
@@ -72,6 +72,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_epoch").alias("epoch"), F.col("_domain").alias("domain"), "lang", "source", F.col("_tokens").alias("n_tokens"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    e = e.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(e, e.where("vec_id % 100 = 0"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
@@ -88,6 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_exact_topk, op2_license_scan, op3_line_dedup, op4_chat_format, op5_packing,
         op6_ann, op7_html_extract, op8_ngram_join, op9_language_id, op10_mixing,
-        op12_merkle_manifest, op13_token_counts,
+        op11_hard_negatives, op12_merkle_manifest, op13_token_counts,
     )
 }
