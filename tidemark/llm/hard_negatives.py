@@ -1,7 +1,7 @@
 """Hard negatives by vantage-point trees over norm-augmented vectors.
 
-A vector gets one more component, so that all of a shard are as long as its longest. An anchor gets a zero there: its distance
-to a vector then falls as their inner product rises, and a window of scores is an annulus of distances around the anchor.
+A vector gets one more component, so that all of a shard are as long as its longest. An anchor gets a zero there and the same length: its
+distance to a vector then falls as their inner product rises, and a window of scores is an annulus of distances around it.
 A tree's node keeps how near and how far its rows lie from a vantage point, which bounds their scores for any anchor.
 Nodes and rows wait in one heap, highest possible score first; nodes that lie outside the annulus never enter it. So rows come
 out nearest first, and a search ends with its k-th row.
@@ -84,18 +84,22 @@ class Tree:
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(low, high): for each anchor and node, bounds of the scores below the node; wider than rounding could need."""
         with np.errstate(over="ignore", invalid="ignore"):
-            reach = (q * q).sum(axis=1) + self.longest
+            # an anchor is made as long as the rows, which scales its scores: so its distances differ most
+            length = np.sqrt((q * q).sum(axis=1))
+            scale = np.where(length > 0, np.sqrt(self.longest) / np.where(length > 0, length, 1), 1)
+            scale = np.where(scale > 0, scale, 1)
+            reach = length * length * scale * scale + self.longest
             inner = np.flatnonzero(self.vantage >= 0)
-            away = np.sqrt(np.maximum(reach[:, None] - 2 * (q @ self.v[self.vantage[inner]].T), 0.0))
+            away = np.sqrt(np.maximum(reach[:, None] - 2 * scale[:, None] * (q @ self.v[self.vantage[inner]].T), 0.0))
             slack = 1e-9 * np.sqrt(reach) + 1e-9
             nearest, farthest = np.zeros((len(q), len(self.start))), np.full((len(q), len(self.start)), np.inf)
             for i, node in enumerate(inner):  # parents come before children
                 for child, lo, hi in ((self.near[node], self.near_lo[node], self.near_hi[node]), (self.far[node], self.far_lo[node], self.far_hi[node])):
                     nearest[:, child] = np.maximum(nearest[:, node], np.maximum(away[:, i] - hi, lo - away[:, i]) - slack)
                     farthest[:, child] = np.minimum(farthest[:, node], away[:, i] + hi + slack)
-            wide = (1e-9 * reach + 1)[:, None]
-            high = np.nan_to_num((reach[:, None] - nearest * nearest) / 2 + wide, nan=np.inf, posinf=np.inf)
-            low = np.nan_to_num((reach[:, None] - farthest * farthest) / 2 - wide, nan=-np.inf, neginf=-np.inf)
+            half, wide = 2 * scale[:, None], (1e-9 * reach / scale + 1)[:, None]
+            high = np.nan_to_num((reach[:, None] - nearest * nearest) / half + wide, nan=np.inf, posinf=np.inf)
+            low = np.nan_to_num((reach[:, None] - farthest * farthest) / half - wide, nan=-np.inf, neginf=-np.inf)
         return low, high
 
 

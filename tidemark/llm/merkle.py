@@ -148,12 +148,12 @@ def _descend(levels: int, arity: int, finish):
                 for i in range(len(children)):
                     steps[at - 1, idx * arity + i] = [("".join(children[:i]), "".join(children[i + 1 :])), *path]
                 del steps[at, idx]
-        return finish(top, steps, rows)
+        return finish(top, steps, rows, t.schema.field("id").type)
 
     return run
 
 
-def _paths(top: dict, steps: dict, rows: list[dict]) -> pa.Table:
+def _paths(top: dict, steps: dict, rows: list[dict], kind: pa.DataType) -> pa.Table:
     at = list(steps)
     return pa.table({
         "tree": pa.array([top["tree"]] * len(at), pa.string()),
@@ -164,7 +164,7 @@ def _paths(top: dict, steps: dict, rows: list[dict]) -> pa.Table:
     })
 
 
-def _proofs(top: dict, steps: dict, rows: list[dict]) -> pa.Table:
+def _proofs(top: dict, steps: dict, rows: list[dict], kind: pa.DataType) -> pa.Table:
     ids, leaves, subroots, hashed, folds = [], [], [], [], []
     for r in rows:
         if r["leaf"] is None:
@@ -178,7 +178,7 @@ def _proofs(top: dict, steps: dict, rows: list[dict]) -> pa.Table:
         subroots.append(top["subroot"])
         hashed.append(parent_digest([x for step in path for x in step]))
         folds.append(folded)
-    return pa.table({"id": pa.array(ids), "leaf": leaves, "subroot": subroots, "proof_sha256": hashed, "folded_root": folds})
+    return pa.table({"id": pa.array(ids, kind), "leaf": leaves, "subroot": subroots, "proof_sha256": hashed, "folded_root": folds})
 
 
 def _side(df: DataFrame, id_type: str, **given: Column) -> DataFrame:
