@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC, which Spark has no expression for."""
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+@F.arrow_udf(StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    """Unicode NFKC, which Spark has no expression for; each text of a batch once, ASCII as it is. (Arrow's own function of that name doesn't compose.)"""
+    coded = s.dictionary_encode()
+    made = [x if x.isascii() else unicodedata.normalize("NFKC", x) for x in coded.dictionary.to_pylist()]
+    return pa.array(made, pa.string()).take(coded.indices)
 
 
 def collapse_space(c: Column) -> Column:

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, reads
+from . import catalog, categories, reads
 from .listings import ALL
 from .oracles import ORACLES as _LISTINGS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL} | catalog.QUERIES | reads.QUERIES
-ORACLES: dict[str, str] = _LISTINGS | catalog.ORACLES | reads.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL} | catalog.QUERIES | categories.QUERIES | reads.QUERIES
+ORACLES: dict[str, str] = _LISTINGS | catalog.ORACLES | categories.ORACLES | reads.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
