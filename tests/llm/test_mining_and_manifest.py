@@ -125,7 +125,12 @@ def test_manifest_equals_brute_force(spark, monkeypatch, arity, levels_at_once):
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, leaf string").repartition(5)
     cut = {"text": F.replace("text", F.lit("\n"), F.lit(""))}
-    got = merkle.manifest(docs, ["doc_id", "source", "text"], "source", "doc_id", cut, arity)
+    proved = merkle.manifest(docs, ["doc_id", "source", "text"], "source", "doc_id", cut, arity, with_proof=True).cache()
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s.left, s.right)), "")
+    assert proved.where((merkle.fold(F.col("leaf"), F.col("proof")) != F.col("root")) | (F.sha2(siblings, 256) != F.col("proof_sha256"))).count() == 0
+    wrong = merkle.fold(F.sha2("leaf", 256), F.col("proof"))
+    assert proved.where(wrong == F.col("root")).count() == 0
+    got = proved.drop("proof")
     assert got.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows, arity)
 
@@ -192,7 +197,8 @@ def test_hard_negatives_equal_brute_force(spark, width, shard):
 
 
 def test_hard_negatives_of_odd_rows(spark):
-    rows = vectors(120, 3, 9) + [(200, None, 1), (None, [1.0, 1.0, 1.0], 1), (201, [1.0, None, 2.0], 1), (202, [float("nan"), 1.0, 1.0], 1), (203, [1.0, 1.0, 1.0], None), (204, [float("inf")], 2), (205, [], 1), (206, [2.0], 3), (100, [5.0, 5.0, 5.0, 5.0], 1)]
+    rows = vectors(120, 3, 9)
+    rows += rows[10:30:5] * 2 + [(200, None, 1), (None, [1.0, 1.0, 1.0], 1), (201, [1.0, None, 2.0], 1), (202, [float("nan"), 1.0, 1.0], 1), (203, [1.0, 1.0, 1.0], None), (204, [float("inf")], 2), (205, [], 1), (206, [2.0], 3), (100, [5.0, 5.0, 5.0, 5.0], 1)]
     df = spark.createDataFrame([(*r, 7, 8) for r in rows], SCHEMA + ", score int, qkey int")
     got = hard_negatives.hard_negatives(df, df.where("vec_id % 10 = 0 OR vec_id > 199"), 3, 4, shard=40, leaf=4)
     want = mined(rows, {r[0] for r in rows if r[0] is not None and (r[0] % 10 == 0 or r[0] > 199)}, 3, 4)

@@ -22,7 +22,7 @@ from .common import Scratch, blocks, finite_vector, materialize, spread
 from .exact_topk import LIMIT, _matrix, _scores
 
 #: Rows of a shard, of a tree's leaf, and anchors that are searched for in one task.
-SHARD, LEAF, QUERIES = 8192, 64, 4096
+SHARD, LEAF, QUERIES = 8192, 256, 4096
 
 _INDEX = "shard int, ids array<long>, labels array<string>, vectors binary, kind string, tree array<array<double>>"
 #: What a node holds: its range of rows, its vantage point's row, its two children (-1: a leaf), their nearest and farthest distances.
@@ -36,11 +36,11 @@ def augmented(v: np.ndarray) -> np.ndarray:
     return np.column_stack([v, np.sqrt(np.maximum(rest, 0.0))])
 
 
-def build_tree(v: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+def build_tree(v: np.ndarray, leaf: int = LEAF, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, nodes): rows in the order of the leaves, and one row of _NODE for each node, parents before children.
 
     A node's vantage point is the row farthest from its first row; rows up to the median distance from it go to the near
-    child. Rows that can't be told apart by distance stay in one leaf.
+    child. Rows that can't be told apart by distance stay in one leaf. Within a leaf rows lie by their ids.
     """
     x = augmented(v)
     order = np.arange(len(v))
@@ -60,6 +60,10 @@ def build_tree(v: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]
                 nodes[at][2:] = [vantage, len(nodes), len(nodes) + 1, d[near].min(), d[near].max(), d[~near].min(), d[~near].max()]
                 nodes += [[a, b, -1, -1, -1, 0, 0, 0, 0] for a, b in ((start, middle), (middle, stop))]
         at += 1
+    if ids is not None:
+        for start, stop, vantage, *_ in nodes:
+            if vantage < 0:
+                order[start:stop] = order[start:stop][np.argsort(ids[order[start:stop]], kind="stable")]
     made = np.array(nodes, dtype=np.float64)
     place = np.empty(len(v), np.int64)
     place[order] = np.arange(len(v))
@@ -125,7 +129,7 @@ class Anchor:
             v = t.v[a:b]
             s = (v @ self.q).astype(np.int64) if self.exact else _scores(self.q[None], v, np.zeros((1, b - a), bool))[0]
             s, ids = -s[keep], ids[keep]
-            order = np.lexsort((ids, s))
+            order = np.argsort(s, kind="stable")  # a leaf's rows lie by id
             found = self.opened[node] = (s[order], ids[order])
         return found
 
@@ -136,25 +140,29 @@ class Anchor:
             return out
         heap = [] if self.useless[0] else [(-self.high[0], 0, 0)]
         while heap and len(out) < k:
-            value, is_row, x = heapq.heappop(heap)
+            value, is_row, x, *leaf = heapq.heappop(heap)
             if is_row:
                 out.append((x, -value))
+                node, at = leaf
+                s, ids = self.opened[node]
+                if at + 1 < len(s) and s[at + 1] <= -lo:  # of a leaf, one row waits at a time
+                    heapq.heappush(heap, (int(s[at + 1]), 1, int(ids[at + 1]), node, at + 1))
             elif t.near[x] >= 0:
                 for child in (int(t.near[x]), int(t.far[x])):
                     if self.high[child] >= lo and self.low[child] <= hi and not self.useless[child]:
                         heapq.heappush(heap, (-self.high[child], 0, child))
             else:
                 s, ids = self.leaf(x)
-                first, last = np.searchsorted(s, -hi, "left"), np.searchsorted(s, -lo, "right")
-                for i in range(first, min(last, first + k)):
-                    heapq.heappush(heap, (int(s[i]), 1, int(ids[i])))
+                at = int(s.searchsorted(-hi))
+                if at < len(s) and s[at] <= -lo:
+                    heapq.heappush(heap, (int(s[at]), 1, int(ids[at]), x, at))
         return out
 
 
 def _index(leaf: int):
     def run(t: pa.Table) -> pa.Table:
         v = _matrix(t.column("vec"))
-        order, nodes = build_tree(v, leaf)
+        order, nodes = build_tree(v, leaf, t.column("vid").to_numpy())
         kind = next((k for k in ("<i2", "<i4") if np.abs(v).max(initial=0) <= np.iinfo(k).max), "<f8")
         t = t.take(pa.array(order))
         return pa.table({

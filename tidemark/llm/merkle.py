@@ -9,6 +9,7 @@ from the root down, the links give each node the siblings on its way to the root
 
 from __future__ import annotations
 
+import functools
 from hashlib import sha256
 
 import pyarrow as pa
@@ -164,8 +165,8 @@ def _paths(top: dict, steps: dict, rows: list[dict], kind: pa.DataType) -> pa.Ta
     })
 
 
-def _proofs(top: dict, steps: dict, rows: list[dict], kind: pa.DataType) -> pa.Table:
-    ids, leaves, subroots, hashed, folds = [], [], [], [], []
+def _proofs(top: dict, steps: dict, rows: list[dict], kind: pa.DataType, with_proof: bool) -> pa.Table:
+    ids, leaves, subroots, hashed, folds, ways = [], [], [], [], [], []
     for r in rows:
         if r["leaf"] is None:
             continue
@@ -178,7 +179,9 @@ def _proofs(top: dict, steps: dict, rows: list[dict], kind: pa.DataType) -> pa.T
         subroots.append(top["subroot"])
         hashed.append(parent_digest([x for step in path for x in step]))
         folds.append(folded)
-    return pa.table({"id": pa.array(ids, kind), "leaf": leaves, "subroot": subroots, "proof_sha256": hashed, "folded_root": folds})
+        ways.append([{"left": a, "right": b} for a, b in path] if with_proof else None)
+    out = {"id": pa.array(ids, kind), "leaf": leaves, "subroot": subroots, "proof_sha256": hashed, "folded_root": folds}
+    return pa.table(out | {"proof": pa.array(ways, pa.list_(_STEP))})
 
 
 def _side(df: DataFrame, id_type: str, **given: Column) -> DataFrame:
@@ -187,10 +190,10 @@ def _side(df: DataFrame, id_type: str, **given: Column) -> DataFrame:
     return df.select([given.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
 
 
-def proofs(parents: DataFrame, tops: DataFrame, rounds: int, keep: Scratch, leaves: DataFrame | None = None, arity: int = ARITY) -> DataFrame:
+def proofs(parents: DataFrame, tops: DataFrame, rounds: int, keep: Scratch, leaves: DataFrame | None = None, arity: int = ARITY, with_proof: bool = False) -> DataFrame:
     """Walk the links from each tree's top (tree, level, idx, path, subroot) down to its leaves, LEVELS levels a shuffle.
 
-    With leaves (tree, idx, id, leaf, tampered): (id, leaf, subroot, proof_sha256, folded_root) for each; without, each
+    With leaves (tree, idx, id, leaf, tampered): (id, leaf, subroot, proof_sha256, folded_root, proof) for each; without, each
     leaf's (tree, level, idx, path, subroot).
     """
     c = F.col
@@ -205,13 +208,13 @@ def proofs(parents: DataFrame, tops: DataFrame, rounds: int, keep: Scratch, leav
             here = here.unionByName(_side(leaves, kind, level=F.lit(0), **{x: c(x) for x in leaves.columns}))
         here = here.withColumn("block", _block(high, c("level"), c("idx"), arity)).groupBy("tree", "block")
         if r == 0 and leaves is not None:
-            return here.applyInArrow(_descend(0, arity, _proofs), f"id {kind}, leaf string, subroot string, proof_sha256 string, folded_root string")
+            return here.applyInArrow(_descend(0, arity, functools.partial(_proofs, with_proof=with_proof)), f"id {kind}, leaf string, subroot string, proof_sha256 string, folded_root string, proof {_STEPS}")
         out = keep(here.applyInArrow(_descend(low, arity, _paths), f"tree string, level int, idx long, path {_STEPS}, subroot string"), "merkle-paths")
         tops = tops.where(c("level") <= low).unionByName(out) if r else out
     return tops
 
 
-def manifest(rows: DataFrame, fields: list[str], group: str, order: str, tampered: dict[str, Column] | None = None, arity: int = ARITY) -> DataFrame:
+def manifest(rows: DataFrame, fields: list[str], group: str, order: str, tampered: dict[str, Column] | None = None, arity: int = ARITY, with_proof: bool = False) -> DataFrame:
     """rows' order column with leaf, subroot, root, proof_sha256, folded_root, verified: the manifest of the table and a check of it.
 
     A leaf is the digest of fields. Leaves of one value of group make a tree by ascending order (null first, then equal
@@ -220,6 +223,9 @@ def manifest(rows: DataFrame, fields: list[str], group: str, order: str, tampere
     on the way to the root, level by level, left to right. folded_root is what the leaf of the tampered row (columns that
     tampered replaces; without it the row itself) and the proof give; verified tells whether that is the root.
 
+    with_proof adds proof, an array with the digests before and after the node on each level of the way, which `fold` can check
+    against any row later; that is some 100 bytes a level and row.
+
     Repeated rows are leaves of their own. An empty table gives no rows. Other columns are ignored, so their names can't clash.
     Texts are read once and not shuffled: digests are.
     """
@@ -233,6 +239,7 @@ def manifest(rows: DataFrame, fields: list[str], group: str, order: str, tampere
     most, count = leaves.groupBy("tree").agg(F.max("_n").alias("n")).agg(F.max("n"), F.count("*")).first()
     result = "leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
     if not count:
+        result += f", proof {_STEPS}" if with_proof else ""
         return rows.sparkSession.createDataFrame([], f"`{order}` {leaves.schema['id'].dataType.simpleString()}, {result}")
     parents = links(leaves.select("tree", c("_n").alias("n"), c("_idx").alias("idx"), c("leaf").alias("digest")), rounds(most), keep, arity)
     # a tree's root is the highest of its first nodes
@@ -250,6 +257,12 @@ def manifest(rows: DataFrame, fields: list[str], group: str, order: str, tampere
     paths = proofs(over, start, rounds(count), keep, arity=arity).select(c("idx").alias("_idx"), "path")
     tops = keep(upper.join(paths, "_idx").select("tree", "level", F.lit(0).cast("long").alias("idx"), "path", "subroot"), "merkle-tops")
     ends = leaves.select("tree", c("_idx").alias("idx"), "id", "leaf", "tampered")
-    out = materialize(proofs(parents, tops, rounds(most), keep, ends, arity), "merkle-proofs")
+    out = materialize(proofs(parents, tops, rounds(most), keep, ends, arity, with_proof), "merkle-proofs")
     keep.clear(rows.sparkSession)
-    return out.select(c("id").alias(order), "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (c("folded_root") == F.lit(root)).alias("verified"))
+    out = out.select(c("id").alias(order), "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (c("folded_root") == F.lit(root)).alias("verified"), "proof")
+    return out if with_proof else out.drop("proof")
+
+
+def fold(leaf: Column, proof: Column) -> Column:
+    """The root that a leaf's digest and its proof give, by Spark's functions alone: a row is in the manifest if that is the root."""
+    return F.aggregate(proof, leaf, lambda h, step: F.sha2(F.concat(step.left, h, step.right), 256))
