@@ -147,12 +147,3 @@ def test_request_parameters():
     assert reads.request([], allowed, numeric) == ({"limit": 50, "offset": 0}, None)
     for parameters, code in (([("x", "1")], "unknown_parameter"), ([("q", "a"), ("q", "b")], "repeated_parameter"), ([("q", "abcdef")], "parameter_too_long"), ([("limit", "-1")], "not_a_number"), ([("limit", "²")], "not_a_number")):
         assert reads.request(parameters, allowed, numeric) == ({}, code)
-
-
-def test_indexed_search_reads_the_index(spark):
-    from tidemark.operators import search
-
-    p = spark.createDataFrame([(1, "Polished Tin"), (2, "polished brass"), (3, None), (4, "tin")], "id long, t string")
-    index = search.trigrams(p, "id", "t")
-    assert [r.id for r in search.indexed(index, "id", ["polished", "tin"]).collect()] == [1]
-    assert {r.id for r in search.indexed(index, "id", ["ti"]).collect()} == {1, 2, 4}

@@ -148,24 +148,52 @@ def trigrams(docs: DataFrame, id_col: str, column: str) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(grams)).alias("gram"), id_col).where(F.length("gram") == 3)
 
 
-def indexed(index: DataFrame, id_col: str, terms: list[str]) -> DataFrame:
-    """(id) of what may hold all terms of three or more characters, from the index alone: ids under every gram of the terms.
-
-    Shorter terms narrow nothing down here. The grams asked for are few and stand as a pushed filter; counts are combined
-    map-side. What is found is checked with matches(). Without a long term every id of the index may hold them.
-    """
-    grams = sorted({t[i : i + 3] for t in terms for i in range(len(t) - 2)})
-    if not grams:
-        return index.select(id_col).distinct()
-    return index.where(F.col("gram").isin(grams)).groupBy(id_col).agg(F.count_distinct("gram").alias("_n")).where(F.col("_n") == len(grams)).select(id_col)
-
-
 def relevance(manufacturer_id: str, model: str) -> Column:
     """Tier of an entity for a query: maker and model (0), model (1), model whatever the case (2), else 3."""
     same = F.col("model") == F.lit(model)
     return F.when((F.col("manufacturer_id") == F.lit(manufacturer_id)) & same, 0).when(same, 1).when(F.lower("model") == F.lower(F.lit(model)), 2).otherwise(3)
 
 
+def ranked(entities: DataFrame, found: DataFrame, manufacturer_id: str, model: str) -> DataFrame:
+    """Entities that a text search found (entity_id, score), best first: by tier, then score, then latest activity, then id."""
+    out = entities.join(found, "entity_id").withColumn("tier", relevance(manufacturer_id, model))
+    return out.orderBy("tier", F.desc("score"), F.desc_nulls_last("latest_activity_at"), F.desc("entity_id"))
+
+
+@dataclass(frozen=True)
+class ProductFilter:
+    """What is asked of the product itself, whatever its offers. category is a label or an id, and accepts what lies below it."""
+
+    manufacturer_ids: tuple[str, ...] = ()
+    presentations: tuple[str, ...] = ()
+    category: str | None = None
+    features: tuple[str, ...] = ()
+
+    def _manufacturer(self) -> Column:
+        """A maker by id, or by what shops call it: the name alone, or behind a badge in brackets."""
+        plain = F.regexp_replace(F.lower(F.coalesce("manufacturer", F.lit(""))), r"(?U)\s+", "")
+        out = F.col("manufacturer_id").isin(*self.manufacturer_ids) if self.manufacturer_ids else F.lit(False)
+        for name in ("".join(p.lower().split()) for p in self.presentations):
+            out = out | (plain == name) | (plain.rlike(r"^(【.*】|〖.*〗|\[.*\])") & plain.endswith(name))
+        return out
+
+    def apply(self, entities: DataFrame, offers: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+        """entities: manufacturer_id, manufacturer, primary_category_id. offers: entity_id, listing_id. facts: listing_id, feature, state."""
+        from tidemark.operators.categories import filter_ids
+
+        out = entities
+        if self.manufacturer_ids or self.presentations:
+            out = out.where(self._manufacturer())
+        if self.category is not None:
+            out = out.where(F.col("primary_category_id").isin(filter_ids(self.category) or [self.category]))
+        if self.features:
+            wanted = sorted(set(self.features))
+            shown = facts.where(F.col("feature").isin(wanted) & (F.col("state") == "present")).select("listing_id", "feature")
+            shown = shown.join(offers.select("listing_id", "entity_id"), "listing_id").groupBy("entity_id").agg(F.count_distinct("feature").alias("n"))
+            out = out.join(shown.where(F.col("n") == len(wanted)), "entity_id", "left_semi")
+        return out
+
+
 def facet(entities: DataFrame, key: str, name: str) -> DataFrame:
     """One row a key: its smallest name and the number of distinct entities."""
     return entities.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(name).alias("name"), F.count_distinct("entity_id").alias("entities"))
