@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog, categories, reads, text
+from . import catalog, categories, projection, reads, text
 from .listings import ALL
 from .oracles import ORACLES as _LISTINGS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL} | catalog.QUERIES | categories.QUERIES | reads.QUERIES | text.QUERIES
-ORACLES: dict[str, str] = _LISTINGS | catalog.ORACLES | categories.ORACLES | reads.ORACLES | text.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL} | catalog.QUERIES | categories.QUERIES | reads.QUERIES | text.QUERIES | projection.QUERIES
+ORACLES: dict[str, str] = _LISTINGS | catalog.ORACLES | categories.ORACLES | reads.ORACLES | text.ORACLES | projection.ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
