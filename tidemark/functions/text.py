@@ -59,12 +59,15 @@ def truncated(c: Column, size: int, mark: str = "…") -> Column:
 
 def identity_model(c: Column) -> Column:
     """A model name for comparison: `D-1000 MKII`, `D1000 MK2` and `D 1000 mk ii` are all D1000MK2."""
-    c = F.upper(F.regexp_replace(c, r"[‐‑‒–—―−ー]", "-"))
+    c = marked = F.upper(F.translate(c, "‐‑‒–—―−ー", "-" * 8))
     for roman, digit in (("III", "3"), ("II", "2"), ("IV", "4"), ("I", "1")):
-        c = F.regexp_replace(c, rf"\b?(?:MARK|MK)[\s.\-]*{roman}(?![A-Z0-9])", f"MK{digit}")
-    c = F.regexp_replace(c, r"MARK[\s.\-]*(?=[0-9])", "MK")
+        marked = F.regexp_replace(marked, rf"\b?(?:MARK|MK)[\s.\-]*{roman}(?![A-Z0-9])", f"MK{digit}")
+    marked = F.regexp_replace(marked, r"MARK[\s.\-]*(?=[0-9])", "MK")
+    # few names hold a mark or a roman number, and a look for one costs less than its patterns
+    c = revised = F.when(c.contains("MK") | c.contains("MARK"), marked).otherwise(c)
     for roman, digit in (("III", "3"), ("II", "2"), ("IV", "4")):
-        c = F.regexp_replace(c, rf"(?<=[\s\-]){roman}(?![A-Z0-9])", f"REV{digit}")
+        revised = F.regexp_replace(revised, rf"(?<=[\s\-]){roman}(?![A-Z0-9])", f"REV{digit}")
+    c = F.when(c.contains("II") | c.contains("IV"), revised).otherwise(c)
     return F.regexp_replace(c, r"[^A-Z0-9]", "")
 
 

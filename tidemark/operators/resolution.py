@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import identity_model, model_stem, model_variant
+from tidemark.sources.shared import new_folder, written
 
 
 def unambiguous(keys: DataFrame, key: list[str], value: str) -> DataFrame:
@@ -37,17 +38,21 @@ def resolve(listings: DataFrame, catalog: DataFrame) -> DataFrame:
     listings: listing_id, manufacturer_id, model, model_status. catalog: product_id, manufacturer_id, canonical_model, aliases.
     """
     rows = listings.withColumn("_m", identity_model(F.coalesce("model", F.lit(""))))
+    key = ["manufacturer_id", "_m"]
     names = catalog.select("product_id", "manufacturer_id", F.explode(F.concat(F.array(F.struct(F.lit("exact").alias("kind"), F.col("canonical_model").alias("name"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda x: F.struct(F.lit("alias").alias("kind"), x.alias("name"))))).alias("k"))
     names = names.select("product_id", "manufacturer_id", "k.kind", identity_model(F.col("k.name")).alias("_m")).where("_m <> ''").distinct()
-    hits = rows.join(names, ["manufacturer_id", "_m"]).groupBy("listing_id").agg(
-        *(f(F.when(F.col("kind") == k, F.col("product_id"))).alias(f"{k}_{n}") for k in ("exact", "alias") for n, f in (("n", F.count_distinct), ("id", F.min)))
-    )
-    stems = names.where("kind = 'exact'").select("product_id", "manufacturer_id", model_stem(F.col("_m")).alias("_stem"), model_variant(F.col("_m")).alias("_var"))
-    own = rows.withColumns({"_stem": model_stem(F.col("_m")), "_v": model_variant(F.col("_m"))})
-    veto = own.join(stems, ["manufacturer_id", "_stem"]).where("_v <> _var").groupBy("listing_id").agg(F.min("product_id").alias("veto_id"))
-    fuzzy = similar(rows.select("listing_id", "manufacturer_id", "_m"), names.where("kind = 'exact'").select("product_id", "manufacturer_id", F.col("_m").alias("_n")), "manufacturer_id", "_m", "_n")
-    fuzzy = fuzzy.groupBy("listing_id").agg(F.count_distinct("product_id").alias("fuzzy_n"), F.min("product_id").alias("fuzzy_id"))
-    all_ = rows.join(hits, "listing_id", "left").join(veto, "listing_id", "left").join(fuzzy, "listing_id", "left")
+    # a name is resolved once, however many listings have it, and written, as several tiers read it; each sees only what those before have left open
+    claimed = names.groupBy(*key).agg(*(f(F.when(F.col("kind") == k, F.col("product_id"))).alias(f"{k}_{n}") for k in ("exact", "alias") for n, f in (("n", F.count_distinct), ("id", F.min))))
+    asked = rows.where(~F.col("model_status").eqNullSafe("unresolved") & (F.coalesce("manufacturer_id", F.lit("")) != "") & (F.col("_m") != "")).select(*key).distinct()
+    asked = written(asked.join(claimed, key, "left"), new_folder(listings.sparkSession, "names"))
+    open_ = asked.where("exact_n IS NULL").select(*key)
+    exact = names.where("kind = 'exact'")
+    stems = exact.select("product_id", "manufacturer_id", model_stem(F.col("_m")).alias("_stem"), model_variant(F.col("_m")).alias("_var"))
+    own = open_.withColumns({"_stem": model_stem(F.col("_m")), "_v": model_variant(F.col("_m"))})
+    veto = own.join(stems, ["manufacturer_id", "_stem"]).where("_v <> _var").groupBy(*key).agg(F.min("product_id").alias("veto_id"))
+    near = similar(open_.join(veto, key, "left_anti"), exact.select("product_id", "manufacturer_id", F.col("_m").alias("_n")), "manufacturer_id", "_m", "_n")
+    near = near.groupBy(*key).agg(F.count_distinct("product_id").alias("fuzzy_n"), F.min("product_id").alias("fuzzy_id"))
+    all_ = rows.join(asked.join(veto, key, "left").join(near, key, "left"), key, "left")
     cases = [
         ((F.coalesce("manufacturer_id", F.lit("")) == "") | (F.col("_m") == ""), "unresolved", "missing_fields", None, None),
         (F.coalesce("model_status", F.lit("")) == "unresolved", "unresolved", "unresolved_model", None, None),

@@ -96,14 +96,16 @@ def shop_thresholds(spark, d):
 
 
 def identity_resolution(spark, d):
-    """Listings of all kinds of evidence: exact in another spelling, alias, one edit, other variant, nothing, no model."""
+    """Listings of all kinds of evidence: exact in another spelling, alias, one edit, other variant, nothing, no model, and names that two products claim."""
     p = _t(spark, d, "part").select("p_partkey", "p_brand", F.concat(F.lit("AX"), F.lpad(F.col("p_partkey").cast("string"), 7, "0")).alias("name"))
     catalog = p.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("manufacturer_id"), F.col("name").alias("canonical_model"), F.array(F.concat(F.lit("Q"), F.reverse("name"))).alias("aliases"))
+    other = p.where("p_partkey % 50 < 2").select((F.col("p_partkey") + 10_000_000).alias("product_id"), F.col("p_brand").alias("manufacturer_id"), F.when(F.col("p_partkey") % 50 == 0, F.col("name")).otherwise(F.concat(F.lit("OTHER"), "name")).alias("canonical_model"), F.array(F.concat(F.lit("Q"), F.reverse("name"))).alias("aliases"))
+    catalog = catalog.unionByName(other)
     line = _t(spark, d, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     n = F.col("l_linenumber")
     model = (
         F.when(n == 1, F.concat(F.lit("ax-"), F.substring("name", 3, 9))).when(n == 2, F.concat(F.lit("q "), F.reverse("name"))).when(n == 3, F.concat("name", F.lit("T")))
-        .when(n == 4, F.concat("name", F.lit(" MK II"))).when(n == 5, F.lit("ZZTOP 9000 ZZ")).when(n == 6, F.col("name"))
+        .when(n == 4, F.concat("name", F.lit(" MK II"))).when(n == 5, F.lit("ZZTOP 9000 ZZ")).when(n == 6, F.col("name")).when((n == 7) & (F.col("p_partkey") % 2 == 0), F.concat(F.substring("name", 1, 8), F.lit("T")))
     )
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     rows = line.select(key.alias("listing_id"), F.col("p_brand").alias("manufacturer_id"), model.alias("model"), F.when(n == 6, "unresolved").otherwise("resolved").alias("model_status"))
@@ -170,20 +172,23 @@ t AS (SELECT shop_key, 'inventory_unknown' AS metric, value, CAST(CASE WHEN CAST
 SELECT *, CASE WHEN value >= critical THEN 'critical' WHEN value >= warning THEN 'warning' ELSE 'healthy' END AS level FROM t""",
     "identity_resolution": f"""WITH {_NAMED}, l AS (
   SELECT l_orderkey || '-' || l_linenumber AS listing_id, p_brand, l_linenumber = 6 AS open,
-    CASE l_linenumber WHEN 1 THEN 'ax-' || substr(name, 3, 9) WHEN 2 THEN 'q ' || reverse(name) WHEN 3 THEN name || 'T' WHEN 4 THEN name || ' MK2' WHEN 5 THEN 'ZZTOP 9000 ZZ' WHEN 6 THEN name END AS model
+    CASE l_linenumber WHEN 1 THEN 'ax-' || substr(name, 3, 9) WHEN 2 THEN 'q ' || reverse(name) WHEN 3 THEN name || 'T' WHEN 4 THEN name || ' MK2' WHEN 5 THEN 'ZZTOP 9000 ZZ' WHEN 6 THEN name WHEN 7 THEN CASE WHEN l_partkey % 2 = 0 THEN substr(name, 1, 8) || 'T' END END AS model
   FROM lineitem JOIN p ON l_partkey = p_partkey
 ), m AS (SELECT *, regexp_replace(upper(coalesce(model, '')), '[^A-Z0-9]', '', 'g') AS key FROM l),
 k AS (SELECT DISTINCT p_brand, key FROM m),
-x AS (SELECT k.p_brand, k.key, min(p.p_partkey) AS exact FROM k JOIN p ON p.p_brand = k.p_brand AND p.name = k.key GROUP BY 1, 2),
-a AS (SELECT k.p_brand, k.key, min(p.p_partkey) AS alias FROM k JOIN p ON p.p_brand = k.p_brand AND 'Q' || reverse(p.name) = k.key GROUP BY 1, 2),
-v AS (SELECT k.p_brand, k.key, min(p.p_partkey) AS veto FROM k JOIN p ON p.p_brand = k.p_brand AND p.name || 'MK2' = k.key GROUP BY 1, 2),
-f AS (SELECT k.p_brand, k.key, min(p.p_partkey) AS fuzzy, count(*) AS n FROM k JOIN p ON p.p_brand = k.p_brand AND abs(length(p.name) - length(k.key)) <= 1 AND p.name <> k.key AND levenshtein(p.name, k.key) <= 1 GROUP BY 1, 2),
-r AS (SELECT CASE WHEN key = '' THEN 'missing_fields' WHEN open THEN 'unresolved_model' WHEN exact IS NOT NULL THEN 'manufacturer_model_exact' WHEN alias IS NOT NULL THEN 'manufacturer_alias'
+c AS (SELECT p_partkey AS id, p_brand, name, 'Q' || reverse(name) AS alias FROM p
+  UNION ALL SELECT p_partkey + 10000000, p_brand, CASE WHEN p_partkey % 50 = 0 THEN name ELSE 'OTHER' || name END, 'Q' || reverse(name) FROM p WHERE p_partkey % 50 < 2),
+x AS (SELECT k.p_brand, k.key, min(id) AS exact, count(*) AS exact_n FROM k JOIN c ON c.p_brand = k.p_brand AND c.name = k.key GROUP BY 1, 2),
+a AS (SELECT k.p_brand, k.key, min(id) AS alias, count(*) AS alias_n FROM k JOIN c ON c.p_brand = k.p_brand AND c.alias = k.key GROUP BY 1, 2),
+v AS (SELECT k.p_brand, k.key, min(id) AS veto FROM k JOIN c ON c.p_brand = k.p_brand AND c.name || 'MK2' = k.key GROUP BY 1, 2),
+f AS (SELECT k.p_brand, k.key, min(id) AS fuzzy, count(*) AS n FROM k JOIN c ON c.p_brand = k.p_brand AND abs(length(c.name) - length(k.key)) <= 1 AND c.name <> k.key AND levenshtein(c.name, k.key) <= 1 GROUP BY 1, 2),
+r AS (SELECT CASE WHEN key = '' THEN 'missing_fields' WHEN open THEN 'unresolved_model' WHEN exact_n = 1 THEN 'manufacturer_model_exact' WHEN exact_n > 1 THEN 'exact_ambiguous'
+    WHEN alias_n = 1 THEN 'manufacturer_alias' WHEN alias_n > 1 THEN 'alias_ambiguous'
     WHEN veto IS NOT NULL THEN 'vetoed' WHEN n = 1 THEN 'fuzzy_candidate' WHEN n > 1 THEN 'fuzzy_ambiguous' ELSE 'none' END AS method, exact, alias, veto, fuzzy
   FROM m LEFT JOIN x USING (p_brand, key) LEFT JOIN a USING (p_brand, key) LEFT JOIN v USING (p_brand, key) LEFT JOIN f USING (p_brand, key))
-SELECT CASE WHEN method LIKE 'manufacturer%' THEN 'matched' ELSE 'unresolved' END AS status, method, count(*) AS n,
+SELECT CASE WHEN method LIKE 'manufacturer%' THEN 'matched' WHEN method IN ('exact_ambiguous', 'alias_ambiguous') THEN 'ambiguous' ELSE 'unresolved' END AS status, method, count(*) AS n,
   CAST(sum(CASE method WHEN 'manufacturer_model_exact' THEN exact WHEN 'manufacturer_alias' THEN alias END) AS BIGINT) AS products,
-  CAST(sum(CASE WHEN method = 'vetoed' THEN veto WHEN method LIKE 'fuzzy%' THEN fuzzy END) AS BIGINT) AS candidates FROM r GROUP BY 1, 2""",
+  CAST(sum(CASE WHEN method = 'vetoed' THEN veto WHEN method = 'exact_ambiguous' THEN exact WHEN method = 'alias_ambiguous' THEN alias WHEN method LIKE 'fuzzy%' THEN fuzzy END) AS BIGINT) AS candidates FROM r GROUP BY 1, 2""",
     "indexed_search": "SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'econ') AND contains(lower(p_type), 'omy')",
     "evidence_quotas": """WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS shop_key, ts AS t, (event_id % 800) || '-' || (user_id % 7) AS h FROM events WHERE ts IS NOT NULL),
 f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY h ORDER BY t, shop_key) = 1 THEN 1 ELSE 0 END AS new, CAST(floor(epoch(t)) AS BIGINT) AS s FROM e),
