@@ -27,7 +27,7 @@ from .common import materialize
 
 #: Words of the shorter line for each edit that is allowed, and the most edits (8 at most: a line's keys grow
 #: with their square). Lines of fewer words than PER_EDIT are only compared for equality.
-EDITS, PER_EDIT = 2, 10
+EDITS, PER_EDIT = 4, 10
 #: Pairs for each line up to which open lines are held against all that stand under their keys; beyond it keys are divided.
 FEW = 16
 #: Keys (under 32 bytes each) that may be broadcast; more are joined by a shuffle.
