@@ -16,6 +16,8 @@ from tidemark.llm import language_id, line_dedup, mixing, ngram_join, packing
 from tidemark.llm.common import shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words that two lines may differ in at most; the operator's own default allows more, at several times the cost.
+LINE_EDITS = 2
 #: A prediction must have this share of the probability to be relied on.
 LEAST_SCORE = 0.5
 
@@ -31,7 +33,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, wherever they first stood; n_chars follows the text. All documents stay, those with
     a null text or id and rows that repeat both as well."""
-    out = line_dedup.drop_repeated_lines(docs)
+    out = line_dedup.drop_repeated_lines(docs, LINE_EDITS)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -62,15 +64,19 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", stage_packing),
 ]
 
-#: SQL can express neither the language model nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the language model nor the tokenizer; tests hold each stage against what is planted in small tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written as Parquet in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # what the stage has read isn't needed any more
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        before = path
     return docs
