@@ -133,3 +133,37 @@ def test_ann_graph_is_built_by_insertion():
             true = np.argsort(-(q @ x.T), axis=1)[:, :10]
             found = g.search(q, 96)[:, :10]
             assert np.mean([len(set(a) & set(b)) for a, b in zip(found, true)]) >= 9
+
+
+PLAIN = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_stages_on_planted_rows(spark, tmp_path):
+    """Nulls, repeats, other columns and empty tables through each stage; planted lines, copies and letterless texts are caught."""
+    import corpus_pipeline as p
+
+    en = ["the quick brown fox jumps over the lazy dog and then the old man walks home with all of his friends in the evening"] * 8
+    de = ["der schnelle braune fuchs springt über den faulen hund und dann geht der alte mann am abend mit seinen freunden nach hause"] * 8
+    rows = [(i, t + f" number {i} of this", "en" if i < 8 else "de", f"s{i % 2}", 0) for i, t in enumerate(en + de)]
+    rows += [(20, "12345 !!", None, None, 0), (21, None, None, "s0", 0), (22, rows[0][1], None, "s1", 0), (22, rows[0][1], None, "s1", 0), (None, en[0] + " without an id here", "en", None, 0)]
+    docs = spark.createDataFrame(rows, PLAIN).withColumn("more", F.lit(1))
+    told = p.stage_language(spark, docs, "")
+    assert told.columns == p.COLUMNS and {r.doc_id for r in told.collect()} >= set(range(16)) and not {20, 21} & {r.doc_id for r in told.collect()}
+    assert all(r.lang == "en" for r in told.where("doc_id = 22").collect())
+    lines = p.stage_lines(spark, spark.createDataFrame([(1, "a line\nown one", "en", "s", 0), (2, "a line\nother", "en", "s", 0), (3, None, None, None, None)], PLAIN), "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {1: ("a line\nown one", 14), 2: ("other", 5), 3: (None, None)}
+    words = [f"w{i}" for i in range(60)]
+    near = [(1, " ".join(words), "en", "s", 0), (2, " ".join([*words[:59], "x"]), "en", "s", 0), (3, " ".join(reversed(words)), "en", "s", 0), (4, None, None, None, 0), (None, " ".join(words), "en", "s", 0)]
+    kept = p.stage_near_copies(spark, spark.createDataFrame(near, PLAIN), "")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "None"]
+    mixed = p.stage_mixing(spark, docs, "")
+    assert mixed.columns == p.COLUMNS and mixed.select("doc_id").distinct().join(docs, "doc_id", "left_anti").count() <= 1
+    packed = p.stage_packing(spark, docs, "")
+    assert packed.where("start = 0").count() == len(rows) and packed.where("offset < 0 OR offset + length > 2048").count() == 0
+    empty = docs.limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, empty, "").count() == 0
+    path = str(tmp_path / "sf")
+    spark.createDataFrame(rows, PLAIN).write.parquet(f"{path}/documents.parquet")
+    out = p.run(spark, path)
+    assert out.count() > 0 and out.where("doc_id IN (20, 21)").count() == 0
