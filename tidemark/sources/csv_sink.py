@@ -26,6 +26,11 @@ def header(df: DataFrame) -> str:
 
 def write(df: DataFrame, path: str, order: list[str], budget: int = 4096) -> None:
     """Parts ordered by the given columns; the header is the first line of the first part."""
-    body = lines(df, order, budget).repartitionByRange(*order).sortWithinPartitions(*order)
-    first = F.when(F.monotonically_increasing_id() == 0, F.concat(F.lit(header(df) + "\r\n"), F.col("line"))).otherwise(F.col("line"))
-    body.select(first.alias("value")).write.option("lineSep", "\r\n").text(path)
+    key = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]
+    body = lines(df, order, budget).select(F.lit(1).alias("_part"), *key, "line")
+    # the header is a row of its own before all others, so it is there without rows too
+    kinds = {f.name: f.dataType for f in body.schema.fields}
+    first = df.sparkSession.range(1).select(F.lit(0).alias("_part"), *(F.lit(None).cast(kinds[f"_k{i}"]).alias(f"_k{i}") for i in range(len(order))), F.lit(header(df)).alias("line"))
+    names = ["_part", *(f"_k{i}" for i in range(len(order)))]
+    body = first.unionByName(body).repartitionByRange(*names).sortWithinPartitions(*names)
+    body.select(F.col("line").alias("value")).write.option("lineSep", "\r\n").text(path)
