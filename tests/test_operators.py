@@ -147,3 +147,12 @@ def test_request_parameters():
     assert reads.request([], allowed, numeric) == ({"limit": 50, "offset": 0}, None)
     for parameters, code in (([("x", "1")], "unknown_parameter"), ([("q", "a"), ("q", "b")], "repeated_parameter"), ([("q", "abcdef")], "parameter_too_long"), ([("limit", "-1")], "not_a_number"), ([("limit", "²")], "not_a_number")):
         assert reads.request(parameters, allowed, numeric) == ({}, code)
+
+
+def test_tree_of_any_depth_loses_no_node(spark):
+    from tidemark.operators import reads
+
+    rows = [(0, None, 5)] + [(i, i - 1, i) for i in range(1, 12)] + [(20, 99, 1), (30, 31, 1), (31, 30, 2), (40, None, 1), (41, 40, 7)]
+    got = {r.id: (r.level, r.path) for r in reads.with_ancestors_order(spark.createDataFrame(rows, "id long, parent long, sort long"), "id", "parent", "sort").collect()}
+    assert len(got) == len(rows) and got[11] == (12, [5, *range(1, 12)]) and got[41] == (2, [1, 7])
+    assert got[20] == got[30] == got[31] == (None, None)

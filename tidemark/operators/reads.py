@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import new_folder, written
+
 #: Rows of a detail view, of a history at most and by default (fixed values).
 DETAIL, HISTORY_MOST, HISTORY = 200, 200, 50
 #: Page sizes and the largest offset of a request (fixed values).
@@ -61,18 +63,23 @@ def history(df: DataFrame, by: str, value, at: str, tie: str, limit: int | None
     return df.where(F.col(by) == F.lit(value)).orderBy(F.desc(at), F.desc(tie)).limit(most)
 
 
-def with_ancestors_order(tree: DataFrame, id_col: str, parent: str, order: str, depth: int) -> DataFrame:
+def with_ancestors_order(tree: DataFrame, id_col: str, parent: str, order: str) -> DataFrame:
     """tree with `path` (sibling orders from the root) and `level`; sorting by (path, id) puts a parent before its children.
 
-    One join a level; depth bounds the tree's height.
+    One join a level, until a level has no nodes; each is written before the next. Nodes that no root leads to (their
+    parent isn't there, or they are their own ancestors) have a null path and level, so nothing is lost unsaid.
     """
+    spark = tree.sparkSession
     nodes = tree.select(F.col(id_col).alias("_id"), F.col(parent).alias("_parent"), F.col(order).alias("_order"))
-    found = nodes.where("_parent IS NULL").select("_id", F.array("_order").alias("path"))
-    level = found
-    for _ in range(depth - 1):
-        level = nodes.join(level.select(F.col("_id").alias("_parent"), "path"), "_parent").select("_id", F.concat("path", F.array("_order")).alias("path"))
+    path = new_folder(spark, "levels")
+    level, n = written(nodes.where("_parent IS NULL").select("_id", F.array("_order").alias("path")), f"{path}/0"), 0
+    found = level
+    while level.limit(1).count():
+        n += 1
+        below = nodes.join(level.select(F.col("_id").alias("_parent"), "path"), "_parent")
+        level = written(below.select("_id", F.concat("path", F.array("_order")).alias("path")), f"{path}/{n}")
         found = found.unionByName(level)
-    return tree.join(found, tree[id_col] == found["_id"]).drop("_id").withColumn("level", F.size("path"))
+    return tree.join(found, tree[id_col] == found["_id"], "left").drop("_id").withColumn("level", F.when(F.col("path").isNotNull(), F.size("path")))
 
 
 def by_either_key(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], value: str) -> DataFrame:

@@ -49,7 +49,7 @@ def customer_history(spark, d):
 def category_tree(spark, d):
     r = _t(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent"), F.col("r_regionkey").cast("long").alias("sort"))
     n = _t(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.col("n_nationkey").cast("long").alias("sort"))
-    out = reads.with_ancestors_order(r.unionByName(n), "id", "parent", "sort", 3)
+    out = reads.with_ancestors_order(r.unionByName(n), "id", "parent", "sort")
     return out.select("id", "level", F.array_join(F.col("path").cast("array<string>"), ".").alias("path"))
 
 
