@@ -1,6 +1,6 @@
 """The search read model on the driver's tables: rebuilt as a whole, and repaired after damage; each query with its DuckDB SQL.
 
-A line item is a listing; a brand and a number are its exact identity; every fifth part is a product of the catalog.
+A line item is a listing (its price is part of its id, as two line items share a key); a brand and a number are its exact identity; every fifth part is a product of the catalog.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def _model(spark, d, active=ACTIVE):
     number = F.col("p_partkey") % 500
     category = F.when(F.col("p_size") % 10 == 0, "dac").when(F.col("p_size") % 10 < 3, "other").otherwise("rack")
     listings = offers(spark, d).join(p, F.col("entity_id") == F.col("p_partkey")).select(
-        "listing_id", "shop_key", F.lower("p_brand").alias("manufacturer_id"), F.when(F.col("price_yen") % 4 > 0, F.col("p_brand")).otherwise("").alias("manufacturer"),
+        F.concat_ws("-", "listing_id", F.col("price_yen").cast("string")).alias("listing_id"), "shop_key", F.lower("p_brand").alias("manufacturer_id"), F.when(F.col("price_yen") % 4 > 0, F.col("p_brand")).otherwise("").alias("manufacturer"),
         F.upper("p_brand").alias("raw_manufacturer"), F.concat(F.lit("AX-"), number.cast("string")).alias("model"), F.when(F.col("stock_status") == "unknown", "candidate").otherwise("resolved").alias("model_status"),
         F.col("p_name").alias("title"), F.col("p_type").alias("category"), F.lower("p_type").alias("raw_category"), category.alias("primary_category_id"), F.lit(None).cast("string").alias("search_aliases"),
         (F.col("price_yen") < active).alias("is_active"), "stock_status", "price_yen", "previous_price_yen", "first_seen_at", "source_published_at", "last_activity_at", "entity_id",
@@ -76,7 +76,7 @@ def read_model_drift(spark, d):
 def _sql(active: int) -> str:
     """CTEs l (listings), b (listing, entity), e (entities), as rebuild gives them below a price."""
     return f"""{_OFFERS}, l AS (
-    SELECT listing_id, shop_key, lower(p_brand) AS maker, CASE WHEN price_yen % 4 > 0 THEN p_brand ELSE '' END AS shown, p_brand, 'AX-' || (p_partkey % 500) AS model, 'AX' || (p_partkey % 500) AS normal,
+    SELECT listing_id || '-' || price_yen AS listing_id, shop_key, lower(p_brand) AS maker, CASE WHEN price_yen % 4 > 0 THEN p_brand ELSE '' END AS shown, p_brand, 'AX-' || (p_partkey % 500) AS model, 'AX' || (p_partkey % 500) AS normal,
       stock_status <> 'unknown' AS resolved, p_name, p_type, CASE WHEN p_size % 10 = 0 THEN 'dac' WHEN p_size % 10 < 3 THEN 'other' ELSE 'rack' END AS category, price_yen, previous_price_yen, stock_status, seen_at,
       p_partkey, p_partkey % 5 = 0 AND p_size > 10 AND price_yen % 3 > 0 AS matched
     FROM offers JOIN part ON entity_id = p_partkey WHERE price_yen < {active}
