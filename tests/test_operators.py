@@ -132,6 +132,16 @@ def test_similar_asks_for_all_and_meets_few(spark, sf):
     assert any(not r.b.endswith("0") for r in QUERIES["similar_customers"](spark, sf).collect())
 
 
+def test_similar_broadcasts_nothing_that_was_exploded(spark):
+    rows = [("g", "prelude-1", i) for i in range(4)] + [("g", "prelude-2", 9), ("h", "prelude-3", 5), (None, "prelude-1", 6)]
+    a = spark.createDataFrame(rows, "g string, a string, x int")
+    b = a.select("g", F.col("a").alias("b"), F.col("x").alias("y"))
+    out = resolution.similar(a, b, "g", "a", "b")
+    assert sorted((r.a, r.x, r.b, r.y) for r in out.collect()) == [("prelude-1", i, "prelude-2", 9) for i in range(4)] + [("prelude-2", 9, "prelude-1", i) for i in range(4)]
+    plan = resolution.similar(a.drop("x"), b.drop("y"), "g", "a", "b")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_whole_tables_are_asked(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert events.where("ts >= '2024-02-01'").count() == 0  # the fold's batch reaches to the end

@@ -19,16 +19,24 @@ def similar(left: DataFrame, right: DataFrame, group: str, a: str, b: str, most:
 
     They meet by equality of what is left without one character, or of that and the whole other text: texts within one edit
     share such a rest, and names that differ in a number only don't all share one, as they would share a half.
+
+    Each row becomes as many as its text has characters, which Spark doesn't foresee: neither side may be broadcast by the size
+    of its table. A text that many rows have is exploded once; its rows are found by the whole text afterwards.
     """
     def rests(df: DataFrame, c: str) -> DataFrame:
         without = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(F.col(c), F.lit(1), i - 1), F.substr(F.col(c), i + 1)))
         keys = F.transform(F.array_append(without, F.col(c)), lambda x: F.xxhash64(x))
-        return df.where(F.length(c) >= least_length).withColumn("_key", F.explode(F.array_distinct(keys)))
+        texts = df.where(F.length(c) >= least_length).select(group, c).distinct()
+        return texts.withColumn("_key", F.explode(F.array_distinct(keys)))
 
     if most != 1:
         raise ValueError("one edit is the threshold that one character less suffices for")
-    pairs = rests(left, a).join(rests(right, b), [group, "_key"]).drop("_key").distinct()
-    return pairs.where((F.col(a) != F.col(b)) & (F.levenshtein(a, b, most) >= 0))
+    pairs = rests(left, a).join(rests(right, b).hint("merge"), [group, "_key"]).drop("_key")
+    pairs = pairs.where((F.col(a) != F.col(b)) & (F.levenshtein(a, b, most) >= 0)).distinct()
+    for df, c in ((left, a), (right, b)):
+        if set(df.columns) != {group, c}:
+            pairs = pairs.join(df.distinct(), [group, c])
+    return pairs
 
 
 def resolve(listings: DataFrame, catalog: DataFrame) -> DataFrame:
