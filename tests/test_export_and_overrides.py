@@ -32,6 +32,24 @@ def test_broken_off_export_goes_on_as_it_began(spark):
     assert text(out).count("csv_fields_truncated") == 1 and text(export.export(rows.limit(0), path, "id", 10, 3)) == text(out)
 
 
+def test_parts_are_written_in_few_jobs(spark):
+    rows = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    path = new_folder(spark, "job")
+    first = export.export(rows, path, "id", 2, 1, most_parts=3)
+    assert sorted(r.chunk for r in first.collect()) == [0, 1, 2]
+    # what a job left that broke off is neither read nor taken for written; a row between two keys of a chunk is exported with it
+    spark.createDataFrame([(7,)], "chunk long").coalesce(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/chunks/7-7")
+    spark.sparkContext.setJobGroup("export", "export")
+    out = export.export(rows.unionByName(spark.createDataFrame([(19, "new", None)], SCHEMA)), path, "id", 2, 1)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("export")
+    spark.sparkContext._jsc.clearJobGroup()
+    assert len(jobs) < 48 * 2 and export.complete(path, spark)  # 48 parts
+    assert sorted(r.chunk for r in out.collect()) == list(range(48))
+    whole = export.export(rows, new_folder(spark, "job"), "id", 2, 1)
+    assert text(out).replace('"19","new","",""\r\n', "") == text(whole) != text(out)
+    assert export._jobs([0, 1, 2, 4, 5, 9], 1) == [(0, 0), (1, 1), (2, 2), (4, 4), (5, 5), (9, 9)] and export._jobs([*range(20)], 64) == [(0, 2), (3, 5), (6, 8), (9, 11), (12, 14), (15, 17), (18, 19)]
+
+
 def test_empty_export_has_its_header(spark):
     none = spark.createDataFrame([], SCHEMA)
     path = new_folder(spark, "job")

@@ -39,6 +39,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(folder)
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below path whose writing was finished."""
+    folder, store = _folder(spark, path)
+    if not store.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(folder) if f.isDirectory()]
+    return sorted(n for n in names if exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         folder, store = _folder(spark, path)
