@@ -137,3 +137,27 @@ def test_drift_names_each_problem(spark, built):
     found = counted(replace(m, offers=gone))
     assert found["entities_without_offers"] == found["offer_count_mismatches"] == 1 and found["unmembered_active_listings"] == m.offers.count() - gone.count()
     assert counted(replace(m, entities=m.entities.where(F.col("entity_key") != lead))) == {"offers_without_entity": m.offers.count() - gone.count()}
+
+
+def test_rebuild_meets_identities_once(spark, built, monkeypatch):
+    rows, hits, _ = built
+    plans, keep = [], projection.written
+
+    def watched(df, path):
+        plans.append((path.rsplit("/", 1)[-1], df._jdf.queryExecution().optimizedPlan().toString()))
+        return keep(df, path)
+
+    monkeypatch.setattr(projection, "written", watched)
+    m = projection.rebuild(tables(spark, rows, hits), new_folder(spark, "t"))
+    by_listing = {name: [x for x in plan.splitlines() if " Join " in f" {x} " and "(listing_id" in x] for name, plan in plans}
+    assert sum(map(len, by_listing.values())) == len(by_listing["rows"]) == 1
+    # entities are the same as those that join everything by listing
+    again = projection.describe(m, m.offers)
+    assert sorted(map(str, again.select(*m.entities.columns).collect())) == sorted(map(str, m.entities.collect()))
+
+
+def test_drift_finds_rows_with_two_problems(spark, built):
+    _, _, m = built
+    offers = m.offers.unionByName(spark.createDataFrame([(99, "l-99", "s"), (98, None, "s")], m.offers.schema))
+    found = sorted((r.problem, r.listing_id, r.entity_key) for r in projection.drift(replace(m, offers=offers)).where("listing_id > 90").na.fill("none").collect())
+    assert found == [(p, i, k) for p in ("inactive_offer_memberships", "offers_without_entity") for i, k in ((98, "none"), (99, "l-99"))]

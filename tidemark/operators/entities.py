@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def aggregate(offers: DataFrame) -> DataFrame:
-    """One row an entity: counts, shops, prices, activity. One shuffle, summed before it."""
+def aggregate(offers: DataFrame, *more: Column) -> DataFrame:
+    """One row an entity: counts, shops, prices, activity, and more aggregates. Summed before it is shuffled."""
     price, stock = F.col("price_yen"), F.col("stock_status")
     return offers.groupBy("entity_id").agg(
         F.count("*").alias("offer_count"),
@@ -20,6 +20,7 @@ def aggregate(offers: DataFrame) -> DataFrame:
         F.max("last_activity_at").alias("latest_activity_at"),
         F.max(F.coalesce("source_published_at", "first_seen_at")).alias("newest_listed_at"),
         F.coalesce(F.bool_or(price < F.col("previous_price_yen")), F.lit(False)).cast("int").alias("has_price_drop"),
+        *more,
     )
 
 
@@ -32,22 +33,29 @@ def exact_groups(listings: DataFrame) -> DataFrame:
     return groups.where("_c <= 1").drop("_c")
 
 
-def build(listings: DataFrame, identities: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(listing_id, entity_key): each active listing in exactly one entity.
-
-    c-<product> if its identity is matched to a verified product; else l-<id> of its exact group's leader; else l-<its id>.
-    """
-    active = listings.where("is_active")
+def matched(identities: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(listing_id, catalog_product_id) of identities matched to verified products."""
     verified = catalog.where("verification_status = 'verified'").select("catalog_product_id")
-    matched = identities.where("status = 'matched'").select("listing_id", "catalog_product_id").join(verified, "catalog_product_id", "left_semi")
-    rows = active.join(matched, "listing_id", "left")
-    rest = rows.where("catalog_product_id IS NULL")
-    rows = rows.join(exact_groups(rest).withColumnRenamed("entity_id", "_leader"), ["manufacturer", "model"], "left")
+    return identities.where("status = 'matched'").select("listing_id", "catalog_product_id").join(verified, "catalog_product_id", "left_semi")
+
+
+def keyed(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows (listing_id, manufacturer, model, model_status, catalog_product_id) with entity_key, and alone: whether no other listing can be in it."""
+    rows = rows.join(groups.withColumnRenamed("entity_id", "_leader"), ["manufacturer", "model"], "left")
     led = F.when(F.col("model_status") == "resolved", F.col("_leader"))
     key = F.when(F.col("catalog_product_id").isNotNull(), F.concat(F.lit("c-"), F.col("catalog_product_id").cast("string"))).otherwise(
         F.concat(F.lit("l-"), F.coalesce(led, F.col("listing_id")).cast("string"))
     )
-    return rows.select("listing_id", key.alias("entity_key"))
+    return rows.withColumns({"entity_key": key, "alone": F.col("catalog_product_id").isNull() & led.isNull()}).drop("_leader")
+
+
+def build(listings: DataFrame, identities: DataFrame, catalog: DataFrame, *kept: str) -> DataFrame:
+    """(listing_id, kept columns, entity_key): each active listing in exactly one entity.
+
+    c-<product> if its identity is matched to a verified product; else l-<id> of its exact group's leader; else l-<its id>.
+    """
+    rows = listings.where("is_active").join(matched(identities, catalog), "listing_id", "left")
+    return keyed(rows, exact_groups(rows.where("catalog_product_id IS NULL"))).select("listing_id", *kept, "entity_key")
 
 
 def first_terms(offers: DataFrame, text: str, n: int = 3) -> DataFrame:

@@ -18,6 +18,11 @@ from tidemark.sources.shared import new_folder, remove, written
 
 #: Listings whose texts an entity's search terms take.
 SAMPLE = 3
+#: What a projection says of a listing, and what entities take of a listing besides: as it is, and behind an underscore.
+PROJECTED = ["listing_id", "manufacturer_id", "source_model", "normalized_model", "manufacturer_terms", "model_terms", "title", "category_terms"]
+KEPT = ["stock_status", "price_yen", "previous_price_yen", "first_seen_at", "source_published_at", "last_activity_at"]
+OWN = ["manufacturer_id", "manufacturer", "model", "primary_category_id", "title", "category"]
+SAID = [c for c in PROJECTED if c not in ("listing_id", "source_model")]
 
 
 @dataclass(frozen=True)
@@ -45,8 +50,8 @@ def _terms(*parts: Column) -> Column:
     return F.array_join(F.array_distinct(F.filter(F.transform(flat, lambda x: F.trim(x)), lambda x: x != "")), " ")
 
 
-def project(listings: DataFrame, makers: DataFrame) -> DataFrame:
-    """(listing_id, manufacturer_id, source_model, normalized_model, manufacturer_terms, model_terms, title, category_terms)."""
+def project(listings: DataFrame, makers: DataFrame, *more: Column) -> DataFrame:
+    """(listing_id, manufacturer_id, source_model, normalized_model, manufacturer_terms, model_terms, title, category_terms), and more of each listing."""
     c = lambda name: F.coalesce(nfkc(F.col(name).cast("string")), F.lit(""))
     known = makers.groupBy("manufacturer_id").agg(F.array_sort(F.collect_set("alias")).alias("_names"))
     rows = listings.join(known, "manufacturer_id", "left")
@@ -56,7 +61,7 @@ def project(listings: DataFrame, makers: DataFrame) -> DataFrame:
         "listing_id", F.coalesce("manufacturer_id", F.lit("")).alias("manufacturer_id"), F.coalesce("model", F.lit("")).alias("source_model"),
         identity_model(c("model")).alias("normalized_model"), _terms(one("manufacturer_id", "manufacturer", "raw_manufacturer"), F.coalesce("_names", none)).alias("manufacturer_terms"),
         _terms(one("model"), F.coalesce(model_spellings("model"), none)).alias("model_terms"), F.trim(c("title")).alias("title"),
-        _terms(one("category", "raw_category", "search_aliases")).alias("category_terms"),
+        _terms(one("category", "raw_category", "search_aliases")).alias("category_terms"), *more,
     )
 
 
@@ -68,32 +73,49 @@ def _named(listings: DataFrame) -> DataFrame:
 
 def membership(m: Model, listings: DataFrame) -> DataFrame:
     """(listing_id, entity_key, shop_key) of the active ones; listings hold whole groups of one exact identity."""
-    named = _named(listings)
-    return entities.build(named, m.identities, m.catalog).join(named.select("listing_id", "shop_key"), "listing_id").select("listing_id", "entity_key", "shop_key")
+    return entities.build(_named(listings), m.identities, m.catalog, "shop_key").select("listing_id", "entity_key", "shop_key")
 
 
-def describe(m: Model, offers: DataFrame) -> DataFrame:
-    """Entities of offers (all of an entity's or none): what they are, what their offers sum up to, and their search terms."""
+def _given(name: str, otherwise) -> Column:
+    return F.coalesce(F.nullif(F.col(name), F.lit("")), otherwise, F.lit(""))
+
+
+def _texts() -> tuple[Column, Column]:
+    """What search finds a listing by: title, category."""
+    title = F.trim(F.concat_ws(" ", _given("_p_title", F.col("_title")), F.coalesce("_p_manufacturer_terms", F.lit("")), F.coalesce("_p_model_terms", F.lit(""))))
+    return title, _given("_p_category_terms", F.col("_category"))
+
+
+def _fallback() -> list[Column]:
+    """What an entity is that a listing leads."""
+    c = F.col
+    return [
+        F.lit("unresolved_listing").alias("entity_kind"), _given("_p_manufacturer_id", c("_manufacturer_id")).alias("manufacturer_id"), F.coalesce("_manufacturer", F.lit("")).alias("_own"),
+        F.coalesce("_model", F.lit("")).alias("model"), F.coalesce("_p_normalized_model", F.lit("")).alias("normalized_model"), c("_primary_category_id").alias("primary_category_id"),
+        _given("_p_manufacturer_terms", c("_manufacturer")).alias("manufacturer_terms"), _given("_p_model_terms", c("_model")).alias("model_terms"),
+    ]
+
+
+def _display() -> Column:
+    return F.nullif(F.col("_manufacturer"), F.lit(""))
+
+
+def _finished(out: DataFrame) -> DataFrame:
+    return out.withColumn("manufacturer", F.coalesce("_display", "_own")).drop("_own", "_display").withColumnRenamed("entity_id", "entity_key")
+
+
+def _grouped(m: Model, rows: DataFrame) -> DataFrame:
+    """Entities of rows: entity_id, listing_id, shop_key, KEPT, _OWN, _p_SAID; the texts that go from task to task are those of each entity's first listings."""
     c = F.col
-    kept = ["listing_id", "stock_status", "price_yen", "previous_price_yen", "first_seen_at", "source_published_at", "last_activity_at"]
-    own = m.listings.select(*kept, *(c(n).alias(f"_{n}") for n in ("manufacturer_id", "manufacturer", "model", "primary_category_id", "title", "category")))
-    said = m.projection.select("listing_id", *(c(n).alias(f"_p_{n}") for n in ("manufacturer_id", "normalized_model", "manufacturer_terms", "model_terms", "title", "category_terms")))
-    rows = offers.join(own, "listing_id").join(said, "listing_id", "left").withColumnRenamed("entity_key", "entity_id")
-    summed = entities.aggregate(rows)
-    given = lambda name, otherwise: F.coalesce(F.nullif(c(name), F.lit("")), otherwise, F.lit(""))
-    title = F.trim(F.concat_ws(" ", given("_p_title", c("_title")), F.coalesce("_p_manufacturer_terms", F.lit("")), F.coalesce("_p_model_terms", F.lit(""))))
-    texts = F.struct("listing_id", title.alias("title"), given("_p_category_terms", c("_category")).alias("category"))
+    summed = entities.aggregate(rows, F.min(_display()).alias("_display"))
+    title, category = _texts()
     # the first few of each entity: cut where the rows are, then where they meet
-    first = rows.select("entity_id", "listing_id", texts.alias("x")).withColumn("n", F.row_number().over(Window.partitionBy("entity_id").orderBy("listing_id")))
+    first = rows.select("entity_id", "listing_id", F.struct("listing_id", title.alias("title"), category.alias("category")).alias("x"))
+    first = first.withColumn("n", F.row_number().over(Window.partitionBy("entity_id").orderBy("listing_id")))
     first = first.where(c("n") <= SAMPLE).groupBy("entity_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     said_by = lambda field: F.trim(F.array_join(F.transform("x", lambda x: x[field]), " "))
     first = first.select("entity_id", said_by("title").alias("title_terms"), said_by("category").alias("category_terms"))
-    display = rows.groupBy("entity_id").agg(F.min(F.nullif(c("_manufacturer"), F.lit(""))).alias("_display"))
-    leaders = rows.where(c("entity_id") == F.concat(F.lit("l-"), c("listing_id").cast("string"))).select(
-        "entity_id", F.lit("unresolved_listing").alias("entity_kind"), given("_p_manufacturer_id", c("_manufacturer_id")).alias("manufacturer_id"), F.coalesce("_manufacturer", F.lit("")).alias("_own"),
-        F.coalesce("_model", F.lit("")).alias("model"), F.coalesce("_p_normalized_model", F.lit("")).alias("normalized_model"), c("_primary_category_id").alias("primary_category_id"),
-        given("_p_manufacturer_terms", c("_manufacturer")).alias("manufacturer_terms"), given("_p_model_terms", c("_model")).alias("model_terms"),
-    )
+    leaders = rows.where(c("entity_id") == F.concat(F.lit("l-"), c("listing_id").cast("string"))).select("entity_id", *_fallback())
     first_category = m.categories.groupBy("catalog_product_id").agg(F.min_by("category_id", F.struct(~F.coalesce(c("is_primary"), F.lit(False)), "category_id")).alias("_c"))
     names = m.aliases.groupBy("catalog_product_id").agg(F.array_sort(F.collect_set("alias")).alias("_a"))
     made = m.catalog.join(first_category, "catalog_product_id", "left").join(names, "catalog_product_id", "left")
@@ -103,16 +125,48 @@ def describe(m: Model, offers: DataFrame) -> DataFrame:
         c("canonical_model").alias("model"), normal.alias("normalized_model"), F.coalesce("_c", F.lit("unclassified")).alias("primary_category_id"),
         F.trim("manufacturer_id").alias("manufacturer_terms"), F.trim(F.concat_ws(" ", "canonical_model", normal, F.array_join("_a", " "))).alias("model_terms"),
     )
-    what = leaders.unionByName(made.join(summed.select("entity_id"), "entity_id", "left_semi"))
-    out = summed.join(what, "entity_id").join(display, "entity_id").join(first, "entity_id")
-    return out.withColumn("manufacturer", F.coalesce("_display", "_own")).drop("_own", "_display").withColumnRenamed("entity_id", "entity_key")
+    return _finished(summed.join(leaders.unionByName(made), "entity_id").join(first, "entity_id"))
+
+
+def _alone(rows: DataFrame) -> DataFrame:
+    """Entities of rows, as _grouped gives them, where each row is an entity of its own: nothing is shuffled."""
+    c, price, stock = F.col, F.col("price_yen"), F.col("stock_status")
+    title, category = _texts()
+    many = lambda x: F.coalesce(x, F.lit(False)).cast("long")
+    return _finished(rows.select(
+        "entity_id", F.lit(1).cast("long").alias("offer_count"), many(stock == "in_stock").alias("in_stock_offer_count"), many(stock == "sold_out").alias("sold_out_offer_count"),
+        many(c("shop_key").isNotNull()).alias("shop_count"), price.alias("lowest_price_yen"), F.when(stock == "in_stock", price).alias("lowest_in_stock_price_yen"), price.alias("highest_price_yen"),
+        c("last_activity_at").alias("latest_activity_at"), F.coalesce("source_published_at", "first_seen_at").alias("newest_listed_at"), many(price < c("previous_price_yen")).cast("int").alias("has_price_drop"),
+        title.alias("title_terms"), F.trim(category).alias("category_terms"), _display().alias("_display"), *_fallback(),
+    ))
+
+
+def describe(m: Model, offers: DataFrame) -> DataFrame:
+    """Entities of offers (all of an entity's or none): what they are, what their offers sum up to, and their search terms."""
+    own = m.listings.select("listing_id", *KEPT, *(F.col(n).alias(f"_{n}") for n in OWN))
+    said = m.projection.select("listing_id", *(F.col(n).alias(f"_p_{n}") for n in SAID))
+    return _grouped(m, offers.join(own, "listing_id").join(said, "listing_id", "left").withColumnRenamed("entity_key", "entity_id"))
 
 
 def rebuild(m: Model, path: str) -> Model:
-    """Projection, offers and entities from listings, identities and catalog alone, each written below path before the next."""
-    m = replace(m, projection=written(project(m.listings, m.makers), f"{path}/projection"))
-    m = replace(m, offers=written(membership(m, m.listings), f"{path}/offers"))
-    return replace(m, entities=written(describe(m, m.offers), f"{path}/entities"))
+    """Projection, offers and entities from listings, identities and catalog alone, each written below path before the next.
+
+    What a listing says is taken along from the projection on, so listings meet their identities once and nothing by listing after that;
+    a listing that is an entity of its own meets no other.
+    """
+    more = [*(F.col(n) for n in ("shop_key", "model_status", "is_active", *KEPT)), *(F.col(n).alias(f"_{n}") for n in OWN)]
+    instead = {"manufacturer_id": "_manufacturer_id", "title": "_title", "category_terms": "_category"}  # where the projection says nothing
+    base = written(project(m.listings, m.makers, *more), f"{path}/projection")
+    m = replace(m, projection=base.select(*PROJECTED))
+    active = base.where("is_active").withColumns({f"_p_{a}": _given(a, F.col(b)) for a, b in instead.items()}).drop("is_active", "source_model", "title", "category_terms", *instead.values())
+    rows = written(active.join(entities.matched(m.identities, m.catalog), "listing_id", "left"), f"{path}/rows")
+    named = rows.select("*", F.col("manufacturer_id").alias("manufacturer"), F.col("normalized_model").alias("model"), F.col("_primary_category_id").alias("category"))
+    groups = written(entities.exact_groups(named.where("catalog_product_id IS NULL")), f"{path}/groups")
+    found = entities.keyed(named.drop("category"), groups)
+    m = replace(m, offers=written(found.select("listing_id", "entity_key", "shop_key"), f"{path}/offers"))
+    found = found.drop("manufacturer", "model", "manufacturer_id").withColumnsRenamed({"entity_key": "entity_id", **{n: f"_p_{n}" for n in SAID if n not in instead}})
+    found = found.withColumns({b: F.lit(None).cast("string") for b in instead.values()})
+    return replace(m, entities=written(_grouped(m, found.where("NOT alone")).unionByName(_alone(found.where("alone"))), f"{path}/entities"))
 
 
 def peers(m: Model, seeds: DataFrame) -> DataFrame:
@@ -146,24 +200,34 @@ def sync(m: Model, seeds: DataFrame, path: str) -> Model:
 
 def drift(m: Model) -> DataFrame:
     """(problem, listing_id, entity_key): everything about the read model that doesn't follow from the tables below it."""
-    none = F.lit(None).cast("string")
-    active = m.listings.where("is_active").select("listing_id")
-    verified = m.catalog.where("verification_status = 'verified'").select("catalog_product_id")
-    matched = m.identities.where("status = 'matched'").join(verified, "catalog_product_id", "left_semi").select("listing_id")
+    active = m.listings.where("is_active").select("listing_id", F.lit(True).alias("_active"))
+    matched = entities.matched(m.identities, m.catalog)
     of = lambda df, problem: df.select(F.lit(problem).alias("problem"), "listing_id", "entity_key")
-    counts = m.offers.join(active, "listing_id", "left_semi").groupBy("entity_key").agg(F.count("*").alias("_n"))
-    wrong = m.entities.join(counts, "entity_key", "left").where(F.coalesce("_n", F.lit(0)) != F.col("offer_count"))
+    nothing = F.lit(None).cast(m.listings.schema["listing_id"].dataType)
+    # listings meet offers once and offers meet entities once; a row may have several problems
+    met = m.offers.select("listing_id", "entity_key", F.lit(True).alias("_offer")).join(active, "listing_id", "full_outer")
+    known = m.entities.select("entity_key", F.lit(True).alias("_entity"))
+    alive, offer = F.coalesce("_active", F.lit(False)), F.coalesce("_offer", F.lit(False))
+    # rows without an entity are dealt by their listings
+    at = F.coalesce("entity_key", F.concat(F.lit("\0"), F.col("listing_id").cast("string")))
+    found = met.withColumn("_at", at).join(known.select(F.col("entity_key").alias("_at"), "_entity"), "_at", "left").select(
+        "listing_id", "entity_key", F.explode(F.array_compact(F.array(
+            F.when(~offer, "unmembered_active_listings"), F.when(offer & ~alive, "inactive_offer_memberships"), F.when(offer & F.col("_entity").isNull(), "offers_without_entity"),
+        ))).alias("problem"),
+    ).select("problem", "listing_id", "entity_key")
+    # counts of an entity are summed before they are shuffled
+    counts = met.where("_offer").groupBy("entity_key").agg(F.count_if(alive).alias("_n"))
+    checked = m.entities.join(counts, "entity_key", "left").select(
+        nothing.alias("listing_id"), "entity_key", F.explode(F.array_compact(F.array(
+            F.when(F.col("_n").isNull(), "entities_without_offers"), F.when(F.coalesce("_n", F.lit(0)) != F.col("offer_count"), "offer_count_mismatches"),
+        ))).alias("problem"),
+    ).select("problem", "listing_id", "entity_key")
     catalog = m.entities.where("entity_kind = 'catalog'")
-    ids = verified.select(F.concat(F.lit("c-"), F.col("catalog_product_id").cast("string")).alias("entity_key"))
+    ids = m.catalog.where("verification_status = 'verified'").select(F.concat(F.lit("c-"), F.col("catalog_product_id").cast("string")).alias("entity_key"))
     alone = matched.select(F.concat(F.lit("l-"), F.col("listing_id").cast("string")).alias("entity_key"))
-    nothing = F.lit(None).cast(m.listings.schema["listing_id"].dataType)
-    out = of(active.join(m.offers, "listing_id", "left_anti").withColumn("entity_key", none), "unmembered_active_listings")
-    out = out.unionByName(of(m.offers.join(active, "listing_id", "left_anti"), "inactive_offer_memberships"))
-    out = out.unionByName(of(m.entities.join(m.offers, "entity_key", "left_anti").withColumn("listing_id", nothing), "entities_without_offers"))
-    out = out.unionByName(of(m.offers.join(m.entities, "entity_key", "left_anti"), "offers_without_entity"))
+    out = found.unionByName(checked)
     out = out.unionByName(of(m.entities.where("entity_kind = 'unresolved_listing'").join(alone, "entity_key", "left_semi").withColumn("listing_id", nothing), "stale_fallback_entities"))
-    out = out.unionByName(of(catalog.join(ids, "entity_key", "left_anti").withColumn("listing_id", nothing), "ineligible_catalog_entities"))
-    return out.unionByName(of(wrong.withColumn("listing_id", nothing), "offer_count_mismatches"))
+    return out.unionByName(of(catalog.join(ids, "entity_key", "left_anti").withColumn("listing_id", nothing), "ineligible_catalog_entities"))
 
 
 def gaps(m: Model) -> DataFrame:

@@ -25,7 +25,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, path: str) -> DataFrame:
     """df written to path as Parquet and read back: lineage ends there."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
