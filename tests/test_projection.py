@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.identity import MOST, parts, spellings
 from tidemark.operators import projection
-from tidemark.sources.shared import new_folder
+from tidemark.sources.shared import finished, new_folder
 
 LISTING = (
     "listing_id long, shop_key string, manufacturer_id string, manufacturer string, raw_manufacturer string, model string, model_status string, title string, category string, raw_category string, "
@@ -161,3 +161,10 @@ def test_drift_finds_rows_with_two_problems(spark, built):
     offers = m.offers.unionByName(spark.createDataFrame([(99, "l-99", "s"), (98, None, "s")], m.offers.schema))
     found = sorted((r.problem, r.listing_id, r.entity_key) for r in projection.drift(replace(m, offers=offers)).where("listing_id > 90").na.fill("none").collect())
     assert found == [(p, i, k) for p in ("inactive_offer_memberships", "offers_without_entity") for i, k in ((98, "none"), (99, "l-99"))]
+
+
+def test_rebuild_leaves_its_tables_only(spark, built):
+    rows, hits, _ = built
+    path = new_folder(spark, "t")
+    projection.rebuild(tables(spark, rows, hits), path)
+    assert finished(spark, path) == ["entities", "offers", "projection"]

@@ -166,7 +166,9 @@ def rebuild(m: Model, path: str) -> Model:
     m = replace(m, offers=written(found.select("listing_id", "entity_key", "shop_key"), f"{path}/offers"))
     found = found.drop("manufacturer", "model", "manufacturer_id").withColumnsRenamed({"entity_key": "entity_id", **{n: f"_p_{n}" for n in SAID if n not in instead}})
     found = found.withColumns({b: F.lit(None).cast("string") for b in instead.values()})
-    return replace(m, entities=written(_grouped(m, found.where("NOT alone")).unionByName(_alone(found.where("alone"))), f"{path}/entities"))
+    m = replace(m, entities=written(_grouped(m, found.where("NOT alone")).unionByName(_alone(found.where("alone"))), f"{path}/entities"))
+    remove(m.listings.sparkSession, f"{path}/rows", f"{path}/groups")
+    return m
 
 
 def peers(m: Model, seeds: DataFrame) -> DataFrame:
