@@ -165,6 +165,22 @@ def test_html_template_without_telling_names(spark):
     assert html_extract.extract(rows[0][2], html_extract.Wrapper(["", 0, 0, []])) != out[0]
 
 
+def test_html_wrapper_knows_all_kinds_at_any_depth(spark):
+    """A notice that takes turns is template behind 300 kinds of siblings and below 300 levels; a text of a place that all have isn't, at that share."""
+    letters = "abcdefghijklmnopqr"
+    kinds = [f"k{a}{b}" for a in letters for b in letters][:300]
+    wide = lambda i: "".join(f"<div class={k}>{'Buy now' if k == kinds[-1] and i % 6 == 0 else f'{k} of {i}'}</div>" for k in kinds)
+    deep = lambda i, n: "<div>" * n + f"<p>{'Same' if i % 6 == 0 else f'Own {i}'}</p>" + (f"<section>Buy {i % 4}</section>" if i % 3 else "") + "</div>" * n
+    rows = [(i, f"http://wide.x/{i}", "<body>" + wide(i)) for i in range(40)]
+    rows += [(100 * k + i, f"http://deep{n}.x/{i}", "<body>" + deep(i, n)) for k, n in ((1, 20), (2, 300)) for i in range(40)]
+    out = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[6] == "\n".join(f"{k} of 6" for k in kinds[:-1]) and out[7] == "\n".join(f"{k} of 7" for k in kinds)
+    assert all(out[100 * k + i] == ("Same" if i % 6 == 0 else f"Own {i}") for k in (1, 2) for i in range(40))
+    a, b = (html_extract.page_wrapper("<div>" * 20000 + x) for x in ("<p>x", "<p>x</p><ul>"))
+    both = html_extract.dump(html_extract.merge(a, b))
+    assert html_extract.dump(html_extract.load(both)) == both and both.endswith('"div",0,0,2,"p",0,0,1,"#",0,0,0,"ul",1,0,0]')
+
+
 def test_html_drops_nothing_else():
     read = lambda page: html_extract.extract(page, html_extract.Wrapper(["", 0, 0, []]))
     assert read(f"<div class='{'u-pad ' * 20}sidebar'>no</div><p>yes") == "yes"

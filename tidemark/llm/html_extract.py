@@ -12,7 +12,7 @@ import html as _html
 import json
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, materialize
 
-#: Wrappers merged by one task at a time; children beyond which a node's content is one repeated group of any order.
+#: Wrappers merged by one task at a time; children beyond which a node's content is one repeated group of any kinds in any order.
 MERGED, CHILDREN = 256, 64
-#: Depth from which on a wrapper takes elements as part of the one that holds them; texts are read at any depth.
-DEPTH = 200
 #: A text is template from this many different pages of a host on, if it stands on one in OFTEN of those that have its place,
 #: or on one in SELDOM where the wrapper calls the place optional: notices and adverts take turns there.
 PAGES, OFTEN, SELDOM = 3, 2, 10
@@ -120,21 +118,39 @@ def stream(page: str) -> Iterator[tuple[str, str]]:
         yield "close", stack.pop()
 
 
-# A node of a wrapper is [signature, optional, repeated, children]; '#' is a text slot, '()' a group.
+# A node of a wrapper is [signature, optional, repeated, children]; '#' is a text slot, '()' a group, '*' a repeated group of any
+# kinds in any order: whatever is in it is optional, at any depth, and so is all that stands beside it, as some page has it without.
 
 
-def _groups(children: list) -> list:
+def _deep(call: Generator):
+    """The result of a generator that yields the calls it depends on: pages may be nested deeper than Python's stack."""
+    calls, value = [call], None
+    while calls:
+        try:
+            calls.append(calls[-1].send(value))
+            value = None
+        except StopIteration as done:
+            calls.pop()
+            value = done.value
+    return value
+
+
+def _groups(children: list) -> Generator:
     """Like runs become repeated groups: first of one node, then of two and of three."""
     for size in (1, 2, 3):
         out: list = []
         for c in children:
             out.append(c)
             if size > 1 and len(out) > size and out[-size - 1][0] == "()" and [x[0] for x in out[-size - 1][3]] == [x[0] for x in out[-size:]]:
-                g = out[-size - 1]
-                g[3] = [merge(x, y) for x, y in zip(g[3], out[-size:])]
+                g, both = out[-size - 1], []
+                for x, y in zip(g[3], out[-size:]):
+                    both.append((yield _merge(x, y)) if x[3] or y[3] else [x[0], x[1] | y[1], x[2] | y[2], []])
+                g[3] = both
                 del out[-size:]
             elif len(out) >= 2 * size and [x[0] for x in out[-size:]] == [x[0] for x in out[-2 * size : -size]] and "()" not in [x[0] for x in out[-2 * size :]]:
-                both = [merge(x, y) for x, y in zip(out[-2 * size : -size], out[-size:])]
+                both = []
+                for x, y in zip(out[-2 * size : -size], out[-size:]):
+                    both.append((yield _merge(x, y)) if x[3] or y[3] else [x[0], x[1] | y[1], x[2] | y[2], []])
                 del out[-2 * size :]
                 if size == 1:
                     both[0][2] = 1
@@ -142,16 +158,10 @@ def _groups(children: list) -> list:
                 else:
                     out.append(["()", 0, 1, both])
         children = out
-    if len(children) > CHILDREN:
-        kinds: dict[str, list] = {}
-        for c in [x for y in children for x in (y[3] if y[0] == "()" else [y])]:
-            kinds[c[0]] = merge(kinds[c[0]], c) if c[0] in kinds else c
-        children = [["()", 1, 1, list(kinds.values())[: 4 * CHILDREN]]] if len(kinds) > 1 else list(kinds.values())
-    return children
+    return [["*", 1, 1, []]] if len(children) > CHILDREN or any(c[0] == "*" for c in children) else children
 
 
-def merge(a: list, b: list) -> list:
-    """Two nodes of one signature as one: children are aligned in order, what only one side has is optional."""
+def _merge(a: list, b: list) -> Generator:
     x, y = a[3], b[3]
     n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -161,7 +171,7 @@ def merge(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and _same(x[i], y[j]) and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(merge(x[i], y[j]))
+            out.append((yield _merge(x[i], y[j])) if x[i][3] or y[j][3] else [x[i][0], x[i][1] | y[j][1], x[i][2] | y[j][2], []])
             i, j = i + 1, j + 1
         elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
             out.append([x[i][0], 1, x[i][2], x[i][3]])
@@ -169,7 +179,12 @@ def merge(a: list, b: list) -> list:
         else:
             out.append([y[j][0], 1, y[j][2], y[j][3]])
             j += 1
-    return [a[0], a[1] | b[1], a[2] | b[2], _groups(out)]
+    return [a[0], a[1] | b[1], a[2] | b[2], (yield _groups(out)) if len(out) > 1 else out]
+
+
+def merge(a: list, b: list) -> list:
+    """Two nodes of one signature as one: children are aligned in order, what only one side has is optional."""
+    return _deep(_merge(a, b))
 
 
 def _same(a: list, b: list) -> bool:
@@ -180,23 +195,46 @@ def page_wrapper(page: str, events: Iterable[tuple[str, str]] | None = None) ->
     """The wrapper of one page: its own tags, with like runs already repeated groups."""
     root: list = ["", 0, 0, []]
     stack = [root]
-    deeper = 0
     for kind, value in stream(page) if events is None else events:
-        if kind == "open" and len(stack) > DEPTH or kind == "close" and deeper:
-            deeper += 1 if kind == "open" else -1
-        elif kind == "open":
+        if kind == "open":
             node = [value, 0, 0, []]
             stack[-1][3].append(node)
             stack.append(node)
         elif kind == "close":
             node = stack.pop()
-            node[3] = _groups(node[3])
+            if len(node[3]) > 1:
+                node[3] = _deep(_groups(node[3]))
         elif kind == "text" and not value.isspace() and not (stack[-1][3] and stack[-1][3][-1][0] == "#"):
             stack[-1][3].append(["#", 0, 0, []])
-    root[3] = _groups(root[3])
+    root[3] = _deep(_groups(root[3]))
     return root
 
 
+def dump(root: list) -> str:
+    """A wrapper as flat JSON: of each node its signature, flags and number of children, then those."""
+    flat: list = []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        flat += node[:3]
+        flat.append(len(node[3]))
+        todo += reversed(node[3])
+    return json.dumps(flat, ensure_ascii=False, separators=(",", ":"))
+
+
+def load(text: str) -> list:
+    flat = json.loads(text)
+    top: list = []
+    open_ = [(top, 1)]  # lists of children and how many they will be
+    for i in range(0, len(flat), 4):
+        while len(open_[-1][0]) == open_[-1][1]:
+            open_.pop()
+        node = [*flat[i : i + 3], []]
+        open_[-1][0].append(node)
+        open_.append((node[3], flat[i + 3]))
+    return top[0]
+
+
 def _key(parent: int, name: str) -> int:
     """The key of a place by its parent's and its signature, or of a text by its place's."""
     return int.from_bytes(blake2b(parent.to_bytes(8, "big", signed=True) + name.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
@@ -207,18 +245,17 @@ class Wrapper:
 
     def __init__(self, root: list, texts: Iterable[tuple[int, int, bool]] = ()):
         """texts: (place, key, often) of the texts on at least one in SELDOM of the pages with the place."""
-        self.required: set[int] = set()
-        self.optional: set[int] = set()
-        self._walk(root, 0, False)
-        self.optional -= self.required
-        self.template = {key for place, key, often in texts if often or place in self.optional}
-
-    def _walk(self, node: list, place: int, optional: bool) -> None:
-        for child in node[3]:
-            if child[0] != "#":
-                at = place if child[0] == "()" else _key(place, child[0])
-                (self.optional if optional or child[1] else self.required).add(at)
-                self._walk(child, at, bool(optional or child[1]))
+        # every place of the host's pages is in the wrapper, or in a group of any kinds: what isn't required is optional
+        self.required: set[int] = {0}
+        todo = [(root, 0)]
+        while todo:
+            node, place = todo.pop()
+            for child in node[3]:
+                if not child[1] and child[0] != "#":
+                    at = place if child[0] == "()" else _key(place, child[0])
+                    self.required.add(at)
+                    todo.append((child, at))
+        self.template = {key for place, key, often in texts if often or place not in self.required}
 
 
 #: Roles of a place: left out; plain; of the class 2 (by its name the content), 3 (main), 4 (article).
@@ -312,7 +349,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             hosts, wrappers, places, keys, copies = [], [], [], [], []
             for h, page, copy in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 events = list(stream(page or ""))
-                wrapper = json.dumps(page_wrapper("", events), ensure_ascii=False, separators=(",", ":"))
+                wrapper = dump(page_wrapper("", events))
                 texts = {(place, _key(place, text)) for role, place, text, _ in read_blocks(events) if role < 4}
                 rows = [(None, None, None), *((p, None, copy) for p in {p for p, _ in texts}), *((p, k, copy) for p, k in texts)]
                 hosts += [h] * len(rows)
@@ -325,10 +362,10 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     def some(key, t):
         found = sorted(t.column("wrapper").to_pylist())
-        root = json.loads(found[0])
+        root = load(found[0])
         for x in found[1:]:
-            root = merge(root, json.loads(x))
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(root, ensure_ascii=False, separators=(",", ":"))]})
+            root = merge(root, load(x))
+        return pa.table({"host": [key[0].as_py()], "wrapper": [dump(root)]})
 
     each = pages.select(_host("url").alias("host"), F.col("html").cast("string"), F.xxhash64("html").alias("copy"))
     each = materialize(each.mapInArrow(one, "host string, wrapper string, place long, key long, copy long").distinct(), "page-wrappers")
@@ -368,7 +405,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                         known.clear()
                     w = batch.column(4)[i].as_py()
                     found = batch.column(5)[i].as_py() or ()
-                    known[host] = Wrapper(json.loads(w) if w and found else ["", 0, 0, []], ((x["place"], x["key"], x["often"]) for x in found))
+                    known[host] = Wrapper(load(w) if w and found else ["", 0, 0, []], ((x["place"], x["key"], x["often"]) for x in found))
                 texts.append(extract(h, known[host]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
