@@ -24,6 +24,13 @@ def test_prices_and_text(spark):
     assert one(spark, text.nfkc, "ＡＢ①") == "AB1"
 
 
+def test_identity_model_computes_its_text_once(spark):
+    """However often patterns and conditions name it, in a filter too."""
+    df = spark.createDataFrame([("D-1000 MK II",)], "m string").select(text.identity_model(F.substring("m", 1, 99)).alias("k")).where("k <> ''")
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert max(x.count("substring(") for x in lines) == 1 and df.first().k == "D1000MK2"
+
+
 def test_resolve(spark):
     catalog = spark.createDataFrame([(101, "tad", "D1000MK2", ["D-1000 MKII"]), (102, "kef", "LS50", [])], "product_id long, manufacturer_id string, canonical_model string, aliases array<string>")
     rows = [(1, "tad", "D 1000 MK II", "resolved"), (2, "tad", "D1000", "resolved"), (3, "kef", "LS50 Meta", "resolved"), (4, "kef", "", "resolved"), (5, "tad", "D1000MK2", "unresolved"), (6, None, None, None)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -57,18 +58,29 @@ def truncated(c: Column, size: int, mark: str = "…") -> Column:
     return F.when(F.length(c) > size, F.concat(F.substring(c, 1, size - len(mark)), F.lit(mark))).otherwise(c)
 
 
+def _once(c: Column, step: Callable[[Column], Column]) -> Column:
+    """step of c, with c computed once however often step names it, in filters and conditions too."""
+    return F.element_at(F.transform(F.array(c), step), 1)
+
+
 def identity_model(c: Column) -> Column:
     """A model name for comparison: `D-1000 MKII`, `D1000 MK2` and `D 1000 mk ii` are all D1000MK2."""
-    c = marked = F.upper(F.translate(c, "‐‑‒–—―−ー", "-" * 8))
-    for roman, digit in (("III", "3"), ("II", "2"), ("IV", "4"), ("I", "1")):
-        marked = F.regexp_replace(marked, rf"\b?(?:MARK|MK)[\s.\-]*{roman}(?![A-Z0-9])", f"MK{digit}")
-    marked = F.regexp_replace(marked, r"MARK[\s.\-]*(?=[0-9])", "MK")
     # few names hold a mark or a roman number, and a look for one costs less than its patterns
-    c = revised = F.when(c.contains("MK") | c.contains("MARK"), marked).otherwise(c)
-    for roman, digit in (("III", "3"), ("II", "2"), ("IV", "4")):
-        revised = F.regexp_replace(revised, rf"(?<=[\s\-]){roman}(?![A-Z0-9])", f"REV{digit}")
-    c = F.when(c.contains("II") | c.contains("IV"), revised).otherwise(c)
-    return F.regexp_replace(c, r"[^A-Z0-9]", "")
+    def marks(c: Column) -> Column:
+        marked = c
+        for roman, digit in (("III", "3"), ("II", "2"), ("IV", "4"), ("I", "1")):
+            marked = F.regexp_replace(marked, rf"\b?(?:MARK|MK)[\s.\-]*{roman}(?![A-Z0-9])", f"MK{digit}")
+        marked = F.regexp_replace(marked, r"MARK[\s.\-]*(?=[0-9])", "MK")
+        return F.when(c.contains("MK") | c.contains("MARK"), marked).otherwise(c)
+
+    def revisions(c: Column) -> Column:
+        revised = c
+        for roman, digit in (("III", "3"), ("II", "2"), ("IV", "4")):
+            revised = F.regexp_replace(revised, rf"(?<=[\s\-]){roman}(?![A-Z0-9])", f"REV{digit}")
+        return F.when(c.contains("II") | c.contains("IV"), revised).otherwise(c)
+
+    c = _once(F.upper(F.translate(c, "‐‑‒–—―−ー", "-" * 8)), marks)
+    return F.regexp_replace(_once(c, revisions), r"[^A-Z0-9]", "")
 
 
 #: Endings that make another product of the same stem (fixed values).
