@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,12 @@ def test_variants(spark, maker, model, names):
     assert cm.with_variants(row, "m", "d", "names").first().names == names
 
 
+def test_listings_models_are_normalised_once(spark, tables):
+    """Python sees each distinct model once, neither again for the own name nor for each of its names."""
+    plan = cm.matches(spark.createDataFrame([(1, "Denon", "pma - 1", "resolved")], LISTING), *tables)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"ArrowEvalPython \[nfkc\((?:coalesce\()?model#", plan)) == 1
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     products = spark.createDataFrame([

@@ -27,9 +27,10 @@ def plain_model(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r" ?([./_-]) ?", "$1"))
 
 
-def with_variants(rows: DataFrame, maker: str, model: str, name: str) -> DataFrame:
+def with_variants(rows: DataFrame, maker: str, model: str, name: str, own: str | None = None) -> DataFrame:
     """rows with an array of the names that their model may be looked up by, the shortest first: as given, without notes, without a
-    colour, without its maker's market code, with its maker's spacing, and the part before a +. Revisions of a product stay."""
+    colour, without its maker's market code, with its maker's spacing, and the part before a +. Revisions of a product stay.
+    own: a column for the name as given, which may be empty."""
     c = F.col
     out = rows.withColumns({"_v0": F.trim(nfkc(F.coalesce(c(model), F.lit("")))), "_maker": F.lower(F.trim(F.coalesce(c(maker), F.lit(""))))})
     text = c("_v0")
@@ -42,12 +43,15 @@ def with_variants(rows: DataFrame, maker: str, model: str, name: str) -> DataFra
     for who, models, code in MARKETS:
         # of a maker's codes the first that applies goes
         cut = F.when((c("_maker") == who) & c("_v2").rlike(models) & (cut == c("_v2")), F.regexp_replace("_v2", code, "")).otherwise(cut)
-    out = out.withColumn("_v3", cut)
+    # names that are used again are columns, so that each pattern runs once a row
+    out = out.withColumns({"_v3": cut, "_own": plain_model(c("_v0"))})
     spaced = F.array(*(F.when((c("_maker") == who) & c("_v3").rlike(p), F.regexp_replace("_v3", p, "$1 $2")) for who, p in SPACED))
     base = F.when(F.instr("_v3", "+") > 1, plain_model(F.substring_index("_v3", "+", 1)))
-    all_ = F.array_compact(F.concat(F.array(plain_model(c("_v0")), plain_model(c("_v1")), c("_v2"), c("_v3"), base), spaced))
+    all_ = F.array_compact(F.concat(F.array(c("_own"), plain_model(c("_v1")), c("_v2"), c("_v3"), base), spaced))
     by_size = F.array_sort(F.transform(F.array_distinct(F.filter(all_, lambda x: x != "")), lambda x: F.struct(F.length(x), x.alias("x"))))
-    return out.withColumn(name, F.transform(by_size, lambda s: s.x)).drop("_v0", "_v1", "_v2", "_v3", "_maker")
+    names = F.transform(by_size, lambda s: s.x)
+    out = out.withColumn(name, names).drop("_v0", "_v1", "_v2", "_v3", "_maker")
+    return out.withColumnRenamed("_own", own) if own else out.drop("_own")
 
 
 def index(products: DataFrame, aliases: DataFrame, derived: bool = True) -> DataFrame:
@@ -77,11 +81,10 @@ def matches(listings: DataFrame, products: DataFrame, aliases: DataFrame, catego
     live = products.where("verification_status = 'verified'").join(kinds.select("product_id"), "product_id", "left_semi")
     found = index(live, aliases)
     rows = listings.where(F.coalesce("model_status", F.lit("")).isin("", "resolved")).select("listing_id", F.lower(F.trim("manufacturer_id")).alias("manufacturer_id"), "model")
-    asked = with_variants(rows.select("manufacturer_id", "model").distinct(), "manufacturer_id", "model", "_names")
-    own = plain_model(nfkc("model"))
-    keys = asked.select("manufacturer_id", "model", own.alias("_own"), F.posexplode(F.array_prepend("_names", own)).alias("at", "key"))
+    asked = with_variants(rows.select("manufacturer_id", "model").distinct(), "manufacturer_id", "model", "_names", "_key")
+    keys = asked.select("manufacturer_id", "model", F.posexplode(F.array_prepend("_names", F.col("_key"))).alias("at", "key"))
     met = keys.join(found, ["manufacturer_id", "key"])
-    kind = F.when(F.col("key") == F.col("_own"), F.col("match_type")).otherwise(DERIVED)
+    kind = F.when(F.col("at") == 0, F.col("match_type")).otherwise(DERIVED)  # the own name, wherever it stands again, meets at 0 too
     best = met.groupBy("manufacturer_id", "model").agg(F.min_by(F.struct("product_id", kind.alias("match_type"), F.col("key").alias("matched_name")), "at").alias("m"))
     out = rows.join(best, ["manufacturer_id", "model"]).select("listing_id", "m.product_id", "m.match_type", "m.matched_name")
     return out.join(kinds, "product_id").select("listing_id", "product_id", "match_type", "matched_name", "category_ids")
