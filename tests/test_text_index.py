@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,22 @@ def test_reads_postings_of_the_terms_only(index, spark):
     assert "LogicalRDD" not in plan and "Scan ExistingRDD" not in plan  # where the texts are
 
 
+def test_tasks_hold_parts_of_fixed_size(index, spark, monkeypatch):
+    """Places are dealt by id once, in parts by the index's rows, and not collected in a map before that; so are postings by their number."""
+    from tidemark.operators import text_index
+
+    rows, ix = index
+    monkeypatch.setattr(text_index, "ROWS", 40)
+    plan = ix.search("ti x")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(id" in plan and "hashpartitioning(id#" in plan and ", 4), REPARTITION_BY_NUM" in plan
+    assert not re.search(r"Exchange hashpartitioning\(id#\w+, (?:col|term|p)", plan)
+    assert found(ix, "ti x") == pytest.approx(brute(rows, "ti x", (3.0, 1.0)))
+    monkeypatch.setattr(text_index, "PLACES", 300)
+    small = TextIndex(spark, new_folder(spark, "index"), "id", ("a", "b")).create(spark.createDataFrame(rows, SCHEMA))
+    held = small.postings().groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+    assert held[0] <= 600 < held[1] and found(small, "tad") == pytest.approx(brute(rows, "tad", (3.0, 1.0)))
+
+
 def test_changes_by_key(spark):
     rows = {i: (i, a, b) for i, a, b in made(60, 2)}
     ix = TextIndex(spark, new_folder(spark, "index"), "id", ("a", "b")).create(spark.createDataFrame(list(rows.values()), SCHEMA))

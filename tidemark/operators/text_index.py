@@ -19,6 +19,8 @@ from tidemark.operators.search import plan_terms
 from tidemark.sources.shared import exists, remove
 
 BUCKETS = 64
+#: Postings that a task sorts and writes, and rows of the index whose places a task of a search sums up, about; whatever the index's size.
+PLACES, ROWS = 2_000_000, 50_000
 #: Of the ranking, and what a term is worth at least that most rows hold (fixed values).
 K1, B, LEAST = 1.2, 0.75, 1e-6
 
@@ -87,10 +89,12 @@ class TextIndex:
             return out
         return out.join(latest, "id", "left").where("latest IS NULL OR latest = gen").drop("latest")
 
-    def _write(self, rows: DataFrame, gone: DataFrame | None, gen: int, base: int, count: int, tokens: int) -> None:
-        places = grams(rows, self.id_col, list(self.columns)).withColumn("bucket", _bucket(F.col("gram")))
-        places = places.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id", "col", "pos")
-        places.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/gen={gen}")
+    def _write(self, rows: DataFrame, gone: DataFrame | None, gen: int, base: int, count: int, tokens: int, places: int) -> None:
+        """places: about how many postings rows have; count and tokens are the whole index's."""
+        parts = max(1, -(-places // PLACES))
+        found = grams(rows, self.id_col, list(self.columns)).withColumn("bucket", _bucket(F.col("gram")))
+        found = found.repartitionByRange(parts, "bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id", "col", "pos")
+        found.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/gen={gen}")
         kept = self._lengths(rows)
         if gone is not None:
             kept = kept.unionByName(gone.select(F.col(self.id_col).alias("id"), F.lit(None).cast("long").alias("tokens")))
@@ -98,6 +102,9 @@ class TextIndex:
         made = self.spark.range(1).select(F.lit(base).alias("base"), F.lit(count).cast("long").alias("rows"), F.lit(tokens).cast("long").alias("tokens"))
         made.write.mode("overwrite").parquet(f"{self.path}/stats/gen={gen}")
 
+    def _places(self, rows: int, tokens: int) -> int:
+        return tokens + 2 * len(self.columns) * rows
+
     def _lengths(self, rows: DataFrame) -> DataFrame:
         low = [F.length(F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in self.columns]
         return rows.select(F.col(self.id_col).alias("id"), reduce(lambda a, b: a + b, (F.greatest(n - 2, F.lit(0)) for n in low)).cast("long").alias("tokens"))
@@ -107,7 +114,7 @@ class TextIndex:
         stats = self._stats()
         gen = stats[-1][0] + 1 if stats else 0
         n, tokens = self._lengths(rows).agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-        self._write(rows, None, gen, gen, n, tokens)
+        self._write(rows, None, gen, gen, n, tokens, self._places(n, tokens))
         return self
 
     def apply(self, changed: DataFrame, deleted: DataFrame | None = None) -> TextIndex:
@@ -118,7 +125,7 @@ class TextIndex:
         before = self._live("rows").join(ids, "id", "left_semi").groupBy("id").agg(F.max_by("tokens", "gen").alias("tokens")).where("tokens IS NOT NULL")
         had, had_tokens = before.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
         new, new_tokens = self._lengths(changed).agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-        self._write(changed, deleted, gen + 1, base, count - had + new, tokens - had_tokens + new_tokens)
+        self._write(changed, deleted, gen + 1, base, count - had + new, tokens - had_tokens + new_tokens, self._places(new, new_tokens))
         return self
 
     def compact(self, rows: DataFrame) -> TextIndex:
@@ -142,6 +149,8 @@ class TextIndex:
         parts = [F.when(gram == g, part(i, at)) for i, cover in long.items() for g, at in cover]
         parts += [F.when(gram.startswith(t), part(i, 0)) for i, t in short.items()]
         found = found.select("id", "col", "pos", "tokens", F.explode(F.array_compact(F.array(*parts))).alias("p"))
+        # all that follows goes by id: one shuffle, and no map of places before it, where hardly two have a key in common
+        found = found.repartition(max(1, -(-self._stats()[-1][2] // ROWS)), "id")
         found = found.groupBy("id", "col", "p.term", (F.col("pos") - F.col("p.at")).alias("pos")).agg(F.count("*").alias("n"), F.min("tokens").alias("tokens"))
         need = F.coalesce(*(F.when(F.col("term") == i, len(cover)) for i, cover in long.items()), F.lit(1))
         return found.where(F.col("n") == need).select("id", "term", "col", "pos", "tokens")
