@@ -52,6 +52,25 @@ def test_tree_pairs_lose_no_link(percent):
     assert want and want <= found and len(found) < len(sets) * (len(sets) - 1) // 20
 
 
+def test_narrow_bitmaps_of_trees_lose_no_link(spark):
+    """What the trees are given is a quarter as wide as the bitmaps that decide, and still holds every pair that links."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 2**63, int(rng.integers(900, 1100))).astype(np.uint64)
+        sets += [np.unique(base[rng.random(len(base)) > rng.random() * 0.08]) for _ in range(4)]
+    wide = [ngram_join.bitmap(s) for s in sets]
+    table = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(wide)], "sid long, bits binary")
+    narrow = [bytes(r.bits) for r in ngram_join._signatures(table).orderBy("sid").collect()]
+    assert [4 * len(b) for b in narrow] == [len(b) for b in wide]
+    folded = np.stack([ngram_join.fold(b, min(map(len, narrow))) for b in narrow])
+    n, none = np.array([len(s) for s in sets]), np.zeros(len(sets), np.int64)
+    a, b = ngram_join.tree_pairs(n, np.arange(len(sets)), folded, none, 90)
+    found = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if ngram_join.linked(sets[i], sets[j], 90)}
+    assert want and want <= found and len(found) < len(sets) * (len(sets) - 1) // 20
+
+
 def test_tree_joins_what_hubs_leave(spark):
     """Chains in which each text only links with the next: no hub is near all, so the classes need the tree's pairs."""
     rng = np.random.default_rng(3)

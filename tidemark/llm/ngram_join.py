@@ -31,6 +31,8 @@ KNOWN, NOTED, FREQUENT = 1_000_000, 2, 4
 BLOCK, CHUNK, SIDE, PART = 4096, 1_000_000, 400_000, 500
 #: Places of a task's memory of sets it has seen, each by its fingerprint; a set that is forgotten is sketched again.
 SEEN = 1 << 16
+#: Bitmaps of the signature trees are this many times narrower than those that decide on pairs, as a set may stand in many buckets.
+NARROWER = 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FAN = 4
@@ -84,6 +86,17 @@ def fold(b: bytes, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(np.frombuffer(b, np.uint64).reshape(-1, size // 8), axis=0)
 
 
+def _signatures(sets: DataFrame) -> DataFrame:
+    """(sid, bits) of sets with narrow bitmaps: two to four bits for each n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            narrow = [fold(b, len(b) // NARROWER).tobytes() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(narrow, pa.binary())], names=["sid", "bits"])
+
+    return sets.select("sid", "bits").mapInArrow(releasing(run), "sid long, bits binary")
+
+
 def _first_look(docs: DataFrame, size: int) -> DataFrame:
     """Rows of documents (doc_id, n, fp) and rows of n-grams (gram, df) that some task found often."""
 
@@ -348,7 +361,7 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         F.col("gram").alias("u1"), F.col("band").cast("long").alias("u2"), F.least("blk", "other").alias("u3"),
         F.greatest("blk", "other").alias("u4"), "sid", "n", "comp", "blk",
     )
-    units = materialize(units, "units").join(sets.select("sid", "bits"), "sid")
+    units = materialize(units, "units").join(_signatures(sets), "sid")
     keys = ["u1", "u2", "u3", "u4"]
     units = units.select(*keys, "sid", "n", "comp", "blk", "bits")
     found = _tree_search(units.repartition(*keys).sortWithinPartitions(*keys), percent).distinct()
