@@ -93,6 +93,18 @@ def test_chat_round_trip(spark):
     assert got[1].l == "x" * 50000 and [(t.role, t.text) for t in got[2].t] == [("", "")] and got[None].t[0].text == "é[/INST]"
 
 
+def test_words_of_packing_equal_the_tokenizers_pattern():
+    """Apart from the odd characters, the standard library's pattern cuts as the tokenizer's own does."""
+    import public_tokenizers
+    import regex
+
+    rng = np.random.default_rng(5)
+    parts = [" ", "  ", "\n", "\t", "a", "foo", "é", "12", "٣", ",", ".", "'s", "'re", "'", "_", "今天", "\u3000", "\xa0", "\r\n", "x1", "\u0301", "\u200b", "😀", "'ll", "'T"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(3000)]
+    exact = regex.compile(public_tokenizers.PATTERN)
+    assert [packing._WORDS.findall(t) for t in texts] == [exact.findall(t) for t in texts]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -28,8 +28,9 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: The tokenizer's own pattern in terms of the standard library, which is faster: the same but for the characters below.
-_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+#: The tokenizer's own pattern in terms of the standard library, which is faster: the same but for the characters below. Words and
+#: numbers come first, as they are the most frequent and never start with an apostrophe.
+_WORDS = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
 
 def _odd(c: str) -> bool:
@@ -55,8 +56,8 @@ class _Encoder:
     def _encode(self, words: list[str]) -> list[bytes]:
         e = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
         ids, word = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-        cuts = np.searchsorted(word, np.arange(len(words) + 1))
-        return [ids[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(words))]
+        raw, cuts = ids.tobytes(), (4 * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
+        return [raw[a:z] for a, z in zip(cuts, cuts[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         special = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
