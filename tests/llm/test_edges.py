@@ -93,6 +93,51 @@ def test_tree_joins_what_hubs_leave(spark):
     assert got == comp
 
 
+def test_trees_give_forests_of_near_copies(spark, monkeypatch):
+    """A group whose texts are near each other but not all near a hub: the trees give fewer pairs than it has members in
+    buckets, not its square for each bucket, and the classes are those of all pairs."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for _ in range(150):
+        words = list(base)
+        for i in rng.integers(0, 200, 2):
+            words[i] = f"x{rng.integers(0, 10**9)}"
+        texts.append(" ".join(words))
+    made, rows, search = [], [], ngram_join._tree_search
+
+    def counted(members, *args):
+        out = search(members, *args).cache()
+        rows.append(members.count())
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_tree_search", counted)
+    got = [r.component_id for r in ngram_join.ngram_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 90).orderBy("doc_id").collect()]
+    sets = [ngram_join.shingles(t, 3) for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if ngram_join.linked(sets[i], sets[j], 90):
+                lo, hi = sorted((comp[i], comp[j]))
+                comp = [lo if c == hi else c for c in comp]
+    assert got == comp and len(set(comp)) < len(comp)
+    assert made and made[0] and all(m <= r for m, r in zip(made, rows))
+
+
+def test_forest_connects_what_pairs_connect():
+    rng = np.random.default_rng(6)
+    group, a, b = rng.integers(0, 400, 900), rng.integers(0, 900, 3000), rng.integers(0, 900, 3000)
+    keep = ngram_join.forest(a, b, group)
+
+    def classes(a, b):
+        comp = np.arange(400)
+        for x, y in zip(group[a], group[b]):
+            comp[comp == max(comp[x], comp[y])] = min(comp[x], comp[y])
+        return comp
+
+    assert (classes(a[keep], b[keep]) == classes(a, b)).all() and keep.sum() < 400 and keep[np.flatnonzero(group[a] != group[b])[0]]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(300, 300)]
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

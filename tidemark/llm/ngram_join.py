@@ -8,7 +8,8 @@
    needs: nothing between members of one class is looked at again.
 4. Buckets that still hold several classes are searched with a signature tree: nodes hold OR-combined bitmaps of n-grams
    and ranges of sizes, and a dual traversal drops pairs of nodes whose largest possible overlap is too small.
-5. What is left is compared exactly, on the whole sets.
+5. Of what is left in a bucket a forest comes first, likeliest pairs before others: no more pairs than members. They are
+   compared exactly, on the whole sets, and only buckets that still hold several classes give the rest of their pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SEEN = 1 << 16
 #: Bitmaps of the signature trees are this many times narrower than those that decide on pairs, as a set may stand in many buckets.
 NARROWER = 4
 
+#: What names a unit of a tree's work: a bucket, a band of sizes, and one or two of its blocks.
+UNIT = ["u1", "u2", "u3", "u4"]
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FAN = 4
 
@@ -178,7 +181,7 @@ def _may_link(bits: DataFrame, percent: int) -> DataFrame:
 
 
 def tree_pairs(n: np.ndarray, group: np.ndarray, bits: np.ndarray, block: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of places that may link and differ in group; of two different blocks, if there are two.
+    """Pairs of places that may link and differ in group, likeliest first; of two different blocks, if there are two.
 
     Leaves are sorted by signature, so like stands beside like; a node joins _FAN of the level below. A pair of nodes goes
     if their sizes can't be near enough, if all below is one group, or if a member of one has too many bits that the other
@@ -194,9 +197,10 @@ def tree_pairs(n: np.ndarray, group: np.ndarray, bits: np.ndarray, block: np.nda
         up = {k: f.reduceat(x[k], at, axis=0) for k, f in (("lo", np.minimum), ("hi", np.maximum), ("few", np.minimum), ("bits", np.bitwise_or), ("g0", np.minimum), ("g1", np.maximum), ("b0", np.minimum), ("b1", np.maximum))}
         levels.append(up)
     a = b = np.zeros(1, np.int64)
+    room = np.zeros(0, np.int64)
     for depth in range(len(levels) - 1, -1, -1):
         x = levels[depth]
-        kept_a, kept_b = [], []
+        kept_a, kept_b, kept_room = [], [], []
         for i in range(0, len(a), 65536):
             p, q = a[i : i + 65536], b[i : i + 65536]
             ok = (100 * x["hi"][p] >= percent * x["lo"][q]) & (100 * x["hi"][q] >= percent * x["lo"][p])
@@ -210,22 +214,54 @@ def tree_pairs(n: np.ndarray, group: np.ndarray, bits: np.ndarray, block: np.nda
             ok = (100 * (x["few"][p] - shared) <= (100 - percent) * x["hi"][p]) & (100 * (x["few"][q] - shared) <= (100 - percent) * x["hi"][q])
             if depth == 0:  # both leaves are known: what they don't share can't outnumber what an overlap large enough leaves
                 need = -(-percent * (n[p] + n[q]) // (100 + percent))
-                ok &= ones[p] + ones[q] - 2 * shared <= n[p] + n[q] - 2 * need
+                more = n[p] + n[q] - 2 * need - (ones[p] + ones[q] - 2 * shared)
+                ok &= more >= 0
+                kept_room.append(more[ok])
             kept_a.append(p[ok])
             kept_b.append(q[ok])
         a, b = np.concatenate(kept_a), np.concatenate(kept_b)
         if not depth or not len(a):
+            room = np.concatenate(kept_room) if kept_room else room
             break
         width = len(levels[depth - 1]["lo"])
         da, db = (d.ravel() for d in np.meshgrid(np.arange(_FAN), np.arange(_FAN)))
         a, b = (a[:, None] * _FAN + da).ravel(), (b[:, None] * _FAN + db).ravel()
         ok = (a < width) & (b < width) & (a <= b)
         a, b = a[ok], b[ok]
-    return np.stack([order[a], order[b]]) if len(a) else np.empty((2, 0), np.int64)
+    first = np.argsort(-room, kind="stable")
+    return np.stack([order[a[first]], order[b[first]]]) if len(a) else np.empty((2, 0), np.int64)
 
 
-def _tree_search(members: DataFrame, percent: int) -> DataFrame:
-    """members: (u1, u2, u3, u4, sid, n, comp, blk, bits), the u's naming a unit of work; units come one after another."""
+def forest(a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which of the pairs of places (a, b), taken in order, connect groups that those before them don't."""
+    root = np.unique(group, return_inverse=True)[1]
+    keep, at, step = np.zeros(len(a), bool), 0, 256
+    while at < len(a):
+        open_ = at + np.flatnonzero(root[a[at : at + step]] != root[b[at : at + step]])
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
+        for i, x, y in zip(open_.tolist(), root[a[open_]].tolist(), root[b[open_]].tolist()):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                keep[i] = True
+        if up:
+            new = np.arange(root.max() + 1)
+            new[list(up)] = [top(x) for x in up]
+            root = new[root]
+        at, step = at + step, min(2 * step, 65536)
+    return keep
+
+
+def _tree_search(members: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """members: (u1, u2, u3, u4, sid, n, comp, blk, bits), the u's naming a unit of work; units come one after another.
+
+    Gives pairs (a, b) with their unit: all, or a forest that connects the same classes; more says whether the unit has others."""
 
     def unit(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows)
@@ -236,8 +272,11 @@ def _tree_search(members: DataFrame, percent: int) -> DataFrame:
         bits = np.stack([fold(b, width) for b in raw])
         sid, n, comp, blk = (t.column(c).to_numpy() for c in ("sid", "n", "comp", "blk"))
         a, b = tree_pairs(n, comp, bits, blk, percent)
-        lo, hi = np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])
-        return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+        keep = np.ones(len(a), bool) if all_pairs else forest(a, b, comp)
+        a, b = a[keep], b[keep]
+        us = [pa.repeat(t.column(u)[0], len(a)) for u in UNIT]
+        more = pa.repeat(not keep.all(), len(a))
+        return pa.RecordBatch.from_arrays([*us, pa.array(np.minimum(sid[a], sid[b])), pa.array(np.maximum(sid[a], sid[b])), more], names=[*UNIT, "a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         held: list[pa.RecordBatch] = []
@@ -258,7 +297,18 @@ def _tree_search(members: DataFrame, percent: int) -> DataFrame:
         if held and (out := unit(held)) is not None:
             yield out
 
-    return members.mapInArrow(releasing(run), "a long, b long")
+    members = members.repartition(*UNIT).sortWithinPartitions(*UNIT)
+    return members.mapInArrow(releasing(run), "u1 long, u2 long, u3 long, u4 long, a long, b long, more boolean")
+
+
+def _connect(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (sid, comp), without those that are their class themselves, after its classes are connected by links (a, b)."""
+    for s in ("a", "b"):
+        of = comps.select(F.col("sid").alias(s), F.col("comp").alias(f"c{s}"))
+        links = links.join(of, s, "left").withColumn(s, F.coalesce(f"c{s}", s)).drop(f"c{s}")
+    joined = components(links).select(F.col("node").alias("comp"), "component")
+    final = comps.join(joined, "comp", "left").select("sid", F.coalesce("component", "comp").alias("comp"))
+    return final.unionByName(joined.select(F.col("comp").alias("sid"), F.col("component").alias("comp")))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int, name: str) -> DataFrame:
@@ -361,22 +411,26 @@ def ngram_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFram
         F.col("gram").alias("u1"), F.col("band").cast("long").alias("u2"), F.least("blk", "other").alias("u3"),
         F.greatest("blk", "other").alias("u4"), "sid", "n", "comp", "blk",
     )
-    units = materialize(units, "units").join(_signatures(sets), "sid")
-    keys = ["u1", "u2", "u3", "u4"]
-    units = units.select(*keys, "sid", "n", "comp", "blk", "bits")
-    found = _tree_search(units.repartition(*keys).sortWithinPartitions(*keys), percent).distinct()
-    for s in ("a", "b"):
-        found = found.join(sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}")), s)
-    found = materialize(with_bits(found), "candidates")
-    second = _verify(found, docs, sets, size, percent, "candidates")
-    # the classes found by the hubs are nodes now: only what the tree has linked is left to connect
-    for s in ("a", "b"):
-        of = comps.select(F.col("sid").alias(s), F.col("comp").alias(f"c{s}"))
-        second = second.join(of, s, "left").withColumn(s, F.coalesce(f"c{s}", s)).drop(f"c{s}")
-    joined = components(second).select(F.col("node").alias("comp"), "component")
-    final = comps.join(joined, "comp", "left").select("sid", F.coalesce("component", "comp").alias("comp"))
-    final = final.unionByName(joined.select(F.col("comp").alias("sid"), F.col("component").alias("comp")))
-    classes = sets.select("sid", "fp").join(final, "sid", "left").select("fp", F.coalesce("comp", "sid").alias("comp"))
+    units = materialize(units, "units")
+
+    def search(units: DataFrame, all_pairs: bool) -> DataFrame:
+        return _tree_search(units.join(_signatures(sets), "sid").select(*UNIT, "sid", "n", "comp", "blk", "bits"), percent, all_pairs)
+
+    def that_link(found: DataFrame, name: str) -> DataFrame:
+        for s in ("a", "b"):
+            found = found.join(sets.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}")), s)
+        return _verify(materialize(with_bits(found), name), docs, sets, size, percent, name)
+
+    # a group of near copies stands in many buckets and has pairs in its square: a forest of it is enough, as far as it links
+    trees = materialize(search(units, False), "trees")
+    comps = materialize(_connect(comps, that_link(trees.select("a", "b").distinct(), "candidates")), "joined")
+    rest = units.join(trees.where("more").select(*UNIT).distinct(), UNIT).join(comps.withColumnRenamed("comp", "now"), "sid", "left")
+    rest = rest.withColumn("comp", F.coalesce("now", "sid")).drop("now")
+    mixed = rest.groupBy(*UNIT).agg(F.min("comp").alias("g0"), F.max("comp").alias("g1")).where("g0 <> g1").select(*UNIT)
+    rest = materialize(rest.join(mixed, UNIT), "rest")
+    if not rest.isEmpty():
+        comps = _connect(comps, that_link(search(rest, True).select("a", "b").distinct(), "last-candidates"))
+    classes = sets.select("sid", "fp").join(comps, "sid", "left").select("fp", F.coalesce("comp", "sid").alias("comp"))
     smallest = all_docs.groupBy("fp").agg(F.min("doc_id").alias("d")).join(classes, "fp")
     named = smallest.groupBy("comp").agg(F.min("d").alias("component_id")).join(classes, "comp").select("fp", "component_id")
     out = all_docs.join(named, "fp", "left")
