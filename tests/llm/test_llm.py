@@ -105,6 +105,18 @@ def test_words_of_packing_equal_the_tokenizers_pattern():
     assert [packing._WORDS.findall(t) for t in texts] == [exact.findall(t) for t in texts]
 
 
+def test_words_are_cut_by_their_bytes():
+    """Ids of words that are encoded together, each as the tokenizer has it alone; by places of words if bytes don't add up."""
+    encode = packing._Encoder(packing.tokenizer_path())
+    words = ["foo", " é", "今天", "😀", " unbelievably", "\u0301", "a\u0301b", "\r\n", "x" * 300, " ٣", "...", "ﬁ", "née", "naïf", "\u200b"]
+    want = [np.array(encode.tok.encode([w], is_pretokenized=True, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert encode._encode(words) == want and encode.bytes.min() > 0
+    encode.bytes = encode.bytes * 0 + 1
+    assert encode._encode(words) == want
+    gaps = encode._gaps([["a", "b", "a"], ["c"], ["b"]], [[None, b"", None], [b""], [None]])
+    assert [(x, i, w) for x, i, w in gaps] == [([None, b"", None], 0, "a"), ([None, b"", None], 2, "a"), ([None], 0, "b")]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -7,10 +7,12 @@ the rests of a group are packed by first-fit decreasing.
 from __future__ import annotations
 
 import functools
+import os
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,8 @@ def tokenizer_path() -> str:
 
 
 #: The tokenizer's own pattern in terms of the standard library, which is faster: the same but for the characters below. Words and
-#: numbers come first, as they are the most frequent and never start with an apostrophe.
-_WORDS = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+#: numbers come first, as they are the most frequent and never start with an apostrophe; words of A-Z and a-z alone before all.
+_WORDS = re.compile(r" ?[a-zA-Z]++(?![^\W\d_])| ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
 
 def _odd(c: str) -> bool:
@@ -46,7 +48,12 @@ class _Encoder:
         import regex
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are taken by Spark's tasks
         self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        #: Bytes of each token: a character of its name stands for one.
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes[list(vocab.values())] = list(map(len, vocab))
         #: Texts that hold one of these are left to the tokenizer as a whole.
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.exact = regex.compile(public_tokenizers.PATTERN).findall
@@ -54,11 +61,27 @@ class _Encoder:
         self.held = 0
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        e = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids, word = np.array(e.ids, dtype="<u4"), np.array(e.word_ids)
-        raw, cuts = ids.tobytes(), (4 * np.searchsorted(word, np.arange(len(words) + 1))).tolist()
+        e = self.tok.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ids = np.array(e.ids, dtype="<u4")
+        ends, to = np.cumsum(self.bytes[ids]), np.cumsum(pc.binary_length(pa.array(words, pa.string())).to_numpy())
+        cuts = np.searchsorted(ends, to, side="right")
+        if not len(ids) or not np.array_equal(ends[cuts - 1], to):  # no plain byte-level tokens
+            e = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(e.ids, dtype="<u4")
+            cuts = np.searchsorted(np.array(e.word_ids), np.arange(len(words)), side="right")
+        raw, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [raw[a:z] for a, z in zip(cuts, cuts[1:])]
 
+    def _gaps(self, split: list[list[str]], ids: list[list[bytes | None]]) -> list[tuple[list[bytes | None], int, str]]:
+        """Where words have no ids yet: (list, place in it, word)."""
+        out = []
+        for s, x in zip(split, ids):
+            i = -1
+            for _ in range(x.count(None)):
+                i = x.index(None, i + 1)
+                out.append((x, i, s[i]))
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         special = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
         if special:
@@ -68,19 +91,20 @@ class _Encoder:
             return out
         split = [_WORDS.findall(t) for t in texts]
         ids = [list(map(self.ids.get, s)) for s in split]
-        new = {w for s, x in zip(split, ids) if None in x for w, i in zip(s, x) if i is None}
+        gaps = self._gaps(split, ids)
+        new = {w for _, _, w in gaps}
         odd = {c for c in set("".join(new)) if _odd(c)}
         if odd:  # words with such characters are never remembered, so they are new wherever they occur
             split = [self.exact(t) if odd.intersection(t) else s for t, s in zip(texts, split)]
             ids = [list(map(self.ids.get, s)) for s in split]
-            new = {w for s, x in zip(split, ids) for w, i in zip(s, x) if i is None}
+            gaps = self._gaps(split, ids)
+            new = {w for _, _, w in gaps}
         if new:
             words = list(new)
             found = dict(zip(words, self._encode(words)))
-            for s, x in zip(split, ids):
-                if None in x:
-                    x[:] = [found[w] if i is None else i for w, i in zip(s, x)]
-            size = sum(WORD + 4 * len(w) + len(i) for w, i in found.items())
+            for x, i, w in gaps:
+                x[i] = found[w]
+            size = WORD * len(found) + 4 * sum(map(len, found)) + sum(map(len, found.values()))
             if self.held + size <= REMEMBERED:
                 self.held += size
                 self.ids.update({w: i for w, i in found.items() if not odd.intersection(w)} if odd else found)
