@@ -95,3 +95,26 @@ def test_line_dedup_edges(spark):
     assert run([(1, chinese), (2, chinese.replace("公", "花"))])[1] == (2, "", 1, 0, 1)
     with pytest.raises(ValueError):
         line_dedup.drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string"), 0, 4)
+
+
+def test_a_place_serves_all_lengths_of_a_class(spark):
+    """Rows that are shuffled to find shared keys: 5 own ones and 64 asked for where each length of the other line has keys of its own."""
+    for n, most in ((45, 19), (40, 32)):
+        lines = spark.createDataFrame([(1, [f"w{i}" for i in range(n)])], "h long, w array<string>")
+        assert line_dedup.keyed(lines, ["h"], 4, 10).select("key").distinct().count() <= most
+
+
+def test_line_dedup_takes_keys_in_rounds(spark, monkeypatch):
+    """With more shared keys than may be broadcast at once nothing is lost, and lines meet them without a shuffle of their words."""
+    monkeypatch.setattr(line_dedup, "KEYS", 40)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    base = [list(rng.choice(words, int(rng.integers(4, 26)))) for _ in range(6)]
+    lines = [" ".join(edited(rng, base[rng.integers(6)], rng.integers(0, 4), words)) for _ in range(120)]
+    rows = [(i, "\n".join(lines[8 * i : 8 * i + 8])) for i in range(15)]
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 2, 4)
+    assert sorted(tuple(r) for r in out.collect()) == brute_force(rows, 2, 4)
+    w = spark.createDataFrame(rows, "doc_id long, text string").select(F.split("text", " ").alias("w"))
+    keyed = line_dedup.keyed(w, ["w"], 2, 4)
+    plan = line_dedup.under(keyed, keyed.select("key").distinct())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
