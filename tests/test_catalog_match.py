@@ -27,6 +27,18 @@ def test_listings_models_are_normalised_once(spark, tables):
     assert len(re.findall(r"ArrowEvalPython \[nfkc\((?:coalesce\()?model#", plan)) == 1
 
 
+def test_products_are_never_broadcast_for_their_categories(spark, tables, tmp_path):
+    """Which products take part is joined by sorting, however few they seem from the bytes of a file; small tables are broadcast by default."""
+    listings = spark.createDataFrame([(1, "Denon", "pma - 1", "resolved")], LISTING)
+    sources = spark.createDataFrame([(1, "manual_verified", "active")], "product_id long, source_type string, status string")
+    for i, t in enumerate((*tables, sources)):
+        t.write.parquet(f"{tmp_path}/{i}")
+    *tables, sources = (spark.read.parquet(f"{tmp_path}/{i}") for i in range(4))
+    for out in (cm.matches(listings, *tables), cm.manual_matches(listings, *tables, sources)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"BroadcastHashJoin .*LeftSemi", plan) and re.search(r"SortMergeJoin .*LeftSemi", plan)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     products = spark.createDataFrame([

@@ -60,16 +60,19 @@ def index(products: DataFrame, aliases: DataFrame, derived: bool = True) -> Data
     products: product_id, manufacturer_id, canonical_model, normalized_model. aliases: product_id, alias.
     """
     own = products.select("product_id", F.lower(F.trim("manufacturer_id")).alias("manufacturer_id"), "canonical_model", plain_model(nfkc("normalized_model")).alias("key"))
-    claims = own.select("product_id", "manufacturer_id", "key", F.lit(0).alias("rank"))
-    if derived:
-        more = with_variants(own, "manufacturer_id", "canonical_model", "_names")
-        claims = claims.unionByName(more.select("product_id", "manufacturer_id", F.explode("_names").alias("key"), F.lit(1).alias("rank")))
+    named = with_variants(own, "manufacturer_id", "canonical_model", "_names") if derived else own.withColumn("_names", F.array().cast("array<string>"))
+    claims = named.select("product_id", "manufacturer_id", F.posexplode(F.array_prepend("_names", F.col("key"))).alias("rank", "key")).withColumn("rank", F.least("rank", F.lit(1)))
     given = aliases.join(own.select("product_id", "manufacturer_id"), "product_id")
     claims = claims.unionByName(given.select("product_id", "manufacturer_id", plain_model(nfkc("alias")).alias("key"), F.lit(2).alias("rank")))
     one = claims.where("key <> '' AND manufacturer_id <> ''").groupBy("manufacturer_id", "key").agg(F.min("product_id").alias("product_id"), F.max("product_id").alias("_other"), F.min("rank").alias("rank"))
     return one.where("product_id = _other").select("manufacturer_id", "key", "product_id", F.element_at(F.array(*map(F.lit, (EXACT, DERIVED, ALIAS))), F.col("rank") + 1).alias("match_type"))
 
 
+def _keys(rows: DataFrame) -> DataFrame:
+    """The products of rows, for a semi join. Never broadcast: ids are small in files, so any number of them is taken for few, and each takes many times its bytes on the driver."""
+    return rows.select("product_id").hint("merge")
+
+
 def matches(listings: DataFrame, products: DataFrame, aliases: DataFrame, categories: DataFrame) -> DataFrame:
     """(listing_id, product_id, match_type, matched_name, category_ids): verified products that listings with a resolved model name.
 
@@ -78,7 +81,7 @@ def matches(listings: DataFrame, products: DataFrame, aliases: DataFrame, catego
     """
     sorted_ = F.array_sort(F.collect_set(F.struct((~F.col("is_primary")).alias("later"), "category_id")))
     kinds = categories.groupBy("product_id").agg(F.transform(sorted_, lambda x: x.category_id).alias("category_ids"), F.bool_or("is_primary").alias("_has")).where("_has").drop("_has")
-    live = products.where("verification_status = 'verified'").join(kinds.select("product_id"), "product_id", "left_semi")
+    live = products.where("verification_status = 'verified'").join(_keys(kinds), "product_id", "left_semi")
     found = index(live, aliases)
     rows = listings.where(F.coalesce("model_status", F.lit("")).isin("", "resolved")).select("listing_id", F.lower(F.trim("manufacturer_id")).alias("manufacturer_id"), "model")
     asked = with_variants(rows.select("manufacturer_id", "model").distinct(), "manufacturer_id", "model", "_names", "_key")
@@ -97,7 +100,7 @@ def manual_matches(listings: DataFrame, products: DataFrame, aliases: DataFrame,
     """
     by_hand = sources.where("source_type = 'manual_verified' AND status = 'active'").select("product_id")
     primary = categories.where("is_primary").groupBy("product_id").agg(F.min("category_id").alias("category_id"))
-    live = products.where("verification_status = 'verified'").join(by_hand, "product_id", "left_semi").join(primary.select("product_id"), "product_id", "left_semi")
+    live = products.where("verification_status = 'verified'").join(_keys(by_hand), "product_id", "left_semi").join(_keys(primary), "product_id", "left_semi")
     rows = listings.where(~F.coalesce("model_status", F.lit("")).isin("", "resolved"))
     rows = rows.select("listing_id", F.lower(F.trim("manufacturer_id")).alias("manufacturer_id"), plain_model(nfkc("model")).alias("key"))
     return rows.join(index(live, aliases, derived=False), ["manufacturer_id", "key"]).join(primary, "product_id").select("listing_id", "product_id", "match_type", "category_id")
