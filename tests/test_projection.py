@@ -168,3 +168,33 @@ def test_rebuild_leaves_its_tables_only(spark, built):
     path = new_folder(spark, "t")
     projection.rebuild(tables(spark, rows, hits), path)
     assert finished(spark, path) == ["entities", "offers", "projection"]
+
+
+def test_sync_reads_texts_of_listings_once(spark, built, monkeypatch):
+    """Entities come from what was projected, not from another join of listings and projection; offers of an entity outside of the scope keep what is stored."""
+    rows, hits, m = built
+    plans, keep = {}, projection.written
+
+    def watched(df, path):
+        plans[path.rsplit("/", 1)[-1]] = df._jdf.queryExecution().optimizedPlan().toString()
+        return keep(df, path)
+
+    monkeypatch.setattr(projection, "written", watched)
+    product = m.offers.where("entity_key LIKE 'c-%'").groupBy("entity_key").count().orderBy(F.desc("count"), "entity_key").first()
+    assert product["count"] > 1
+    seed = m.offers.where(F.col("entity_key") == product.entity_key).orderBy("listing_id").limit(1).select("listing_id")
+    got = projection.sync(m, seed, new_folder(spark, "t"))
+    same(got, m)
+    assert "raw_category#" not in plans["entities"]
+    assert sum("raw_category#" in plan and "search_aliases#" in plan.split("LogicalRDD")[0] for plan in plans.values()) == 1
+
+
+def test_sync_of_a_lone_listing_that_another_offer_points_at(spark, built):
+    """An offer outside of the scope that stands in a lone listing's entity is counted with it."""
+    _, _, m = built
+    found = {r.entity_key: r["count"] for r in m.offers.groupBy("entity_key").count().collect()}
+    lone = next(r for r in m.offers.where("entity_key LIKE 'l-%'").orderBy("listing_id").collect() if found[r.entity_key] == 1)
+    other = m.offers.where("entity_key LIKE 'c-%'").orderBy("listing_id").first()
+    moved = F.when(F.col("listing_id") == other.listing_id, lone.entity_key).otherwise(F.col("entity_key"))
+    got = projection.sync(replace(m, offers=m.offers.withColumn("entity_key", moved)), spark.createDataFrame([(lone.listing_id,)], "listing_id long"), new_folder(spark, "t"))
+    assert {r.entity_key: r.offer_count for r in got.entities.collect()}[lone.entity_key] == 2

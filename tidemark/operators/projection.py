@@ -72,8 +72,9 @@ def _named(listings: DataFrame) -> DataFrame:
 
 
 def membership(m: Model, listings: DataFrame) -> DataFrame:
-    """(listing_id, entity_key, shop_key) of the active ones; listings hold whole groups of one exact identity."""
-    return entities.build(_named(listings), m.identities, m.catalog, "shop_key").select("listing_id", "entity_key", "shop_key")
+    """(listing_id, entity_key, shop_key, alone) of the active ones; listings hold whole groups of one exact identity."""
+    rows = _named(listings).where("is_active").join(entities.matched(m.identities, m.catalog), "listing_id", "left")
+    return entities.keyed(rows, entities.exact_groups(rows.where("catalog_product_id IS NULL"))).select("listing_id", "entity_key", "shop_key", "alone")
 
 
 def _given(name: str, otherwise) -> Column:
@@ -179,25 +180,37 @@ def peers(m: Model, seeds: DataFrame) -> DataFrame:
     return seeds.select("listing_id").unionByName(same).distinct()
 
 
-def _merged(stored: DataFrame, found: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """stored without the rows of gone's keys, and with found."""
-    return stored.join(gone.select(key), key, "left_anti").unionByName(found.select(*stored.columns))
-
-
 def sync(m: Model, seeds: DataFrame, path: str) -> Model:
     """The model after the seeds (listing_id), and all that shares an identity or entity with them, were computed anew.
 
-    Its tables are written below path, which has to be a new folder; entities without offers go."""
-    scope = written(peers(m, seeds), f"{path}/scope")
-    some = m.listings.join(scope, "listing_id", "left_semi")
-    before = m.offers.join(scope, "listing_id", "left_semi").select("entity_key")
-    now = written(membership(m, some), f"{path}/now")
-    touched = written(before.unionByName(now.select("entity_key")).distinct(), f"{path}/touched")
-    m = replace(m, projection=written(_merged(m.projection, project(some, m.makers), scope, "listing_id"), f"{path}/projection"))
-    m = replace(m, offers=written(_merged(m.offers, now, scope, "listing_id"), f"{path}/offers"))
-    found = describe(m, m.offers.join(touched, "entity_key", "left_semi"))
-    left = _merged(m.entities, found, touched, "entity_key").join(m.offers.select("entity_key").distinct(), "entity_key", "left_semi")
-    return replace(m, entities=written(left, f"{path}/entities"))
+    Its tables are written below path, which has to be a new folder; entities without offers go. What belongs where is found by ids
+    and names alone; then listings, and the projection as it was, meet the ids once each, and their texts go no further than to entities of several listings."""
+    spark, c = m.listings.sparkSession, F.col
+    scope = written(peers(m, seeds), f"{path}/scope").withColumn("_in", F.lit(True))
+    before = written(m.offers.join(scope, "listing_id", "left"), f"{path}/before")
+    now = written(membership(m, m.listings.join(scope, "listing_id", "left_semi")), f"{path}/now")
+    touched = written(before.where("_in").select("entity_key").unionByName(now.select("entity_key")).distinct(), f"{path}/touched")
+    others = before.where("_in IS NULL").select(*m.offers.columns)
+    # offers that stay as they are, of entities that don't
+    beside = written(others.join(touched, "entity_key", "left_semi").select("listing_id", "entity_key", "shop_key"), f"{path}/beside")
+    same = beside.where("entity_key LIKE 'l-%'").select("entity_key").distinct()
+    keys = now if same.isEmpty() else now.join(same.withColumn("_same", F.lit(True)), "entity_key", "left").withColumn("alone", c("alone") & c("_same").isNull()).drop("_same")
+    keys = keys.unionByName(beside.withColumn("alone", F.lit(False))).withColumnRenamed("shop_key", "_shop")
+    ids = scope.unionByName(beside.select("listing_id", F.lit(False).alias("_in")))
+    more = [*(c(n) for n in ("entity_key", "_shop", "alone", "_in", *KEPT)), *(c(n).alias(f"_{n}") for n in OWN)]
+    base = written(project(m.listings.join(ids, "listing_id").join(keys, "listing_id", "left"), m.makers, *more), f"{path}/base")
+    kept = written(m.projection.join(ids, "listing_id", "left").where("_in IS NULL OR NOT _in"), f"{path}/kept")
+    rows = base.where("entity_key IS NOT NULL").withColumnsRenamed({"entity_key": "entity_id", "_shop": "shop_key", **{n: f"_p_{n}" for n in SAID}}).drop("source_model")
+    said = kept.where("NOT _in").select("listing_id", *(c(n).alias(f"_p_{n}") for n in SAID))
+    rows = rows.where("_in").unionByName(rows.where("NOT _in").drop(*(f"_p_{n}" for n in SAID)).join(said, "listing_id", "left"))
+    found = _grouped(m, rows.where("NOT alone")).unionByName(_alone(rows.where("alone")))
+    left = m.entities.join(touched, "entity_key", "left_anti").join(others.select("entity_key").distinct(), "entity_key", "left_semi")
+    out = replace(
+        m, projection=kept.select(*m.projection.columns).unionByName(base.where("_in").select(*m.projection.columns)),
+        offers=written(others.unionByName(now.select(*m.offers.columns)), f"{path}/offers"), entities=written(left.unionByName(found.select(*m.entities.columns)), f"{path}/entities"),
+    )
+    remove(spark, *(f"{path}/{name}" for name in ("scope", "before", "now", "touched", "beside")))
+    return out
 
 
 def drift(m: Model) -> DataFrame:
@@ -249,15 +262,19 @@ def repair(m: Model, identify, most_passes: int = 8) -> tuple[Model, list[tuple[
     for n in range(1, most_passes + 2):
         path = new_folder(spark, f"repair-{n}")
         folders.append(path)
-        broken, open_ = written(drift(m), f"{path}/broken"), written(gaps(m), f"{path}/open")
+        broken = written(drift(m), f"{path}/broken")
+        # drift names the listings without an offer, so gaps need no more than those without an identity
+        active = m.listings.where("is_active")
+        lost = written(active.select("listing_id").join(m.identities, "listing_id", "left_anti"), f"{path}/lost")
+        open_ = written(lost.unionByName(broken.where("problem = 'unmembered_active_listings'").select("listing_id")).distinct(), f"{path}/open")
         counts = open_.count(), broken.count()
         if not any(counts):
             return m, seen
         if n > most_passes:
             raise RuntimeError(f"{counts[0]} listings and {counts[1]} problems are left after {most_passes} passes")
         seen.append((n, *counts))
-        lost = m.listings.where("is_active").join(m.identities, "listing_id", "left_anti")
-        m = replace(m, identities=m.identities.unionByName(identify(lost).select(*m.identities.columns)))
+        found = identify(active.join(lost, "listing_id", "left_semi"))
+        m = replace(m, identities=m.identities.unionByName(found.select(*m.identities.columns)))
         keys = broken.where("entity_key IS NOT NULL").select("entity_key").distinct()
         seeds = open_.unionByName(broken.where("listing_id IS NOT NULL").select("listing_id")).unionByName(m.offers.join(keys, "entity_key", "left_semi").select("listing_id"))
         m = replace(m, identities=written(m.identities, f"{path}/identities"))

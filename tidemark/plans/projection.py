@@ -51,11 +51,13 @@ def read_model_rebuild(spark, d):
 
 def read_model_repair(spark, d):
     """The same after a repair: some listings went, others lost their identity or offer, entities are lost, left over or miscounted."""
-    m = projection.rebuild(_model(spark, d, BEFORE), new_folder(spark, "rebuild"))
     path = new_folder(spark, "damaged")
+    whole = _model(spark, d)
+    # what a sync reads again and again is stored, not joined from the driver's tables each time
+    whole = replace(whole, listings=written(whole.listings, f"{path}/listings"), identities=written(whole.identities, f"{path}/known"))
+    m = projection.rebuild(replace(whole, listings=whole.listings.withColumn("is_active", F.col("price_yen") < BEFORE)), new_folder(spark, "rebuild"))
     h = F.pmod(F.crc32(F.col("listing_id").cast("binary")), F.lit(97))
     e = F.pmod(F.crc32(F.col("entity_key").cast("binary")), F.lit(97))
-    whole = _model(spark, d)
     kept = m.entities.where(e > 3).withColumn("offer_count", F.col("offer_count") + F.when(e == 50, 1).otherwise(0))
     more = kept.where(e == 60).withColumn("entity_key", F.concat("entity_key", F.lit("-left")))
     m = replace(
